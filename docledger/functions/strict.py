@@ -8,30 +8,19 @@ Absent and null fields both read as NULL and are never rejected.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docledger import fixed
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-_MIDNIGHT = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt _]00:00(:00([.,]0{1,9})?)?"
-    r"([Zz]|[+-][0-9]{2}:?[0-9]{2})?$"
+_CALENDAR = (
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([Tt _]00:00(:00([.,]0{1,9})?)?"
+    r"([Zz]|[+-][0-9]{2}:?[0-9]{2})?)?$"
 )
 _EPOCH = r"^[+-]?[0-9]{1,18}(\.0*)?$"
 _SECONDS_LIMIT = 20_000_000_000
-_NUMERIC_TYPE = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
-
-
-@dataclass(frozen=True)
-class Field:
-    """A value and whether the JSON field must be rejected."""
-
-    value: Column
-    bad: Column
+_READABLE = r"^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
 
 def json_type(variant: Column, path: str) -> Column:
@@ -43,38 +32,35 @@ def json_text(variant: Column, path: str) -> Column:
     return F.try_variant_get(variant, path, "string")
 
 
-def _given(kind: Column) -> Column:
-    return kind.isNotNull() & (kind != "VOID")
+def rejected(kind: Column, value: Column) -> Column:
+    """A field that was given, and not as null, but could not be read."""
+    return F.coalesce(kind != "VOID", F.lit(False)) & value.isNull()
 
 
-def string_field(kind: Column, text: Column) -> Field:
-    return Field(F.when(kind == "STRING", text), _given(kind) & (kind != "STRING"))
+def string_value(kind: Column, text: Column) -> Column:
+    return F.when(kind == "STRING", text)
 
 
-def number_field(kind: Column, text: Column) -> Field:
+def number_value(kind: Column, text: Column) -> Column:
     """The value stays text, so that range is judged separately from syntax."""
-    readable = (kind == "STRING") | kind.rlike(_NUMERIC_TYPE)
-    plain = F.replace(F.trim(text, F.lit(fixed.WHITE_SPACE)), F.lit("_"), F.lit(""))
-    good = readable & F.coalesce(plain.rlike(_NUMBER), F.lit(False))
-    return Field(F.when(good, plain), _given(kind) & ~good)
+    plain = F.translate(F.trim(text, F.lit(fixed.WHITE_SPACE)), "_", "")
+    return F.when(kind.rlike(_READABLE) & plain.rlike(_NUMBER), plain)
 
 
-def date_field(kind: Column, text: Column) -> Field:
-    readable = (kind == "STRING") | kind.rlike(_NUMERIC_TYPE)
-    calendar = F.when(
-        text.rlike(_DAY) | text.rlike(_MIDNIGHT), F.substring(text, 1, 10).try_cast("date")
-    )
-    count = F.when(text.rlike(_EPOCH), text.try_cast("decimal(20,0)"))
+def date_value(kind: Column, text: Column) -> Column:
+    day = F.substring(text, 1, 10).try_cast("date")
+    count = text.try_cast("decimal(38,9)")
     in_millis = F.abs(count) > _SECONDS_LIMIT
-    per_day = F.when(in_millis, F.lit(86_400_000)).otherwise(F.lit(86_400)).cast("decimal(20,0)")
-    whole = F.coalesce(text.try_cast("decimal(38,9)") % per_day, F.lit(1)) == 0
+    seconds = F.when(in_millis, count / 1000).otherwise(count).cast("decimal(38,9)")
     epoch = F.when(
-        whole & (F.abs(count / per_day) < 3_000_000),
-        F.date_add(F.lit("1970-01-01").cast("date"), (count / per_day).cast("int")),
+        (seconds % 86_400 == 0) & (F.abs(seconds) < 260_000_000_000),
+        F.date_add(F.lit("1970-01-01").cast("date"), (seconds / 86_400).cast("int")),
+    )
+    value = F.when(text.rlike(_CALENDAR), day).when(text.rlike(_EPOCH), epoch)
+    return F.when(
+        kind.rlike(_READABLE),
+        F.when(value.between("0001-01-01", "9999-12-31"), value),
     )
-    value = F.when(readable, F.coalesce(calendar, epoch))
-    value = F.when(F.year(value).between(1, 9999), value)
-    return Field(value, _given(kind) & value.isNull())
 
 
 def fits(value: Column, decimal_type: str) -> Column:

@@ -71,19 +71,19 @@ def tool_input(blocks: Column) -> Column:
     return F.get(calls, F.lit(0))["input"]
 
 
-def _field(name: str, kind: Column, text: Column) -> strict.Field:
+def _value(name: str, kind: Column, text: Column) -> Column:
     if name in fixed.DATE_FIELDS:
-        return strict.date_field(kind, text)
+        return strict.date_value(kind, text)
     if name in fixed.MONEY_FIELDS or name in fixed.LINE_NUMBER_FIELDS:
-        return strict.number_field(kind, text)
-    return strict.string_field(kind, text)
+        return strict.number_value(kind, text)
+    return strict.string_value(kind, text)
 
 
 _LINE_FIELDS = ("description", *fixed.LINE_NUMBER_FIELDS)
 
 
 def _line_raw(item: Column) -> Column:
-    """Type names and texts of one line, read once."""
+    """Type names and texts of one line."""
     return F.struct(
         F.schema_of_variant(item).alias("kind"),
         *[strict.json_type(item, f"$.{n}").alias(f"kind_{n}") for n in _LINE_FIELDS],
@@ -91,20 +91,24 @@ def _line_raw(item: Column) -> Column:
     )
 
 
-def _line_checked(raw: Column) -> Column:
-    """One line with its values, whether it is malformed, and whether it fits."""
-    fields = {n: _field(n, raw[f"kind_{n}"], raw[f"text_{n}"]) for n in _LINE_FIELDS}
-    description = fields["description"].value
+def _line_values(raw: Column) -> Column:
+    """Values of one line, numbers still as text."""
+    values = {n: _value(n, raw[f"kind_{n}"], raw[f"text_{n}"]) for n in _LINE_FIELDS}
     bad = ~F.coalesce(raw["kind"].startswith("OBJECT"), F.lit(False))
-    fits = strict.text_fits(description, fixed.LINE_DESCRIPTION_LIMIT)
-    for name, field in fields.items():
-        bad = bad | F.coalesce(field.bad, F.lit(False))
-        if name in fixed.LINE_TYPES:
-            fits = fits & strict.fits(field.value, fixed.LINE_TYPES[name])
+    for name, value in values.items():
+        bad = bad | strict.rejected(raw[f"kind_{name}"], value)
+    return F.struct(*[v.alias(n) for n, v in values.items()], bad.alias("bad"))
+
+
+def _line_typed(line: Column) -> Column:
+    """One line as stored, whether it was malformed, and whether it fits."""
+    fits = strict.text_fits(line["description"], fixed.LINE_DESCRIPTION_LIMIT)
+    for name, decimal_type in fixed.LINE_TYPES.items():
+        fits = fits & strict.fits(line[name], decimal_type)
     return F.struct(
-        description.alias("description"),
-        *[fields[n].value.try_cast(t).alias(n) for n, t in fixed.LINE_TYPES.items()],
-        bad.alias("bad"),
+        line["description"].alias("description"),
+        *[line[n].try_cast(t).alias(n) for n, t in fixed.LINE_TYPES.items()],
+        line["bad"].alias("bad"),
         fits.alias("fits"),
     )
 
@@ -118,45 +122,57 @@ def parse_payload(df: DataFrame, payload: str, null_lines_ok: bool = False) -> D
     `null_lines_ok` accepts an explicit null list, as edits do.
     """
     doc = F.col("_doc")
+    lines = F.try_variant_get(doc, "$.line_items", "array<variant>")
+    for step in (_line_raw, _line_values, _line_typed):
+        lines = F.transform(lines, step)
     raw = df.withColumn("_doc", F.try_parse_json(payload)).select(
         *df.columns,
         F.schema_of_variant(doc).alias("_root"),
         *[strict.json_type(doc, f"$.{n}").alias(f"_kind_{n}") for n in fixed.HEADER_FIELDS],
         *[strict.json_text(doc, f"$.{n}").alias(f"_text_{n}") for n in fixed.HEADER_FIELDS],
         strict.json_type(doc, "$.line_items").alias("_list_kind"),
-        F.transform(
-            F.transform(F.try_variant_get(doc, "$.line_items", "array<variant>"), _line_raw),
-            _line_checked,
-        ).alias("_lines"),
+        lines.alias("_lines"),
+    )
+    # Values first and verdicts in a second step, so that each is computed once.
+    values = raw.select(
+        *df.columns, "_root", "_list_kind", "_lines",
+        *[f"_kind_{n}" for n in fixed.HEADER_FIELDS],
+        *[_value(n, F.col(f"_kind_{n}"), F.col(f"_text_{n}")).alias(f"_v_{n}")
+          for n in fixed.HEADER_FIELDS],
     )
-    fields = {n: _field(n, F.col(f"_kind_{n}"), F.col(f"_text_{n}")) for n in fixed.HEADER_FIELDS}
     list_kind = F.col("_list_kind")
-    schema_bad = ~F.coalesce(F.col("_root").startswith("OBJECT"), F.lit(False))
     list_bad = list_kind.isNotNull() & ~list_kind.startswith("ARRAY")
     if null_lines_ok:
         list_bad = list_bad & (list_kind != "VOID")
-    schema_bad = schema_bad | F.coalesce(list_bad, F.lit(False))
-    limits_bad = F.lit(False)
-    for name, field in fields.items():
-        schema_bad = schema_bad | F.coalesce(field.bad, F.lit(False))
+    schema_bad = (
+        ~F.coalesce(F.col("_root").startswith("OBJECT"), F.lit(False))
+        | F.coalesce(list_bad, F.lit(False))
+        | F.coalesce(F.exists("_lines", lambda x: x["bad"]), F.lit(False))
+    )
+    unfit = F.coalesce(F.exists("_lines", lambda x: ~x["fits"]), F.lit(False))
+    typed = []
+    for name in fixed.HEADER_FIELDS:
+        value = F.col(f"_v_{name}")
+        schema_bad = schema_bad | strict.rejected(F.col(f"_kind_{name}"), value)
         if name in fixed.MONEY_FIELDS:
-            limits_bad = limits_bad | ~strict.fits(field.value, fixed.MONEY_TYPE)
+            unfit = unfit | ~strict.fits(value, fixed.MONEY_TYPE)
+            value = value.try_cast(fixed.MONEY_TYPE)
         elif name in fixed.TEXT_FIELDS:
-            limits_bad = limits_bad | ~strict.text_fits(field.value, fixed.TEXT_LIMITS[name])
-    lines = F.coalesce("_lines", F.array().cast(raw.schema["_lines"].dataType))
-    parsed = F.struct(
-        *[
-            (f.value.try_cast(fixed.MONEY_TYPE) if n in fixed.MONEY_FIELDS else f.value).alias(n)
-            for n, f in fields.items()
-        ],
-        F.transform(lines, lambda x: x.dropFields("bad", "fits")).alias("line_items"),
-        (schema_bad | F.exists(lines, lambda x: x["bad"])).alias("schema_bad"),
-        (limits_bad | F.exists(lines, lambda x: ~x["fits"])).alias("_unfit"),
+            unfit = unfit | ~strict.text_fits(value, fixed.TEXT_LIMITS[name])
+        typed.append(value.alias(name))
+    judged = values.select(
+        *df.columns, *typed, "_lines", schema_bad.alias("schema_bad"), unfit.alias("_unfit")
     )
     # A generator keeps later filters above the parse: pushed below, they would
     # repeat the whole of it.
-    return raw.select(*df.columns, F.inline(F.array(parsed))).select(
-        *df.columns, *fixed.HEADER_FIELDS, "line_items", "schema_bad",
+    fields = [*fixed.HEADER_FIELDS, "_lines", "schema_bad", "_unfit"]
+    parsed = judged.select(*df.columns, F.inline(F.array(F.struct(*fields))))
+    empty = F.array().cast(raw.schema["_lines"].dataType)
+    return parsed.select(
+        *df.columns, *fixed.HEADER_FIELDS,
+        F.transform(F.coalesce("_lines", empty), lambda x: x.dropFields("bad", "fits"))
+        .alias("line_items"),
+        "schema_bad",
         (~F.col("schema_bad") & F.col("_unfit")).alias("limits_bad"),
     )
 

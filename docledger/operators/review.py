@@ -1,6 +1,6 @@
 """Review commands applied as a batch: edit, approve, reject.
 
-Commands act in order of (at, command_id) within a document. The first approval
+Commands act in order of (issued_at, command_id) within a document. The first approval
 or rejection that succeeds decides the document and later commands conflict.
 Whether an approval succeeds depends on the edits before it, so the four values
 the arithmetic needs are carried forward along the commands of a document.
@@ -112,7 +112,7 @@ def command_outcomes(
     )
     edits = eligible & is_edit & ~F.col("_unfit")
 
-    order = [F.col("at"), F.col("command_id")]
+    order = [F.col("issued_at"), F.col("command_id")]
     scans = []
     for scan in split_groups(joined, "document_id", order, min_rows, probe=commands):
         scan = scan.carry({
@@ -153,9 +153,9 @@ def decisions(outcomes: DataFrame) -> DataFrame:
     ).select(
         "document_id",
         F.when(approved, "APPROVED").otherwise("REJECTED").alias("status"),
-        F.when(approved, F.col("at")).alias("approved_at"),
+        F.when(approved, F.col("issued_at")).alias("approved_at"),
         F.when(approved, F.col("user_id")).alias("approved_by_user_id"),
-        F.when(~approved, F.col("at")).alias("rejected_at"),
+        F.when(~approved, F.col("issued_at")).alias("rejected_at"),
         F.when(~approved, F.col("user_id")).alias("rejected_by_user_id"),
         F.when(~approved, F.col("reason")).alias("rejection_reason"),
     )
@@ -179,7 +179,7 @@ def patched_headers(invoices: DataFrame, outcomes: DataFrame) -> DataFrame:
     """
     latest = with_patch(saved_edits(outcomes)).groupBy("document_id").agg(*[
         F.max(F.when(
-            is_set(n), F.struct("at", "command_id", F.col(n).alias("v"))
+            is_set(n), F.struct("issued_at", "command_id", F.col(n).alias("v"))
         )).alias(f"_new_{n}")
         for n in fixed.HEADER_FIELDS
     ])
@@ -195,7 +195,7 @@ def replaced_lines(invoices: DataFrame, outcomes: DataFrame) -> DataFrame:
         with_patch(saved_edits(outcomes))
         .where(is_set("line_items"))
         .groupBy("document_id")
-        .agg(F.max_by("line_items", F.struct("at", "command_id")).alias("line_items"))
+        .agg(F.max_by("line_items", F.struct("issued_at", "command_id")).alias("line_items"))
     )
     return latest.join(invoices.select("document_id", "invoice_id"), "document_id").select(
         "invoice_id", "line_items"
@@ -231,7 +231,7 @@ def blocked_findings(
         .groupBy("document_id")
         .agg(
             F.count("*").alias("n_blocked"),
-            F.min(F.struct("at", "command_id"))["command_id"].alias("first_command_id"),
+            F.min(F.struct("issued_at", "command_id"))["command_id"].alias("first_command_id"),
         )
     )
     drafts = invoices.join(blocked, "document_id")

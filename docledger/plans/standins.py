@@ -96,7 +96,7 @@ COMMANDS = {
     "user_id": "user_id",
     "kind": "CASE event_type WHEN 'purchase' THEN 'APPROVE' WHEN 'signup' THEN 'APPROVE' "
             "WHEN 'error' THEN 'REJECT' ELSE 'EDIT' END",
-    "at": "CAST(ts AS TIMESTAMP)",
+    "issued_at": "CAST(ts AS TIMESTAMP)",
     "patch": "CASE WHEN event_type NOT IN ('view', 'click') THEN NULL "
              "ELSE CASE event_id % 9 "
              f"WHEN 0 THEN concat('{{\"vendor_name\": \"Edited ', {VALUE_TEXT}, '\"}}') "

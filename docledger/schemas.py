@@ -55,7 +55,7 @@ PAGE_IMAGES = "document_id string, page_no int, image binary, page_error boolean
 
 COMMANDS = (
     "command_id string, document_id string, organization_id string, user_id string, "
-    "kind string, at timestamp, patch string, reason string"
+    "kind string, issued_at timestamp, patch string, reason string"
 )
 
 TABLES = {

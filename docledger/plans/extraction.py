@@ -10,9 +10,9 @@ from docledger.operators import extract
 from docledger.operators.hooks import run_extractor
 from docledger.plans.samples import LengthExtractor
 from docledger.plans.shown import shown, text_sql
-from docledger.plans.standins import ctes, frame
+from docledger.plans.standins import ctes, driver_table, frame
 from docledger.plans.uploads import chars_sql, id_sql
-from docledger.sources.workspace import new_path
+from docledger.sources.workspace import persisted
 
 
 def _queue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -44,11 +44,9 @@ def prompt_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extraction_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call the extractor once per document, keep the answers, then use them."""
-    path = new_path(spark, "answers")
-    run_extractor(extract.requests(frame(spark, sf_dir, "texts")), LengthExtractor).write.parquet(
-        path
-    )
-    parsed = extract.parse_payload(spark.read.parquet(path), "raw_json")
+    requests = extract.requests(frame(spark, sf_dir, "texts"))
+    answers = persisted(run_extractor(requests, LengthExtractor), "answers")
+    parsed = extract.parse_payload(answers, "raw_json")
     return shown(extract.with_extraction_outcome(parsed)).select(
         "document_id", "error_kind", "error_category", "error_message", "vendor_name",
         "subtotal", "total", F.size("line_items").cast("bigint").alias("n_lines"),
@@ -78,7 +76,7 @@ def tool_block_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
         block("CASE WHEN o_orderkey % 2 = 0 THEN 'text' ELSE 'tool_use' END", tool,
               "o_orderstatus"),
     )
-    answers = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    answers = driver_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("document_id"), blocks.alias("blocks")
     )
     return answers.select("document_id", extract.tool_input(F.col("blocks")).alias("tool_input"))

@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docledger.plans import exports, extraction, findings, review, texts, uploads
+from docledger.plans import (
+    exports,
+    extraction,
+    findings,
+    history,
+    integrity,
+    review,
+    texts,
+    uploads,
+)
 
-_SECTIONS = (uploads, texts, extraction, findings, review, exports)
+_SECTIONS = (uploads, texts, extraction, findings, review, exports, history, integrity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for section in _SECTIONS for name, query in section.QUERIES.items()

@@ -19,15 +19,19 @@ from docledger.plans.findings import (
 from docledger.plans.shown import shown, text_sql
 from docledger.plans.standins import ctes, frame
 from docledger.plans.uploads import chars_sql, id_sql
+from docledger.sources.workspace import persisted
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: frame(spark, sf_dir, n) for n in ("commands", "documents", "drafts", "lines")}
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _outcomes(
+    spark: SparkSession, sf_dir: str, keep: bool = False
+) -> tuple[DataFrame, dict[str, DataFrame]]:
     f = _frames(spark, sf_dir)
-    return review.command_outcomes(f["commands"], f["documents"], f["drafts"], f["lines"]), f
+    outcomes = review.command_outcomes(f["commands"], f["documents"], f["drafts"], f["lines"])
+    return (persisted(outcomes, "outcomes") if keep else outcomes), f
 
 
 def tenant_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +68,12 @@ def patch_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes, f = _outcomes(spark, sf_dir)
+    outcomes, f = _outcomes(spark, sf_dir, keep=True)
     return shown(review.patched_lines(f["lines"], f["drafts"], outcomes))
 
 
 def patch_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes, f = _outcomes(spark, sf_dir)
+    outcomes, f = _outcomes(spark, sf_dir, keep=True)
     headers = review.patched_headers(f["drafts"], outcomes)
     lines = review.patched_lines(f["lines"], f["drafts"], outcomes)
     edited = review.saved_edits(outcomes).select("document_id").distinct()
@@ -77,10 +81,13 @@ def patch_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("invoice_id", "n_errors", "n_warnings", "is_valid", "requires_review")
 
 
-def _of_kind(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, dict]:
+def _of_kind(
+    spark: SparkSession, sf_dir: str, kind: str, keep: bool = False
+) -> tuple[DataFrame, dict[str, DataFrame]]:
     f = _frames(spark, sf_dir)
     batch = f["commands"].where(F.col("kind") == kind)
-    return review.command_outcomes(batch, f["documents"], f["drafts"], f["lines"]), f
+    outcomes = review.command_outcomes(batch, f["documents"], f["drafts"], f["lines"])
+    return (persisted(outcomes, "outcomes") if keep else outcomes), f
 
 
 def approve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +98,12 @@ def approve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approve_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes, f = _of_kind(spark, sf_dir, "APPROVE")
+    outcomes, f = _of_kind(spark, sf_dir, "APPROVE", keep=True)
     return review.blocked_findings(outcomes, f["drafts"], f["lines"])
 
 
 def reject_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes, _ = _of_kind(spark, sf_dir, "REJECT")
+    outcomes, _ = _of_kind(spark, sf_dir, "REJECT", keep=True)
     return shown(outcomes.join(
         review.decisions(outcomes).select(
             "document_id", "rejected_at", "rejected_by_user_id", "rejection_reason"

@@ -9,6 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+DRIVER_TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 TRUE_PRICE = "CAST(o_totalprice AS DECIMAL(14,2))"
 STATED_TAX = f"CAST({TRUE_PRICE} * 0.08 AS DECIMAL(14,2))"
 
@@ -219,8 +235,8 @@ JOBS = {
     "started_at": "CAST(ts AS TIMESTAMP)",
     "completed_at": (
         "timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) + "
-        "CAST(CAST(value AS DECIMAL(14,2)) * 1234567 AS BIGINT))",
-        "make_timestamp(epoch_us(ts) + CAST(CAST(value AS DECIMAL(14,2)) * 1234567 AS BIGINT))",
+        "CAST(CAST(value AS DECIMAL(14,2)) * 100 AS BIGINT) * 12347)",
+        "make_timestamp(epoch_us(ts) + CAST(CAST(value AS DECIMAL(14,2)) * 100 AS BIGINT) * 12347)",
     ),
     "created_at": "CAST(ts AS TIMESTAMP)",
 }
@@ -236,8 +252,13 @@ def sql_list(columns: dict) -> str:
     )
 
 
+def driver_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Scan one of the driver's tables with its known schema."""
+    return spark.read.schema(DRIVER_TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
 def _scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return driver_table(spark, sf_dir, table)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

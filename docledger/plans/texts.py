@@ -10,7 +10,7 @@ from docledger.functions.text import non_space_count
 from docledger.operators import pages
 from docledger.operators.hooks import read_pages
 from docledger.plans.samples import MarkupReader, WordRecogniser
-from docledger.plans.standins import ctes, frame
+from docledger.plans.standins import ctes, driver_table, frame
 from docledger.plans.uploads import chars_sql
 
 
@@ -30,7 +30,7 @@ def page_assembly_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = driver_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = texts.select(
         F.col("doc_id").alias("document_id"),
         non_space_count("text").cast("bigint").alias("non_space_chars"),
@@ -84,7 +84,7 @@ def text_stage_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    stored = driver_table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("document_id"), F.encode("html", "utf-8").alias("content")
     )
     return read_pages(stored, MarkupReader).select(

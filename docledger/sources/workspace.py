@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no earlier run has used."""
     return f"{shared_folder(spark).rstrip('/')}/docledger/{label}-{uuid.uuid4().hex}"
+
+
+def persisted(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once under the shared folder and read it from there.
+
+    Used where several results must come from the same rows: the work is done
+    once, and a lost executor cannot make the results disagree.
+    """
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

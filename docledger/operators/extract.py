@@ -71,7 +71,7 @@ def tool_input(blocks: Column) -> Column:
     return F.get(calls, F.lit(0))["input"]
 
 
-def _value(name: str, kind: Column, text: Column) -> Column:
+def _value(name: str, kind: str, text: str) -> str:
     if name in fixed.DATE_FIELDS:
         return strict.date_value(kind, text)
     if name in fixed.MONEY_FIELDS or name in fixed.LINE_NUMBER_FIELDS:
@@ -82,34 +82,39 @@ def _value(name: str, kind: Column, text: Column) -> Column:
 _LINE_FIELDS = ("description", *fixed.LINE_NUMBER_FIELDS)
 
 
-def _line_raw(item: Column) -> Column:
-    """Type names and texts of one line."""
-    return F.struct(
-        F.schema_of_variant(item).alias("kind"),
-        *[strict.json_type(item, f"$.{n}").alias(f"kind_{n}") for n in _LINE_FIELDS],
-        *[strict.json_text(item, f"$.{n}").alias(f"text_{n}") for n in _LINE_FIELDS],
-    )
-
-
-def _line_values(raw: Column) -> Column:
-    """Values of one line, numbers still as text."""
-    values = {n: _value(n, raw[f"kind_{n}"], raw[f"text_{n}"]) for n in _LINE_FIELDS}
-    bad = ~F.coalesce(raw["kind"].startswith("OBJECT"), F.lit(False))
-    for name, value in values.items():
-        bad = bad | strict.rejected(raw[f"kind_{name}"], value)
-    return F.struct(*[v.alias(n) for n, v in values.items()], bad.alias("bad"))
-
+def _lines_expr() -> str:
+    """Line structs as stored, each with `bad` (malformed) and `fits`.
 
-def _line_typed(line: Column) -> Column:
-    """One line as stored, whether it was malformed, and whether it fits."""
-    fits = strict.text_fits(line["description"], fixed.LINE_DESCRIPTION_LIMIT)
-    for name, decimal_type in fixed.LINE_TYPES.items():
-        fits = fits & strict.fits(line[name], decimal_type)
-    return F.struct(
-        line["description"].alias("description"),
-        *[line[n].try_cast(t).alias(n) for n, t in fixed.LINE_TYPES.items()],
-        line["bad"].alias("bad"),
-        fits.alias("fits"),
+    Three steps per line, so that nothing is read twice: type names and texts,
+    then values, then typed values.
+    """
+    read = ", ".join(
+        ["'kind', schema_of_variant(i)"]
+        + [f"'kind_{n}', {strict.json_type('i', f'$.{n}')}" for n in _LINE_FIELDS]
+        + [f"'text_{n}', {strict.json_text('i', f'$.{n}')}" for n in _LINE_FIELDS]
+    )
+    values = ", ".join(
+        ["'kind', r.kind"]
+        + [f"'kind_{n}', r.kind_{n}" for n in _LINE_FIELDS]
+        + [f"'{n}', {_value(n, f'r.kind_{n}', f'r.text_{n}')}" for n in _LINE_FIELDS]
+    )
+    bad = " OR ".join(
+        ["NOT coalesce(startswith(v.kind, 'OBJECT'), false)"]
+        + [strict.rejected(f"v.kind_{n}", f"v.{n}") for n in _LINE_FIELDS]
+    )
+    fits = " AND ".join(
+        [strict.text_fits("v.description", fixed.LINE_DESCRIPTION_LIMIT)]
+        + [strict.fits(f"v.{n}", t) for n, t in fixed.LINE_TYPES.items()]
+    )
+    typed = ", ".join(
+        ["'description', v.description"]
+        + [f"'{n}', try_cast(v.{n} AS {t})" for n, t in fixed.LINE_TYPES.items()]
+        + [f"'bad', {bad}", f"'fits', {fits}"]
+    )
+    items = "try_variant_get(_doc, '$.line_items', 'array<variant>')"
+    return (
+        f"transform(transform(transform({items}, i -> named_struct({read})), "
+        f"r -> named_struct({values})), v -> named_struct({typed}))"
     )
 
 
@@ -121,59 +126,52 @@ def parse_payload(df: DataFrame, payload: str, null_lines_ok: bool = False) -> D
     cannot be stored in its column). Values are rounded to column scale.
     `null_lines_ok` accepts an explicit null list, as edits do.
     """
-    doc = F.col("_doc")
-    lines = F.try_variant_get(doc, "$.line_items", "array<variant>")
-    for step in (_line_raw, _line_values, _line_typed):
-        lines = F.transform(lines, step)
-    raw = df.withColumn("_doc", F.try_parse_json(payload)).select(
-        *df.columns,
-        F.schema_of_variant(doc).alias("_root"),
-        *[strict.json_type(doc, f"$.{n}").alias(f"_kind_{n}") for n in fixed.HEADER_FIELDS],
-        *[strict.json_text(doc, f"$.{n}").alias(f"_text_{n}") for n in fixed.HEADER_FIELDS],
-        strict.json_type(doc, "$.line_items").alias("_list_kind"),
-        lines.alias("_lines"),
+    names, kept = fixed.HEADER_FIELDS, [f"`{c}`" for c in df.columns]
+    raw = df.withColumn("_doc", F.try_parse_json(payload)).selectExpr(
+        *kept,
+        "schema_of_variant(_doc) AS _root",
+        *[f"{strict.json_type('_doc', f'$.{n}')} AS _kind_{n}" for n in names],
+        *[f"{strict.json_text('_doc', f'$.{n}')} AS _text_{n}" for n in names],
+        f"{strict.json_type('_doc', '$.line_items')} AS _list_kind",
+        f"{_lines_expr()} AS _lines",
     )
     # Values first and verdicts in a second step, so that each is computed once.
-    values = raw.select(
-        *df.columns, "_root", "_list_kind", "_lines",
-        *[f"_kind_{n}" for n in fixed.HEADER_FIELDS],
-        *[_value(n, F.col(f"_kind_{n}"), F.col(f"_text_{n}")).alias(f"_v_{n}")
-          for n in fixed.HEADER_FIELDS],
-    )
-    list_kind = F.col("_list_kind")
-    list_bad = list_kind.isNotNull() & ~list_kind.startswith("ARRAY")
+    values = raw.selectExpr(
+        *kept, "_root", "_list_kind", "_lines",
+        *[f"_kind_{n}" for n in names],
+        *[f"{_value(n, f'_kind_{n}', f'_text_{n}')} AS _v_{n}" for n in names],
+    )
+    list_bad = "_list_kind IS NOT NULL AND NOT startswith(_list_kind, 'ARRAY')"
     if null_lines_ok:
-        list_bad = list_bad & (list_kind != "VOID")
-    schema_bad = (
-        ~F.coalesce(F.col("_root").startswith("OBJECT"), F.lit(False))
-        | F.coalesce(list_bad, F.lit(False))
-        | F.coalesce(F.exists("_lines", lambda x: x["bad"]), F.lit(False))
-    )
-    unfit = F.coalesce(F.exists("_lines", lambda x: ~x["fits"]), F.lit(False))
-    typed = []
-    for name in fixed.HEADER_FIELDS:
-        value = F.col(f"_v_{name}")
-        schema_bad = schema_bad | strict.rejected(F.col(f"_kind_{name}"), value)
-        if name in fixed.MONEY_FIELDS:
-            unfit = unfit | ~strict.fits(value, fixed.MONEY_TYPE)
-            value = value.try_cast(fixed.MONEY_TYPE)
-        elif name in fixed.TEXT_FIELDS:
-            unfit = unfit | ~strict.text_fits(value, fixed.TEXT_LIMITS[name])
-        typed.append(value.alias(name))
-    judged = values.select(
-        *df.columns, *typed, "_lines", schema_bad.alias("schema_bad"), unfit.alias("_unfit")
+        list_bad += " AND _list_kind <> 'VOID'"
+    schema_bad = [
+        "NOT coalesce(startswith(_root, 'OBJECT'), false)",
+        f"coalesce({list_bad}, false)",
+        "coalesce(exists(_lines, x -> x.bad), false)",
+        *[strict.rejected(f"_kind_{n}", f"_v_{n}") for n in names],
+    ]
+    unfit = [
+        "coalesce(exists(_lines, x -> NOT x.fits), false)",
+        *[f"NOT {strict.fits(f'_v_{n}', fixed.MONEY_TYPE)}" for n in fixed.MONEY_FIELDS],
+        *[f"NOT {strict.text_fits(f'_v_{n}', limit)}" for n, limit in fixed.TEXT_LIMITS.items()],
+    ]
+    judged = values.selectExpr(
+        *kept,
+        *[f"try_cast(_v_{n} AS {fixed.MONEY_TYPE}) AS {n}" if n in fixed.MONEY_FIELDS
+          else f"_v_{n} AS {n}" for n in names],
+        "_lines",
+        f"{' OR '.join(schema_bad)} AS schema_bad",
+        f"{' OR '.join(unfit)} AS _unfit",
     )
     # A generator keeps later filters above the parse: pushed below, they would
     # repeat the whole of it.
-    fields = [*fixed.HEADER_FIELDS, "_lines", "schema_bad", "_unfit"]
-    parsed = judged.select(*df.columns, F.inline(F.array(F.struct(*fields))))
-    empty = F.array().cast(raw.schema["_lines"].dataType)
-    return parsed.select(
-        *df.columns, *fixed.HEADER_FIELDS,
-        F.transform(F.coalesce("_lines", empty), lambda x: x.dropFields("bad", "fits"))
-        .alias("line_items"),
+    fields = ", ".join([*names, "_lines", "schema_bad", "_unfit"])
+    line = ", ".join(f"'{n}', x.{n}" for n in _LINE_FIELDS)
+    return judged.selectExpr(*kept, f"inline(array(struct({fields})))").selectExpr(
+        *kept, *names,
+        f"transform(coalesce(_lines, array()), x -> named_struct({line})) AS line_items",
         "schema_bad",
-        (~F.col("schema_bad") & F.col("_unfit")).alias("limits_bad"),
+        "NOT schema_bad AND _unfit AS limits_bad",
     )
 
 

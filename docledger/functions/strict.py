@@ -15,11 +15,15 @@ from docledger import fixed
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _CALENDAR = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([Tt _]00:00(:00([.,]0{1,9})?)?"
+    r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}([Tt _]00:00(:00([.,]0{1,9})?)?"
     r"([Zz]|[+-][0-9]{2}:?[0-9]{2})?)?$"
 )
 _EPOCH = r"^[+-]?[0-9]{1,18}(\.0*)?$"
-_SECONDS_LIMIT = 20_000_000_000
+# Epoch numbers above this size count milliseconds
+_SECONDS_LIMIT = 20000000000
+# 0001-01-01 and 9999-12-31 in seconds
+_FIRST_DAY = -62135596800
+_LAST_DAY = 253402214400
 _READABLE = r"^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
 
@@ -54,14 +58,11 @@ def date_value(kind: str, text: str) -> str:
     seconds = f"CASE WHEN abs({count}) > {_SECONDS_LIMIT} THEN {count} / 1000 ELSE {count} END"
     day = f"try_cast(substring({text}, 1, 10) AS DATE)"
     epoch_day = f"date_add(DATE'1970-01-01', CAST(({seconds}) / 86400 AS INT))"
-    whole = f"({seconds}) % 86400 = 0 AND abs({seconds}) < 260000000000"
-    value = (
-        f"CASE WHEN {text} RLIKE r'{_CALENDAR}' THEN {day} "
-        f"WHEN {text} RLIKE r'{_EPOCH}' THEN CASE WHEN {whole} THEN {epoch_day} END END"
-    )
+    whole = f"({seconds}) % 86400 = 0 AND ({seconds}) BETWEEN {_FIRST_DAY} AND {_LAST_DAY}"
     return (
-        f"CASE WHEN {kind} RLIKE '{_READABLE}' THEN "
-        f"CASE WHEN year({value}) BETWEEN 1 AND 9999 THEN {value} END END"
+        f"CASE WHEN NOT {kind} RLIKE '{_READABLE}' THEN NULL "
+        f"WHEN {text} RLIKE r'{_CALENDAR}' THEN {day} "
+        f"WHEN {text} RLIKE r'{_EPOCH}' AND {whole} THEN {epoch_day} END"
     )
 
 

@@ -163,11 +163,12 @@ def parse_payload(df: DataFrame, payload: str, null_lines_ok: bool = False) -> D
         f"{' OR '.join(schema_bad)} AS schema_bad",
         f"{' OR '.join(unfit)} AS _unfit",
     )
-    # A generator keeps later filters above the parse: pushed below, they would
-    # repeat the whole of it.
-    fields = ", ".join([*names, "_lines", "schema_bad", "_unfit"])
+    # A generator keeps later filters on the verdicts above the parse: pushed
+    # below, they would repeat the whole of it.
     line = ", ".join(f"'{n}', x.{n}" for n in _LINE_FIELDS)
-    return judged.selectExpr(*kept, f"inline(array(struct({fields})))").selectExpr(
+    return judged.selectExpr(
+        *kept, *names, "_lines", "inline(array(struct(schema_bad, _unfit)))"
+    ).selectExpr(
         *kept, *names,
         f"transform(coalesce(_lines, array()), x -> named_struct({line})) AS line_items",
         "schema_bad",

@@ -237,7 +237,7 @@ OUTCOME_SQL = f"""judged AS (
   FROM parsed
 )"""
 
-_TEXT_FAILURE = f"""CASE WHEN extracted_text_storage_key IS NULL THEN '{fixed.NO_TEXT}'
+TEXT_FAILURE_SQL = f"""CASE WHEN extracted_text_storage_key IS NULL THEN '{fixed.NO_TEXT}'
   WHEN text IS NULL THEN '{fixed.TEXT_UNREADABLE}'
   WHEN {chars_sql('text')} = 0 THEN '{fixed.NO_TEXT}' END"""
 
@@ -273,14 +273,14 @@ SELECT document_id, organization_id, status FROM queue WHERE status = 'TEXT_EXTR
 SELECT document_id, organization_id, status FROM queue WHERE status = 'VALIDATING_RESULT'
   AND document_id IN (SELECT document_id FROM existing)""",
     "extraction_blank": f"""WITH {ctes('texts')}
-SELECT document_id, 'PROCESSING_ERROR' AS error_category, {_TEXT_FAILURE} AS error_message
-FROM texts WHERE {_TEXT_FAILURE} IS NOT NULL""",
+SELECT document_id, 'PROCESSING_ERROR' AS error_category, {TEXT_FAILURE_SQL} AS error_message
+FROM texts WHERE {TEXT_FAILURE_SQL} IS NOT NULL""",
     "prompt_column": f"""WITH {ctes('texts')}
 SELECT document_id, '{fixed.PROMPT_PREFIX.strip()}' || chr(10) || chr(10) || text AS request
-FROM texts WHERE {_TEXT_FAILURE} IS NULL""",
+FROM texts WHERE {TEXT_FAILURE_SQL} IS NULL""",
     "extraction_run": f"""WITH {ctes('texts')},
 sized AS (SELECT document_id, CAST({_RUN_SIZE} AS BIGINT) AS n FROM texts
-  WHERE {_TEXT_FAILURE} IS NULL),
+  WHERE {TEXT_FAILURE_SQL} IS NULL),
 kinds AS (SELECT *, CASE WHEN n % 19 = 0 THEN CASE n % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'auth'
   ELSE 'response' END WHEN n % 23 = 0 THEN 'other' END AS error_kind FROM sized),
 states AS (SELECT *, error_kind IS NULL AND n % 29 = 0 AS wrong FROM kinds)

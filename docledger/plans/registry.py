@@ -13,11 +13,12 @@ from docledger.plans import (
     history,
     integrity,
     review,
+    streams,
     texts,
     uploads,
 )
 
-_SECTIONS = (uploads, texts, extraction, findings, review, exports, history, integrity)
+_SECTIONS = (uploads, texts, extraction, findings, review, exports, history, integrity, streams)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for section in _SECTIONS for name, query in section.QUERIES.items()

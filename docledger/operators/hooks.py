@@ -7,12 +7,18 @@ reused for every row. Failures are caught row by row and come back as data.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# Python workers get these functions with the task and need not have the
+# package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class PageReader(Protocol):
     def read(self, content: bytes) -> list[str | None]:

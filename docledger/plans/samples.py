@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+import sys
+
+from pyspark import cloudpickle
 
 from docledger.operators.hooks import ExtractorError
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class MarkupReader:
     """Reads a web page as a document: one page per paragraph."""

@@ -24,7 +24,6 @@ _SECONDS_LIMIT = 20000000000
 # 0001-01-01 and 9999-12-31 in seconds
 _FIRST_DAY = -62135596800
 _LAST_DAY = 253402214400
-_READABLE = r"^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
 
 def json_type(variant: str, path: str) -> str:
@@ -36,32 +35,36 @@ def json_text(variant: str, path: str) -> str:
     return f"try_variant_get({variant}, '{path}', 'string')"
 
 
-def rejected(kind: str, value: str) -> str:
+def rejected(text: str, value: str) -> str:
     """A field that was given, and not as null, but could not be read."""
-    return f"(coalesce({kind} <> 'VOID', false) AND {value} IS NULL)"
+    return f"({text} IS NOT NULL AND {value} IS NULL)"
 
 
-def string_value(kind: str, text: str) -> str:
-    return f"CASE WHEN {kind} = 'STRING' THEN {text} END"
+def string_value(variant: str, path: str, text: str) -> str:
+    return f"CASE WHEN {text} IS NOT NULL AND {json_type(variant, path)} = 'STRING' THEN {text} END"
 
 
-def number_value(kind: str, text: str) -> str:
-    """The value stays text, so that range is judged separately from syntax."""
+def number_value(text: str) -> str:
+    """The value stays text, so that range is judged separately from syntax.
+
+    Neither booleans nor nested JSON look like a number, so the pattern alone
+    tells them apart.
+    """
     plain = f"translate(trim(BOTH '{fixed.WHITE_SPACE}' FROM {text}), '_', '')"
     return (
-        f"CASE WHEN {kind} RLIKE '{_READABLE}' AND {plain} RLIKE r'{_NUMBER}' THEN {plain} END"
+        f"CASE WHEN {text} RLIKE r'{_NUMBER}' THEN {text} "
+        f"WHEN {plain} RLIKE r'{_NUMBER}' THEN {plain} END"
     )
 
 
-def date_value(kind: str, text: str) -> str:
+def date_value(text: str) -> str:
     count = f"try_cast({text} AS DECIMAL(28,6))"
     seconds = f"CASE WHEN abs({count}) > {_SECONDS_LIMIT} THEN {count} / 1000 ELSE {count} END"
     day = f"try_cast(substring({text}, 1, 10) AS DATE)"
     epoch_day = f"date_add(DATE'1970-01-01', CAST(({seconds}) / 86400 AS INT))"
     whole = f"({seconds}) % 86400 = 0 AND ({seconds}) BETWEEN {_FIRST_DAY} AND {_LAST_DAY}"
     return (
-        f"CASE WHEN NOT {kind} RLIKE '{_READABLE}' THEN NULL "
-        f"WHEN {text} RLIKE r'{_CALENDAR}' THEN {day} "
+        f"CASE WHEN {text} RLIKE r'{_CALENDAR}' THEN {day} "
         f"WHEN {text} RLIKE r'{_EPOCH}' AND {whole} THEN {epoch_day} END"
     )
 

@@ -71,36 +71,36 @@ def tool_input(blocks: Column) -> Column:
     return F.get(calls, F.lit(0))["input"]
 
 
-def _value(name: str, kind: str, text: str) -> str:
+def _value(variant: str, name: str, text: str) -> str:
     if name in fixed.DATE_FIELDS:
-        return strict.date_value(kind, text)
+        return strict.date_value(text)
     if name in fixed.MONEY_FIELDS or name in fixed.LINE_NUMBER_FIELDS:
-        return strict.number_value(kind, text)
-    return strict.string_value(kind, text)
+        return strict.number_value(text)
+    return strict.string_value(variant, f"$.{name}", text)
 
 
+_OBJECT_START = r"^[ \t\r\n]*\{"
 _LINE_FIELDS = ("description", *fixed.LINE_NUMBER_FIELDS)
 
 
 def _lines_expr() -> str:
     """Line structs as stored, each with `bad` (malformed) and `fits`.
 
-    Three steps per line, so that nothing is read twice: type names and texts,
-    then values, then typed values.
+    Three steps per line, so that nothing is read twice: texts, then values,
+    then typed values.
     """
-    read = ", ".join(
-        ["'kind', schema_of_variant(i)"]
-        + [f"'kind_{n}', {strict.json_type('i', f'$.{n}')}" for n in _LINE_FIELDS]
+    texts = ", ".join(
+        ["'item', i"]
         + [f"'text_{n}', {strict.json_text('i', f'$.{n}')}" for n in _LINE_FIELDS]
     )
     values = ", ".join(
-        ["'kind', r.kind"]
-        + [f"'kind_{n}', r.kind_{n}" for n in _LINE_FIELDS]
-        + [f"'{n}', {_value(n, f'r.kind_{n}', f'r.text_{n}')}" for n in _LINE_FIELDS]
+        ["'kind', schema_of_variant(t.item)"]
+        + [f"'text_{n}', t.text_{n}" for n in _LINE_FIELDS]
+        + [f"'{n}', {_value('t.item', n, f't.text_{n}')}" for n in _LINE_FIELDS]
     )
     bad = " OR ".join(
         ["NOT coalesce(startswith(v.kind, 'OBJECT'), false)"]
-        + [strict.rejected(f"v.kind_{n}", f"v.{n}") for n in _LINE_FIELDS]
+        + [strict.rejected(f"v.text_{n}", f"v.{n}") for n in _LINE_FIELDS]
     )
     fits = " AND ".join(
         [strict.text_fits("v.description", fixed.LINE_DESCRIPTION_LIMIT)]
@@ -111,10 +111,9 @@ def _lines_expr() -> str:
         + [f"'{n}', try_cast(v.{n} AS {t})" for n, t in fixed.LINE_TYPES.items()]
         + [f"'bad', {bad}", f"'fits', {fits}"]
     )
-    items = "try_variant_get(_doc, '$.line_items', 'array<variant>')"
     return (
-        f"transform(transform(transform({items}, i -> named_struct({read})), "
-        f"r -> named_struct({values})), v -> named_struct({typed}))"
+        f"transform(transform(transform(_items, i -> named_struct({texts})), "
+        f"t -> named_struct({values})), v -> named_struct({typed}))"
     )
 
 
@@ -128,27 +127,28 @@ def parse_payload(df: DataFrame, payload: str, null_lines_ok: bool = False) -> D
     """
     names, kept = fixed.HEADER_FIELDS, [f"`{c}`" for c in df.columns]
     raw = df.withColumn("_doc", F.try_parse_json(payload)).selectExpr(
-        *kept,
-        "schema_of_variant(_doc) AS _root",
-        *[f"{strict.json_type('_doc', f'$.{n}')} AS _kind_{n}" for n in names],
+        *kept, "_doc",
         *[f"{strict.json_text('_doc', f'$.{n}')} AS _text_{n}" for n in names],
-        f"{strict.json_type('_doc', '$.line_items')} AS _list_kind",
-        f"{_lines_expr()} AS _lines",
+        "try_variant_get(_doc, '$.line_items', 'array<variant>') AS _items",
     )
-    # Values first and verdicts in a second step, so that each is computed once.
+    # Texts, values and verdicts are separate steps, so that each is computed once.
     values = raw.selectExpr(
-        *kept, "_root", "_list_kind", "_lines",
-        *[f"_kind_{n}" for n in names],
-        *[f"{_value(n, f'_kind_{n}', f'_text_{n}')} AS _v_{n}" for n in names],
+        *kept,
+        f"_doc IS NOT NULL AND `{payload}` RLIKE r'{_OBJECT_START}' AS _is_object",
+        f"CASE WHEN _items IS NULL THEN {strict.json_type('_doc', '$.line_items')} END "
+        "AS _other_list",
+        f"{_lines_expr()} AS _lines",
+        *[f"_text_{n}" for n in names],
+        *[f"{_value('_doc', n, f'_text_{n}')} AS _v_{n}" for n in names],
     )
-    list_bad = "_list_kind IS NOT NULL AND NOT startswith(_list_kind, 'ARRAY')"
+    list_bad = "_other_list IS NOT NULL"
     if null_lines_ok:
-        list_bad += " AND _list_kind <> 'VOID'"
+        list_bad += " AND _other_list <> 'VOID'"
     schema_bad = [
-        "NOT coalesce(startswith(_root, 'OBJECT'), false)",
-        f"coalesce({list_bad}, false)",
+        "NOT coalesce(_is_object, false)",
+        f"({list_bad})",
         "coalesce(exists(_lines, x -> x.bad), false)",
-        *[strict.rejected(f"_kind_{n}", f"_v_{n}") for n in names],
+        *[strict.rejected(f"_text_{n}", f"_v_{n}") for n in names],
     ]
     unfit = [
         "coalesce(exists(_lines, x -> NOT x.fits), false)",

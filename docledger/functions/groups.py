@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docledger.sources.workspace import shared_folder
+
 HEAVY_ROWS = 1_000_000
 TRACKED_KEYS = 10_000
 LISTED_KEYS = 1_000
@@ -128,6 +130,7 @@ def split_groups(
     is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     # The ranges must not move between uses, so they are pinned in the shared
     # checkpoint folder.
+    shared_folder(df.sparkSession)
     ranged = (
         df.where(is_heavy)
         .repartitionByRange(F.col(key), *order)
@@ -149,7 +152,9 @@ def merge_groups(scans: list[GroupScan]) -> DataFrame:
 
 
 def number_in_group(
-    df: DataFrame, key: str, order: list[Column], name: str, min_rows: int = HEAVY_ROWS
+    df: DataFrame, key: str, order: list[Column], name: str, min_rows: int = HEAVY_ROWS,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
-    scans = split_groups(df, key, order, min_rows)
+    """Add a 0-based position within `key`, in `order`."""
+    scans = split_groups(df, key, order, min_rows, probe)
     return merge_groups([scan.number(name) for scan in scans])

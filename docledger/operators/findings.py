@@ -88,14 +88,22 @@ def no_line_findings(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     return _unfold(without_lines(invoices.select("invoice_id"), lines), [finding])
 
 
-def number_lines(lines: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Add `line_index`, the 0-based rank by stored order, not the order itself."""
+def number_lines(
+    lines: DataFrame, min_rows: int = HEAVY_ROWS, probe: DataFrame | None = None
+) -> DataFrame:
+    """Add `line_index`, the 0-based rank by stored order, not the order itself.
+
+    `probe` is a cheaper frame of the same or more lines in which to look for
+    invoices with very many lines.
+    """
     return number_in_group(
-        lines, "invoice_id", [F.col("line_order"), F.col("line_id")], "line_index", min_rows
+        lines, "invoice_id", [F.col("line_order"), F.col("line_id")], "line_index", min_rows, probe
     )
 
 
-def line_mismatches(lines: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def line_mismatches(
+    lines: DataFrame, min_rows: int = HEAVY_ROWS, probe: DataFrame | None = None
+) -> DataFrame:
     quantity, unit_price, amount = F.col("quantity"), F.col("unit_price"), F.col("amount")
     # Numbers travel only with the mismatching lines; the others are shuffled
     # as bare keys because their rank still counts.
@@ -109,7 +117,8 @@ def line_mismatches(lines: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
         F.when(line_off(quantity, unit_price, amount), text).alias("_text"),
     )
     place = F.concat(F.lit("line_items["), F.col("line_index").cast("string"), F.lit("]"))
-    return number_lines(slim, min_rows).where(F.col("_text").isNotNull()).select(
+    numbered = number_lines(slim, min_rows, lines if probe is None else probe)
+    return numbered.where(F.col("_text").isNotNull()).select(
         "invoice_id",
         F.lit("ERROR").alias("severity"),
         (F.col("line_index") + 1).alias("ord"),
@@ -119,12 +128,15 @@ def line_mismatches(lines: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
     )
 
 
-def all_findings(invoices: DataFrame, lines: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def all_findings(
+    invoices: DataFrame, lines: DataFrame, min_rows: int = HEAVY_ROWS,
+    probe: DataFrame | None = None,
+) -> DataFrame:
     """Every finding; (severity, ord) orders them within an invoice."""
     return (
         header_findings(invoices)
         .unionByName(no_line_findings(invoices, lines))
-        .unionByName(line_mismatches(lines, min_rows))
+        .unionByName(line_mismatches(lines, min_rows, probe))
     )
 
 

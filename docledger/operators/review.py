@@ -236,6 +236,6 @@ def blocked_findings(
     )
     drafts = invoices.join(blocked, "document_id")
     own_lines = lines.join(drafts.select("invoice_id"), "invoice_id", "left_semi")
-    found = findings.all_findings(drafts, own_lines, min_rows)
+    found = findings.all_findings(drafts, own_lines, min_rows, probe=lines)
     named = drafts.select("invoice_id", "document_id", "n_blocked", "first_command_id")
     return found.join(named, "invoice_id").drop("invoice_id")

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a fresh one in local mode only."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(folder)
         return folder
-    context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder:
         return folder

@@ -17,6 +17,11 @@ def _batch_path(root: str, table: str, batch_id: int) -> str:
     return f"{root}/{table}/batch_id={batch_id}"
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _so_far(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
     """Rows of a table that earlier batches or attempts have written."""
     full = f"{schema}, batch_id bigint"
@@ -50,13 +55,10 @@ def process_batch(
     run_extractor(new, factory).write.mode("append").parquet(answers_path)
     answers = spark.read.schema(answer_schema).parquet(answers_path)
     parsed = extract.with_extraction_outcome(extract.parse_payload(answers, "raw_json"))
-    parsed_path = _batch_path(root, "parsed", batch_id)
-    parsed.write.mode("overwrite").parquet(parsed_path)
-    kept = spark.read.schema(parsed.schema).parquet(parsed_path)
+    kept = _kept(parsed, _batch_path(root, "parsed", batch_id))
     good = kept.where(F.col("error_message").isNull())
-    headers, lines = extract.draft_headers(good), extract.draft_lines(good)
-    headers.write.mode("overwrite").parquet(_batch_path(root, "invoices", batch_id))
-    lines.write.mode("overwrite").parquet(_batch_path(root, "invoice_line_items", batch_id))
+    headers = _kept(extract.draft_headers(good), _batch_path(root, "invoices", batch_id))
+    lines = _kept(extract.draft_lines(good), _batch_path(root, "invoice_line_items", batch_id))
     findings.all_findings(headers, lines).write.mode("overwrite").parquet(
         _batch_path(root, "findings", batch_id)
     )

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from docledger import fixed
 
-# One regular-expression class over fixed.WHITE_SPACE, as runs so that a long
-# gap costs one match. Java's \s alone covers ASCII only.
-_WHITE_SPACE_RUN = (
-    r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-)
+# Unicode white space plus the four separators Python counts as well, taken as
+# runs so that a long gap costs one match.
+_WHITE_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def non_space_count(text: Column | str) -> Column:

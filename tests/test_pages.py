@@ -26,6 +26,14 @@ def test_white_space_is_pythons(spark):
         assert row["b"] is (not row["s"].strip()), repr(row["s"])
 
 
+def test_every_character_is_classed_like_python(spark):
+    df = spark.range(1, 0x10000).where("id NOT BETWEEN 55296 AND 57343").select(
+        F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"), "id")
+    blank = df.where(non_space_count("c") == 0).union(df.where(is_blank("c")))
+    spaces = [i for i in range(1, 0x10000) if chr(i).isspace()]
+    assert sorted(r["id"] for r in blank.collect()) == sorted(spaces * 2)
+
+
 def page_rows(spark, rows):
     return build(spark, schemas.PAGES, [
         dict(zip(("document_id", "page_no", "text", "page_error"), r, strict=True)) for r in rows])

@@ -192,6 +192,34 @@ def with_extraction_outcome(parsed: DataFrame) -> DataFrame:
     return parsed.withColumns({"error_category": category, "error_message": message})
 
 
+def final_status(texts: DataFrame, existing: DataFrame, answers: DataFrame) -> DataFrame:
+    """Status of each document after a whole run.
+
+    `texts` has the outcome of the text stages, `existing` the invoices from
+    before the run, `answers` the extraction outcomes (none when there is no
+    extractor). The text stages ask for no starting status, so a document that
+    already has an invoice, even an approved one, ends at TEXT_EXTRACTED: its
+    text was read again and its draft was left alone.
+    """
+    had = existing.select("document_id", F.lit(True).alias("_had"))
+    asked = answers.select(
+        "document_id", F.lit(True).alias("_asked"), F.col("error_message").alias("_error")
+    )
+    text_status = F.col("verdict_status")
+    return (
+        texts.select("document_id", "verdict_status")
+        .join(had, "document_id", "left")
+        .join(asked, "document_id", "left")
+        .select(
+            "document_id",
+            F.when(text_status != "TEXT_EXTRACTED", text_status)
+            .when(F.col("_had").isNotNull() | F.col("_asked").isNull(), text_status)
+            .when(F.col("_error").isNotNull(), "FAILED")
+            .otherwise("REVIEW_REQUIRED").alias("status"),
+        )
+    )
+
+
 def draft_headers(good: DataFrame) -> DataFrame:
     """Draft invoices; approval and rejection stay empty."""
     return good.select(

@@ -138,13 +138,14 @@ def text_stage(
 
 
 def recognised_pages(images: DataFrame, factory: Callable[[], Recogniser]) -> DataFrame:
-    """Run the recogniser on the pages of documents that rendered completely.
+    """Run the recogniser on every page that could be rendered.
 
-    One page that cannot be rendered fails its document, so the costly engine
-    is not run on such documents at all.
+    Pages of a document with another, broken page are run as well: leaving them
+    out would need a join that moves the bytes of all images, to save a few
+    calls. `ocr_stage` fails such documents whatever the engine says.
     """
-    broken = images.where(F.col("page_error")).select("document_id").distinct()
-    return recognise_pages(images.join(broken, "document_id", "left_anti"), factory)
+    rendered = images.where(~F.coalesce("page_error", F.lit(False)))
+    return recognise_pages(rendered, factory)
 
 
 def ocr_stage(
@@ -165,8 +166,9 @@ def ocr_stage(
         F.count("*").alias("_pages"),
     )
     joined = documents.join(rendered, "document_id", "left").join(read, "document_id", "left")
+    broken = F.coalesce("_render_failed", F.lit(False))
     message = (
-        F.when(F.coalesce("_render_failed", F.lit(False)), fixed.RENDER_FAILED)
+        F.when(broken, fixed.RENDER_FAILED)
         .when(F.coalesce("_engine_failed", F.lit(False)), fixed.ENGINE_FAILED)
         .when(~has_meaningful_text(F.coalesce("_chars", F.lit(0)), min_chars),
               fixed.NO_USABLE_TEXT)
@@ -176,8 +178,9 @@ def ocr_stage(
     )
     out = joined.withColumns({
         **_stage_columns(category, message, F.lit("TEXT_EXTRACTED")),
-        "page_count": F.coalesce("_pages", F.lit(0)).cast("bigint"),
-        "non_space_chars": F.coalesce("_chars", F.lit(0)).cast("bigint"),
+        "page_count": F.when(broken, 0).otherwise(F.coalesce("_pages", F.lit(0))).cast("bigint"),
+        "non_space_chars": F.when(broken, 0).otherwise(F.coalesce("_chars", F.lit(0)))
+        .cast("bigint"),
     }).drop("_render_failed", "_engine_failed", "_chars", "_pages")
     return out.withColumns({
         "extracted_text_storage_key": F.when(

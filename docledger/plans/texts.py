@@ -44,7 +44,7 @@ def text_artifact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _text_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def native_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = pages.page_measures(frame(spark, sf_dir, "pages"))
     return pages.text_stage(frame(spark, sf_dir, "page_documents"), measures)
 
@@ -55,7 +55,7 @@ def text_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.select("document_id", "page_count", "non_space_chars", "verdict_status")
 
 
-def _ocr_stage(spark: SparkSession, sf_dir: str, native: DataFrame) -> DataFrame:
+def recognition_stage(spark: SparkSession, sf_dir: str, native: DataFrame) -> DataFrame:
     waiting = native.where(F.col("verdict_status") == "OCR_REQUIRED").select(
         "document_id", "organization_id"
     )
@@ -72,15 +72,15 @@ _OUTCOME = [
 
 
 def ocr_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    staged = _ocr_stage(spark, sf_dir, _text_stage(spark, sf_dir))
+    staged = recognition_stage(spark, sf_dir, native_stage(spark, sf_dir))
     return staged.select(*_OUTCOME, "page_count", "non_space_chars")
 
 
 def text_stage_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final outcome of the text stages: native, or recognition where routed."""
-    native = _text_stage(spark, sf_dir)
+    native = native_stage(spark, sf_dir)
     settled = native.where(F.col("verdict_status") != "OCR_REQUIRED").select(*_OUTCOME)
-    return settled.unionByName(_ocr_stage(spark, sf_dir, native).select(*_OUTCOME))
+    return settled.unionByName(recognition_stage(spark, sf_dir, native).select(*_OUTCOME))
 
 
 def page_reader(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,3 +170,16 @@ def test_filters_after_the_parse_do_not_repeat_it(spark):
     good = extract.parse_payload(df, "raw").where("NOT schema_bad AND NOT limits_bad")
     plan = good._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_final_status_of_a_rerun(spark):
+    texts = spark.createDataFrame(
+        [("d1", "TEXT_EXTRACTED"), ("d2", "TEXT_EXTRACTED"), ("d3", "TEXT_EXTRACTED"),
+         ("d4", "FAILED"), ("d5", "OCR_REQUIRED"), ("d6", "TEXT_EXTRACTED")],
+        "document_id string, verdict_status string")
+    answers = spark.createDataFrame([("d2", None), ("d3", "failed")],
+                                    "document_id string, error_message string")
+    rows = extract.final_status(texts, invoices(spark, invoice("i1")), answers).collect()
+    assert dict(map(tuple, rows)) == {
+        "d1": "TEXT_EXTRACTED", "d2": "REVIEW_REQUIRED", "d3": "FAILED", "d4": "FAILED",
+        "d5": "OCR_REQUIRED", "d6": "TEXT_EXTRACTED"}

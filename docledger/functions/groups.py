@@ -26,8 +26,9 @@ LISTED_KEYS = 1_000
 def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> list:
     """Keys with at least about `min_rows` rows, at most LISTED_KEYS of them.
 
-    The sketch reports every key above roughly 1/3000 of the rows; lighter
-    keys fit one task. The answer only steers the layout, never the result.
+    The sketch tells keys above roughly 1/2000 of the rows from the rest, and
+    lighter keys are left to one task each. The answer only steers the layout,
+    never the result.
     """
     sketch = df.where(F.col(key).isNotNull()).agg(
         F.expr(f"approx_top_k(`{key}`, {LISTED_KEYS}, {TRACKED_KEYS})").alias("top")

@@ -141,7 +141,8 @@ listed AS (
     ORDER BY line_index) AS line_items
   FROM numbered GROUP BY invoice_id
 )
-SELECT i.invoice_id, 0 AS part_no, vendor_name, CAST(total AS VARCHAR) AS total, coalesce(n_lines, 0) AS n_lines,
+SELECT i.invoice_id, 0 AS part_no, vendor_name, CAST(total AS VARCHAR) AS total,
+  coalesce(n_lines, 0) AS n_lines,
   coalesce(line_items, '') AS line_items
 FROM invoices i LEFT JOIN listed l ON l.invoice_id = i.invoice_id""",
     "validation_stage": f"""WITH {ctes('queue', 'invoices')},

@@ -139,7 +139,9 @@ def register_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.register(asked, frame(spark, sf_dir, "users"))
 
 
-def _orphan_sql(link: str, child: str, child_id: str, key: str, parent: str, parent_key: str) -> str:
+def _orphan_sql(
+    link: str, child: str, child_id: str, key: str, parent: str, parent_key: str
+) -> str:
     return (
         f"SELECT '{link}' AS link, CAST({child_id} AS VARCHAR) AS child_id, "
         f"CAST({key} AS VARCHAR) AS missing_key FROM {child} c WHERE {key} IS NOT NULL AND "

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from docledger.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -28,7 +29,11 @@ def _rows(columns, rows):
     return sorted(tuple(str(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_every_query_of_the_library_has_its_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_its_sql(spark, tables, name):
     frame = contract.queries()[name](spark, SF_DIR)
     cursor = tables.execute(contract.oracle_sql()[name])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import chat, language, mixing, toxicity
+from docledger.llm import chat, language, line_dedup, mixing, ngram_join, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,70 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.grouped(table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+OP6_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_SPACED}'), []) AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s FROM w
+), c AS (
+  SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY ALL
+), t AS (SELECT id, n, unnest(s) AS token FROM c),
+p AS (
+  SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.token = y.token AND x.id <> y.id
+    AND 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)
+  GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT id AS a, id AS b FROM c UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a
+), k AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.s = list_sort(s.s) LEFT JOIN k ON k.id = c.id
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its text without repeated lines, and the places of those."""
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", F.size("removed_lines").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"))
+
+
+OP10_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
+    unnest(range(len(string_split(text, chr(10))))) AS line
+  FROM documents
+), w AS (
+  SELECT doc_id, line, text, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM l
+), s AS (
+  SELECT doc_id, line, text, list_sort(list_distinct(
+    [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) AS s FROM w
+), c AS (
+  SELECT s, len(s) AS n, min((doc_id, line)) AS first FROM s WHERE len(s) > 0 GROUP BY s
+), t AS (SELECT first, n, unnest(s) AS token FROM c),
+gone AS (
+  SELECT DISTINCT first FROM (
+    SELECT y.first FROM t x JOIN t y ON x.token = y.token AND x.first < y.first
+      AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
+    GROUP BY x.first, y.first, x.n, y.n HAVING 5 * count(*) >= 4 * (x.n + y.n - count(*)))
+), r AS (
+  SELECT s.doc_id, s.line, s.text,
+    len(s.s) > 0 AND (gone.first IS NOT NULL OR c.first <> (s.doc_id, s.line)) AS removed
+  FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN gone ON gone.first = c.first
+)
+SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (WHERE NOT removed), '') AS text,
+  count(*) FILTER (WHERE removed) AS n_removed,
+  coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (WHERE removed), '') AS removed_lines
+FROM r GROUP BY doc_id
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
@@ -98,9 +162,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_chat": op3_chat,
     "op5_language": op5_language,
+    "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_chat": OP3_SQL,
+    "op6_ngram_join": OP6_SQL,
     "op8_mixing": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
 }

@@ -145,10 +145,10 @@ def described(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
                 at = (sets.tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 np.add.at(bins, at, 1)
                 a, b = _digests(sets)
-                none = pa.nulls(len(a), pa.int32())
+                none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(sets.row)), _packed(sets.line), _packed(sets.sizes),
-                    pa.array(a), pa.array(b), none, none.cast(pa.binary())], names)
+                    pa.array(a), pa.array(b), *none], names)
         blocks = bins.astype(np.uint32).reshape(SKETCH_BLOCKS, -1)
         own = [i for i in range(SKETCH_BLOCKS) if blocks[i].any()]
         none = pa.nulls(len(own), pa.int64())

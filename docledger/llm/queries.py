@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import chat, language, line_dedup, mixing, ngram_join, toxicity
+from docledger.llm import chat, decontaminate, language, line_dedup, mixing, ngram_join, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,42 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), n AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS long,
+    unnest([array_to_string(w[k:k + least(10, len(w)) - 1], ' ')
+      FOR k IN range(1, len(w) - least(10, len(w)) + 2)]) AS window
+  FROM i WHERE len(w) > 0
+), g AS (
+  SELECT doc_id, w, long, unnest(range(1, len(w) - long + 2)) AS start
+  FROM d, (SELECT DISTINCT long FROM n) WHERE len(w) >= long
+), m AS (
+  SELECT g.doc_id, n.item_id, g.start, g.long
+  FROM g JOIN n ON n.long = g.long AND n.window = array_to_string(g.w[g.start:g.start + g.long - 1], ' ')
+), h AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(start, start + long)) AS p FROM m) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(
@@ -160,6 +196,7 @@ FROM k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
     "op3_chat": op3_chat,
     "op5_language": op5_language,
     "op6_ngram_join": op6_ngram_join,
@@ -167,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
     "op3_chat": OP3_SQL,
     "op6_ngram_join": OP6_SQL,
     "op8_mixing": OP8_SQL,

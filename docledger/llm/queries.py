@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import chat, decontaminate, language, line_dedup, mixing, ngram_join, toxicity
+from docledger.llm import (
+    chat,
+    decontaminate,
+    embeddings,
+    language,
+    line_dedup,
+    mixing,
+    ngram_join,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +126,10 @@ FROM s LEFT JOIN c ON c.s = list_sort(s.s) LEFT JOIN k ON k.id = c.id
 """
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its text without repeated lines, and the places of those."""
     return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select(
@@ -201,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,
+    "op9_embeddings": op9_embeddings,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {

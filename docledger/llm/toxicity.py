@@ -120,33 +120,58 @@ def learned(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.coalesce(1).mapInArrow(_fit, "at int, weight double")
 
 
+def _shared_model(documents: DataFrame, model: DataFrame):
+    pairs = model.orderBy("at").collect()  # sparse by L1; 2^BITS rows at the very most
+    return documents.sparkSession.sparkContext.broadcast((
+        np.array([p["at"] for p in pairs], np.int32), np.array([p["weight"] for p in pairs])))
+
+
+def _scores(column: pa.Array, at: np.ndarray, weight: np.ndarray, known: np.ndarray) -> np.ndarray:
+    base = float(weight[0]) if len(at) and at[0] == 0 else 0.0
+    out = []
+    for x in _coordinates(column):
+        hits = np.unique(x[known[x]])
+        out.append(_probability(base + weight[np.searchsorted(at, hits)].sum()))
+    return np.array(out)
+
+
+def _known(at: np.ndarray) -> np.ndarray:
+    known = np.zeros(1 << BITS, bool)
+    known[at] = True
+    return known
+
+
 def scored(documents: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, score: the probability that each row's whole text is toxic.
 
     One row per input row, ids repeated or null included. A null text is scored as
     an empty one, which has the intercept only. Of other columns nothing is read.
     """
-    pairs = model.orderBy("at").collect()  # sparse by L1; 2^BITS rows at the very most
-    at = np.array([p["at"] for p in pairs], np.int32)
-    weight = np.array([p["weight"] for p in pairs])
-    shared = documents.sparkSession.sparkContext.broadcast((at, weight))
+    shared = _shared_model(documents, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, weight = shared.value
-        known = np.zeros(1 << BITS, bool)
-        known[at] = True
-        base = float(weight[0]) if len(at) and at[0] == 0 else 0.0
+        known = _known(shared.value[0])
         for batch in batches:
-            out = []
-            for x in _coordinates(batch.column("text")):
-                hits = np.unique(x[known[x]])
-                out.append(_probability(base + weight[np.searchsorted(at, hits)].sum()))
+            scores = _scores(batch.column("text"), *shared.value, known)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+                [batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
 
 
+def below_threshold(documents: DataFrame, model: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose score is below THRESHOLD."""
+    shared = _shared_model(documents, model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(shared.value[0])
+        for batch in batches:
+            yield batch.filter(pa.array(
+                _scores(batch.column("text"), *shared.value, known) < THRESHOLD))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a row is kept from the fit: a third of all ids, and every null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3, F.lit(1)) == 1

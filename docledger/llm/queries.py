@@ -15,6 +15,7 @@ from docledger.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    pages,
     toxicity,
 )
 
@@ -95,6 +96,10 @@ FROM o GROUP BY conv_id
 """
 
 
+def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
@@ -211,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_chat": op3_chat,
+    "op4_pages": op4_pages,
     "op5_language": op5_language,
     "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,

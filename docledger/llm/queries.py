@@ -12,6 +12,7 @@ from docledger.llm import (
     decontaminate,
     embeddings,
     language,
+    licenses,
     line_dedup,
     mixing,
     ngram_join,
@@ -172,6 +173,70 @@ FROM r GROUP BY doc_id
 """
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, hundreds and tens of the id, the id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws(
+        "/", F.coalesce("source", F.lit("none")), (F.col("doc_id") / 100).cast("long"),
+        (F.col("doc_id") / 10).cast("long"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    found = licenses.scanned(docs.select(path.alias("path"), "text"))
+    number = lambda c: F.regexp_extract(c, "([0-9]+)[.]txt$", 1).cast("long")
+    return found.select(
+        number("path").alias("doc_id"), "path", "own_license", "score", "license_file", "license",
+        number("inherited_from").alias("inherited_from"))
+
+
+def _notices() -> str:
+    return ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
+
+
+OP7_SQL = rf"""
+WITH f AS (
+  SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), doc_id // 100, doc_id // 10,
+    doc_id || '.txt') AS path FROM documents
+), t(license, notice) AS (VALUES {_notices()}),
+l AS (
+  SELECT * FROM (SELECT path, text, unnest(string_split(text, chr(10))) AS line FROM f)
+  WHERE regexp_matches(line, '{licenses.ANCHORS}')
+), u AS (SELECT line FROM l UNION SELECT notice FROM t),
+k AS (
+  SELECT line, token, count(*) AS tf FROM (
+    SELECT line, unnest(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+')) AS token FROM u)
+  GROUP BY ALL
+), i AS (
+  SELECT token, ln((1.0 + (SELECT count(*) FROM u)) / (count(*) + 1)) + 1 AS idf FROM k GROUP BY token
+), w AS (SELECT line, token, tf * idf AS w FROM k JOIN i USING (token)),
+n AS (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY line),
+s AS (
+  SELECT w.line, t.license, round(sum(w.w * v.w) / (any_value(a.norm) * any_value(b.norm)), 6) AS score
+  FROM w JOIN w v USING (token) JOIN t ON t.notice = v.line
+    JOIN n a ON a.line = w.line JOIN n b ON b.line = v.line
+  GROUP BY w.line, t.license, t.notice
+), b AS (
+  SELECT line, arg_max(license, (score, license)) AS license, max(score) AS score
+  FROM s WHERE score >= {licenses.NEAR} GROUP BY line
+), o AS (
+  SELECT path, arg_max(license, (b.score, b.license)) AS own_license, max(b.score) AS score,
+    sum(len(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+')))
+      >= {licenses.FILE_SHARE} * any_value(len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')))
+      AS license_file
+  FROM l JOIN b USING (line) GROUP BY path
+), d AS (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS folder,
+    arg_min((own_license, path), (-score, path)) AS given
+  FROM o WHERE license_file GROUP BY 1
+), g AS (
+  SELECT f.path, arg_max(d.given, length(d.folder)) AS given
+  FROM f JOIN d ON starts_with(f.path, d.folder || '/')
+  WHERE f.path NOT IN (SELECT path FROM o) GROUP BY f.path
+)
+SELECT doc_id, path, own_license, score, coalesce(license_file, false) AS license_file,
+  coalesce(own_license, given[1]) AS license,
+  regexp_extract(given[2], '([0-9]+)[.]txt$', 1)::BIGINT AS inherited_from
+FROM f LEFT JOIN o USING (path) LEFT JOIN g USING (path)
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
@@ -219,6 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pages": op4_pages,
     "op5_language": op5_language,
     "op6_ngram_join": op6_ngram_join,
+    "op7_licenses": op7_licenses,
     "op8_mixing": op8_mixing,
     "op9_embeddings": op9_embeddings,
     "op10_line_dedup": op10_line_dedup,
@@ -227,6 +293,7 @@ ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_chat": OP3_SQL,
     "op6_ngram_join": OP6_SQL,
+    "op7_licenses": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
 }

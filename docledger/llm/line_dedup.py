@@ -25,8 +25,7 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     classes = persisted(items.groupBy("a", "b").agg(
         F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies")),
         "classes")
-    rows = setjoin.blocks(
-        setjoin.prefixes(documents, JOIN, steps), F.struct("doc_id", "a", "b"))
+    rows = setjoin.blocks(setjoin.prefixes(documents, JOIN, steps))
     tried = persisted(setjoin.hub_pairs(rows, JOIN), "pairs")
     gone = _later(setjoin.verified(documents, JOIN, tried), classes)
 
@@ -52,7 +51,7 @@ def _later(links: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _unsettled(rows: DataFrame, classes: DataFrame, gone: DataFrame) -> DataFrame:
     """Candidates of the classes that no hub has removed with all earlier ones."""
-    members = rows.where("rows > 2").select("token", "a", "b", "n", "pos", "tail").distinct()
+    members = setjoin.members(rows)
     dated = persisted(
         members.join(classes.select("a", "b", "first"), ["a", "b"])
         .join(gone.withColumn("gone", F.lit(True)), ["a", "b"], "left"), "dated")

@@ -29,7 +29,7 @@ def grouped(documents: DataFrame, width: int = 3, num: int = 9, den: int = 10) -
     join = setjoin.Join(width, num, den)
     items, sketched = setjoin.described(documents, join)
     steps = setjoin.sketch(sketched)
-    rows = setjoin.blocks(setjoin.prefixes(documents, join, steps), F.xxhash64("a", "token"))
+    rows = setjoin.blocks(setjoin.prefixes(documents, join, steps))
     tried = persisted(setjoin.hub_pairs(rows, join), "pairs")
     links = setjoin.verified(documents, join, tried)
     found = persisted(components(links), "components")
@@ -45,7 +45,7 @@ def grouped(documents: DataFrame, width: int = 3, num: int = 9, den: int = 10) -
 
 def _between(rows: DataFrame, found: DataFrame, join: setjoin.Join) -> DataFrame:
     """Candidates between different components of a block, as far as filters allow."""
-    members = rows.where("rows > 2").select("token", "a", "b", "n", "pos", "tail").distinct()
+    members = setjoin.members(rows)
     labelled = members.join(
         found, F.struct("a", "b") == F.col("node"), "left",
     ).select(members["*"], F.coalesce("root", F.struct("a", "b")).alias("label"))

@@ -13,7 +13,9 @@ prune, and each pair that is left is verified once on the whole sets.
   emitted by passes over the documents. What a pass needs to know travels as a
   bitmap or sketch of fixed size.
 * In a block of classes sharing a prefix token, candidates are first the pairs with
-  one hub. `rest` then finds the pairs which the caller still has to know.
+  one hub, the class with the fewest rarer tokens before that one: copies of a text
+  are nearest to what they were copied from. `rest_pairs` then finds all other pairs
+  which the caller still has to know.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from docledger.sources.workspace import persisted
 SKETCH_BITS, SKETCH_BLOCKS = 22, 64
 #: Bits of the bitmap of classes whose sets are wanted; more only add false alarms.
 WANTED_BITS = 26
-#: A token met more often is dealt to several hubs, one for so many items each.
+#: A token met more often, beyond what strangers in its bin account for, is dealt to
+#: several hubs, one for so many items each.
 HUB_ITEMS = 8192
 _MOST_SETS = 1 << 16
 
@@ -187,12 +190,13 @@ def sketch(blocks: DataFrame) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, join: Join, steps: np.ndarray) -> DataFrame:
-    """token, salt, doc_id, a, b, n, pos, tail: the prefix of every class.
+    """token, salt (null if not dealt), doc_id, a, b, n, pos, tail: every class's prefix.
 
     `tail` has the set's token counts in eight hash classes, a byte each. A task
     emits a class once; the same class may come from several tasks.
     """
     shared = documents.sparkSession.sparkContext.broadcast(steps)
+    most = HUB_ITEMS + 2 * float(np.mean(2.0 ** (steps / 2.0)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps, seen = shared.value, set()
@@ -211,10 +215,11 @@ def prefixes(documents: DataFrame, join: Join, steps: np.ndarray) -> DataFrame:
                 fresh = _unseen(a, b, sizes, seen)
                 own = fresh[item] & (place < (sizes - join.needed(sizes) + 1)[item])
                 item, token = item[own], token[own]
-                hubs = np.ceil(2.0 ** (step[own] / 2) / HUB_ITEMS).astype(np.int64)
+                hubs = np.ceil(2.0 ** (step[own] / 2) / most).astype(np.int64)
+                salt = ((a[item] & 0x7FFFFFFF) % hubs).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(token.view(np.int64)),
-                    pa.array(((a[item] & 0x7FFFFFFF) % hubs).astype(np.int32)),
+                    pa.array(salt, mask=hubs == 1),
                     ids.take(pa.array(sets.row[item])), pa.array(a[item]), pa.array(b[item]),
                     pa.array(sizes[item].astype(np.int32)),
                     pa.array(place[own].astype(np.int32)), pa.array(tail[item]),
@@ -227,13 +232,32 @@ def prefixes(documents: DataFrame, join: Join, steps: np.ndarray) -> DataFrame:
 _MEMBER = ("a", "b", "n", "pos", "tail")
 
 
-def blocks(prefix_rows: DataFrame, hub_order: Column) -> DataFrame:
-    """Prefix rows of tokens that several rows share, with the block's hub; written."""
+def blocks(prefix_rows: DataFrame) -> DataFrame:
+    """Prefix rows of tokens that several classes share, with the block's hub; written.
+
+    `few` marks blocks of two rows: their only pair is that of the hub.
+    """
     block = W.partitionBy("token", "salt")
-    hub = F.min(F.struct(hub_order.alias("order"), *_MEMBER)).over(block)
+    key, dealt = F.struct("a", "b"), F.col("salt").isNotNull()
+    hub = F.min(F.struct("pos", "doc_id", *[F.col(c).alias(f"hub_{c}") for c in _MEMBER]))
     return persisted(
-        prefix_rows.withColumn("hub", hub).withColumn("rows", F.count(F.lit(1)).over(block))
-        .where("rows > 1").drop("order"), "blocks")
+        prefix_rows.withColumn("hub", hub.over(block))
+        .withColumn("rows", F.count(F.lit(1)).over(block))
+        .withColumn("several", F.min(key).over(block) != F.max(key).over(block))
+        .where(dealt | F.col("several"))
+        .withColumn("few", ~dealt & (F.col("rows") == 2))
+        .select("token", *_MEMBER, "few", F.struct(*[
+            F.col(f"hub.hub_{c}").alias(c) for c in _MEMBER]).alias("hub")), "blocks")
+
+
+def members(block_rows: DataFrame) -> DataFrame:
+    """token, a, b, n, pos, tail, shared of blocks with pairs that no hub is part of.
+
+    `shared` counts the tokens of a class's prefix that other prefixes have too.
+    """
+    rows = block_rows.select("token", *_MEMBER, "few").distinct()
+    shared = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return rows.where("NOT few").drop("few").join(shared, ["a", "b"])
 
 
 def _possible(join: Join, x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
@@ -268,18 +292,18 @@ def rest_pairs(left: DataFrame, right: DataFrame, join: Join, wanted: Column) ->
     what follows the prefixes can make up for the others.
     """
     own, other = F.struct("x.a", "x.b"), F.struct("y.a", "y.b")
+    after = F.greatest(*[
+        F.ceil(F.col(f"{s}.n").cast("long") * join.num / join.den - F.lit(1e-9)) - 1 for s in "xy"])
+    lacking = _overlap(join, F.col("x.n"), F.col("y.n")) - after
     met = left.alias("x").join(
         right.alias("y"),
         (F.col("x.token") == F.col("y.token")) & (own != other) & wanted
+        & (F.least("x.shared", "y.shared") >= lacking)
         & _possible(join, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")),
     )
-    counted = met.groupBy(F.least(own, other).alias("u"), F.greatest(own, other).alias("v")).agg(
-        F.count_distinct("x.token").alias("shared"),
-        F.max(F.col("x.n") * join.num / join.den).alias("x_rest"),
-        F.max(F.col("y.n") * join.num / join.den).alias("y_rest"),
-        F.first(_overlap(join, F.col("x.n"), F.col("y.n"))).alias("overlap"))
-    after = F.greatest(F.ceil(F.col("x_rest") - 1e-9), F.ceil(F.col("y_rest") - 1e-9)) - 1
-    return counted.where(F.col("shared") + after >= F.col("overlap")).select("u", "v")
+    return met.groupBy(F.least(own, other).alias("u"), F.greatest(own, other).alias("v")).agg(
+        F.count_distinct("x.token").alias("common"), F.first(lacking).alias("lacking"),
+    ).where("common >= lacking").select("u", "v")
 
 
 def _bitmap(keys: DataFrame) -> bytes:

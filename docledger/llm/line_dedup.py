@@ -20,12 +20,13 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     document: equal lines at the same place of both are one line. A null doc_id
     comes before all others.
     """
-    items, sketched = setjoin.described(documents, JOIN)
-    steps = setjoin.sketch(sketched)
+    bits = setjoin.bits_for(documents)
+    items, bins = setjoin.described(documents, JOIN, bits)
+    order = setjoin.rarity(bins, bits)
     classes = persisted(items.groupBy("a", "b").agg(
         F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies")),
         "classes")
-    rows = setjoin.blocks(setjoin.prefixes(documents, JOIN, steps))
+    rows = setjoin.blocks(setjoin.prefixes(documents, JOIN, order))
     tried = persisted(setjoin.hub_pairs(rows, JOIN), "pairs")
     gone = _later(setjoin.verified(documents, JOIN, tried), classes)
 

@@ -27,9 +27,10 @@ def grouped(documents: DataFrame, width: int = 3, num: int = 9, den: int = 10) -
     leaving out a block's largest component against itself.
     """
     join = setjoin.Join(width, num, den)
-    items, sketched = setjoin.described(documents, join)
-    steps = setjoin.sketch(sketched)
-    rows = setjoin.blocks(setjoin.prefixes(documents, join, steps))
+    bits = setjoin.bits_for(documents)
+    items, bins = setjoin.described(documents, join, bits)
+    order = setjoin.rarity(bins, bits)
+    rows = setjoin.blocks(setjoin.prefixes(documents, join, order))
     tried = persisted(setjoin.hub_pairs(rows, join), "pairs")
     links = setjoin.verified(documents, join, tried)
     found = persisted(components(links), "components")

@@ -6,8 +6,11 @@ their prefixes: of n tokens in order of rarity, two sets of Jaccard t or more sh
 one of the first n - ceil(t * n) + 1. Then length, positional and suffix filters
 prune, and each pair that is left is verified once on the whole sets.
 
-* Rarity comes from a sketch: token counts of all items in a fixed number of bins.
-  Any order that all items share gives whole results; the counts make it a good one.
+* Rarity comes from counts of all items' tokens in bins, about two bins a token as far
+  as MOST_BITS allows. What travels is a bit per bin, whether it was met twice, and a
+  coarse table of the highest counts. Any order that all items share gives whole
+  results; the counts make it a good one. A token met once is first in order and is
+  not sent on, as it can meet nothing: texts like no other send nothing at all.
 * Tokenising is cheap and texts are large, so texts are read again rather than
   shuffled: prefixes, and later the sets of classes that have a candidate, are
   emitted by passes over the documents. What a pass needs to know travels as a
@@ -33,11 +36,14 @@ from pyspark.sql import Window as W
 from docledger.llm import words
 from docledger.sources.workspace import persisted
 
-SKETCH_BITS, SKETCH_BLOCKS = 22, 64
+#: Bins are 2^LEAST_BITS to 2^MOST_BITS; past that, more prefixes travel than meet.
+LEAST_BITS, MOST_BITS, COARSE_BITS = 22, 31, 20
+BLOCKS = 64
+#: Tokens that a task gathers before it sends their bins on.
+GATHERED = 1 << 23
 #: Bits of the bitmap of classes whose sets are wanted; more only add false alarms.
 WANTED_BITS = 26
-#: A token met more often, beyond what strangers in its bin account for, is dealt to
-#: several hubs, one for so many items each.
+#: A token met more often is dealt to several hubs, one for so many items each.
 HUB_ITEMS = 8192
 _MOST_SETS = 1 << 16
 
@@ -133,73 +139,119 @@ def _packed(rows: np.ndarray) -> pa.Array:
     return pa.array(rows.astype(np.int64))
 
 
-def described(documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """(items, sketch blocks), from one pass over the texts, written once.
+def bits_for(documents: DataFrame) -> int:
+    """Bits of a bin's number: two bins for each six characters of text."""
+    chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(max(LEAST_BITS, (chars // 3).bit_length()), MOST_BITS)
 
-    items: doc_id, line, n, a, b for every item, empty ones included.
+
+def described(documents: DataFrame, join: Join, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(items, bins), from one pass over the texts, written once.
+
+    items: doc_id, line, n, a, b for every item, empty ones included. bins: the bins
+    of all tokens, as compressed gaps per task and block; a class counts once a task.
     """
 
+    def gaps(tokens: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        at = np.sort(np.concatenate(tokens) >> np.uint64(64 - bits)) if tokens else []
+        edges = np.searchsorted(at, np.arange(BLOCKS + 1, dtype=np.uint64)
+                                << np.uint64(bits - BLOCKS.bit_length() + 1))
+        for i in range(BLOCKS):
+            own = at[edges[i]: edges[i + 1]]
+            if len(own):
+                own = own - (np.uint64(i) << np.uint64(bits - BLOCKS.bit_length() + 1))
+                yield i, zlib.compress(np.diff(
+                    own.astype(np.uint32), prepend=np.uint32(0)).tobytes(), 1)
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "line", "n", "a", "b", "block", "counts"]
-        bins = np.zeros(1 << SKETCH_BITS, np.int64)
+        names = ["doc_id", "line", "n", "a", "b", "block", "gaps"]
+        tokens: list[np.ndarray] = []
+        seen: set = set()
+
+        def sent() -> pa.RecordBatch:
+            rows = list(gaps(tokens))
+            none = pa.nulls(len(rows), pa.int64())
+            tokens.clear()
+            return pa.RecordBatch.from_arrays([
+                none, none, none, none, none, pa.array([x[0] for x in rows], pa.int32()),
+                pa.array([x[1] for x in rows], pa.binary())], names)
+
         for batch in batches:
             ids = batch.column("doc_id")
             for sets in _sets(batch.column("text"), join):
-                at = (sets.tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                np.add.at(bins, at, 1)
                 a, b = _digests(sets)
+                fresh = _unseen(a, b, sets.sizes, seen)
+                tokens.append(sets.tokens[np.repeat(fresh, sets.sizes)])
                 none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(sets.row)), _packed(sets.line), _packed(sets.sizes),
                     pa.array(a), pa.array(b), *none], names)
-        blocks = bins.astype(np.uint32).reshape(SKETCH_BLOCKS, -1)
-        own = [i for i in range(SKETCH_BLOCKS) if blocks[i].any()]
-        none = pa.nulls(len(own), pa.int64())
-        yield pa.RecordBatch.from_arrays([
-            none, none, none, none, none, pa.array(own, pa.int32()),
-            pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in own], pa.binary()),
-        ], names)
+                if sum(map(len, tokens)) > GATHERED:
+                    yield sent()
+        yield sent()
 
     written = persisted(documents.select("doc_id", "text").mapInArrow(
-        describe, "doc_id long, line long, n long, a long, b long, block int, counts binary"),
+        describe, "doc_id long, line long, n long, a long, b long, block int, gaps binary"),
         "items")
     return (written.where("block IS NULL").select("doc_id", "line", "n", "a", "b"),
-            written.where("block IS NOT NULL").select("block", "counts"))
+            written.where("block IS NOT NULL").select("block", "gaps"))
+
+
+@dataclass(frozen=True)
+class Rarity:
+    """Bits of the bins met twice or more; half binary logarithms of high counts."""
+
+    bits: int
+    twice: np.ndarray
+    coarse: np.ndarray
+
+    def steps(self, tokens: np.ndarray) -> np.ndarray:
+        """0 for tokens met once, else a step that grows with the count."""
+        at = (tokens >> np.uint64(64 - self.bits)).astype(np.int64)
+        met = (self.twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return met * self.coarse[at >> (self.bits - COARSE_BITS)]
 
 
-def sketch(blocks: DataFrame) -> np.ndarray:
-    """Half binary logarithms of the token counts per bin: 2^SKETCH_BITS bytes."""
+def rarity(bins: DataFrame, bits: int) -> Rarity:
+    """Counts the bins; 2^bits / 8 + 2^COARSE_BITS bytes reach the driver."""
+    each, fold = (1 << bits) // BLOCKS, 1 << (bits - COARSE_BITS)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(),
-                                     batch.column("counts").to_pylist()):
-                more = np.frombuffer(zlib.decompress(counts), np.uint32)
-                sums[block] = sums[block] + more if block in sums else more.astype(np.int64)
-        steps = {k: np.ceil(2 * np.log2(v + 1)).astype(np.uint8) for k, v in sums.items()}
+            for block, gaps in zip(batch.column("block").to_pylist(),
+                                   batch.column("gaps").to_pylist()):
+                own = counts.setdefault(block, np.zeros(each, np.uint32))
+                np.add.at(own, np.cumsum(np.frombuffer(zlib.decompress(gaps), np.uint32),
+                                         dtype=np.int64), np.uint32(1))
+        twice = [np.packbits(v > 1, bitorder="little").tobytes() for v in counts.values()]
+        high = [np.ceil(2 * np.log2(v.reshape(-1, fold).max(1) + 1.0)).astype(np.uint8).tobytes()
+                for v in counts.values()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(steps), pa.int32()),
-             pa.array([v.tobytes() for v in steps.values()], pa.binary())], ["block", "counts"])
+            [pa.array(list(counts), pa.int32()), pa.array(twice, pa.binary()),
+             pa.array(high, pa.binary())], ["block", "twice", "high"])
 
-    added = blocks.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary")
-    out = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.uint8)
-    for row in added.collect():  # SKETCH_BLOCKS rows
-        out[row["block"]] = np.frombuffer(bytes(row["counts"]), np.uint8)
-    return out.reshape(-1)
+    counted = bins.repartition(BLOCKS, "block").mapInArrow(
+        count, "block int, twice binary, high binary")
+    twice = np.zeros((BLOCKS, each // 8), np.uint8)
+    coarse = np.zeros((BLOCKS, each // fold), np.uint8)
+    for row in counted.toLocalIterator():  # BLOCKS rows
+        twice[row["block"]] = np.frombuffer(bytes(row["twice"]), np.uint8)
+        coarse[row["block"]] = np.frombuffer(bytes(row["high"]), np.uint8)
+    return Rarity(bits, twice.reshape(-1), coarse.reshape(-1))
 
 
-def prefixes(documents: DataFrame, join: Join, steps: np.ndarray) -> DataFrame:
-    """token, salt (null if not dealt), doc_id, a, b, n, pos, tail: every class's prefix.
+def prefixes(documents: DataFrame, join: Join, order: Rarity) -> DataFrame:
+    """token, salt (null if not dealt), doc_id, a, b, n, pos, tail: every class's prefix,
+    without the tokens that were met once.
 
     `tail` has the set's token counts in eight hash classes, a byte each. A task
     emits a class once; the same class may come from several tasks.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(steps)
-    most = HUB_ITEMS + 2 * float(np.mean(2.0 ** (steps / 2.0)))
+    shared = documents.sparkSession.sparkContext.broadcast(order)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps, seen = shared.value, set()
+        rarity, seen = shared.value, set()
         for batch in batches:
             ids = batch.column("doc_id")
             for sets in _sets(batch.column("text"), join):
@@ -208,14 +260,14 @@ def prefixes(documents: DataFrame, join: Join, steps: np.ndarray) -> DataFrame:
                 kinds = (sets.tokens & np.uint64(7)).astype(np.int64)
                 each = np.bincount(item * 8 + kinds, minlength=8 * len(sizes)).reshape(-1, 8)
                 tail = np.minimum(each, 127).astype(np.int8).view(np.int64)[:, 0]
-                step = steps[(sets.tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                step = rarity.steps(sets.tokens)
                 order = np.argsort(item * 256 + step, kind="stable")
                 token, step = sets.tokens[order], step[order].astype(np.float64)
                 place = np.arange(len(item)) - sets.first[item]
                 fresh = _unseen(a, b, sizes, seen)
-                own = fresh[item] & (place < (sizes - join.needed(sizes) + 1)[item])
+                own = fresh[item] & (step > 0) & (place < (sizes - join.needed(sizes) + 1)[item])
                 item, token = item[own], token[own]
-                hubs = np.ceil(2.0 ** (step[own] / 2) / most).astype(np.int64)
+                hubs = np.ceil(2.0 ** (step[own] / 2) / HUB_ITEMS).astype(np.int64)
                 salt = ((a[item] & 0x7FFFFFFF) % hubs).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(token.view(np.int64)),

@@ -133,14 +133,22 @@ def _runs(documents: DataFrame, known: np.ndarray, sizes: list[int], shingle: in
               "runs array<struct<start: int, width: int, text: string>>"), "runs")
 
 
-def occurrences(found: DataFrame, item_windows: DataFrame) -> DataFrame:
-    """key, item_id, start, n_words: every place of every window."""
+def occurrences(found: DataFrame, item_windows: DataFrame, size: int) -> DataFrame:
+    """key, item_id, start, n_words: every place of every window.
+
+    A shingle travels with the words around it that a window of `size` could cover,
+    never with its whole run.
+    """
     runs = found.select("key", F.explode("runs").alias("run")).select(
         "key", "run.start", "run.width", F.split("run.text", " ").alias("words"))
-    shingles = runs.select("key", "start", "words", F.posexplode(F.transform(
+    left = lambda i: F.least(i, F.lit(size) - F.col("width"))
+    shingles = runs.select("key", "start", F.explode(F.transform(
         F.sequence(F.lit(0), F.size("words") - F.col("width")),
-        lambda i: F.array_join(F.slice("words", i + 1, F.col("width")), " "),
-    )).alias("pos", "shingle"))
+        lambda i: F.struct(
+            i.alias("pos"), left(i).alias("left"),
+            F.array_join(F.slice("words", i + 1, F.col("width")), " ").alias("shingle"),
+            F.slice("words", i - left(i) + 1, left(i) + size).alias("around")),
+    )).alias("s")).select("key", "start", "s.*")
     counts = shingles.groupBy("shingle").count()
     each = item_windows.select("item_id", "n_words", "text", F.posexplode("shingles").alias(
         "place", "shingle"))
@@ -149,12 +157,13 @@ def occurrences(found: DataFrame, item_windows: DataFrame) -> DataFrame:
         F.min_by(F.struct("place", "shingle"), F.struct("count", "shingle", "place")).alias("p"),
     ).select("item_id", F.col("n_words").alias("long"), F.col("text").alias("window"),
              "p.place", "p.shingle")
-    begin = F.col("pos") - F.col("place")
+    begin = F.col("left") - F.col("place")
     met = shingles.join(rarest, "shingle").where(
-        (begin >= 0) & (begin + F.col("long") <= F.size("words"))
-    ).where(F.array_join(F.slice("words", begin + 1, F.col("long")), " ") == F.col("window"))
-    return met.select("key", "item_id", (F.col("start") + begin).alias("start"),
-                      F.col("long").alias("n_words"))
+        (begin >= 0) & (begin + F.col("long") <= F.size("around"))
+    ).where(F.array_join(F.slice("around", begin + 1, F.col("long")), " ") == F.col("window"))
+    return met.select(
+        "key", "item_id", (F.col("start") + F.col("pos") - F.col("place")).alias("start"),
+        F.col("long").alias("n_words"))
 
 
 def contamination(
@@ -170,7 +179,7 @@ def contamination(
     item_windows = persisted(windows(benchmark, size, shingle), "windows")
     sizes = [r["n_words"] for r in item_windows.select("n_words").distinct().collect()]
     found = _runs(documents, _bitmap(item_windows), sizes, shingle)
-    met = persisted(occurrences(found, item_windows), "met")
+    met = persisted(occurrences(found, item_windows, size), "met")
     upto = W.partitionBy("key").orderBy("start", "n_words")
     before = F.max(F.col("start") + F.col("n_words")).over(
         upto.rowsBetween(W.unboundedPreceding, -1))

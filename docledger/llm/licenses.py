@@ -54,9 +54,11 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def _candidates(files: DataFrame) -> DataFrame:
-    lines = F.when(F.col("text").rlike(ANCHORS), F.filter(
-        F.split("text", "\n"), lambda x: x.rlike(ANCHORS)))
-    return files.select("path", "text", F.explode(lines).alias("line"))
+    """path, version, n_words, place, line: lines with a licence word, once each."""
+    hits = files.where(F.col("text").rlike(ANCHORS)).select(
+        "path", F.xxhash64("text").alias("version"), F.size(_tokens(F.col("text"))).alias("n_words"),
+        F.filter(F.split("text", "\n"), lambda x: x.rlike(ANCHORS)).alias("lines"))
+    return hits.select("path", "version", "n_words", F.posexplode("lines").alias("place", "line")).distinct()
 
 
 def _line_licenses(lines: DataFrame) -> DataFrame:
@@ -102,13 +104,14 @@ def scanned(files: DataFrame) -> DataFrame:
     """
     files = files.where("path IS NOT NULL").select("path", "text")
     lines = _candidates(files)
-    found = lines.join(_line_licenses(lines), "line").groupBy("path", "text").agg(
+    found = lines.join(_line_licenses(lines), "line").groupBy("path", "version").agg(
         F.max_by("license", F.struct("score", "license")).alias("license"),
         F.max("score").alias("score"),
-        F.sum(F.size(_tokens(F.col("line")))).alias("near_words"))
+        F.sum(F.size(_tokens(F.col("line")))).alias("near_words"),
+        F.first("n_words").alias("n_words"))
     own = persisted(found.withColumn(
         "license_file", F.col("path").rlike(FILE_NAME)
-        | (F.col("near_words") >= FILE_SHARE * F.size(_tokens(F.col("text")))),
+        | (F.col("near_words") >= FILE_SHARE * F.col("n_words")),
     ).groupBy("path").agg(
         F.max_by("license", F.struct("score", "license")).alias("own_license"),
         F.max("score").alias("score"), F.max("license_file").alias("license_file")), "own")

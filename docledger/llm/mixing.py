@@ -83,7 +83,7 @@ def with_rates(targets: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     step runs on all source rows at once. Rates are rounded to nine decimals, which
     makes reruns agree whatever the last bits are.
     """
-    goal = F.col("target") / F.col("source_size")
+    goal = F.try_divide("target", "source_size")  # null for a source without words
     multiplier = F.aggregate(
         F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0),
         # A long first step to the right would only be walked back one by one.

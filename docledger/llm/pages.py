@@ -71,8 +71,16 @@ class Node:
     def nodes(self) -> list[Node]:
         return [c for c in self.children if c.__class__ is Node]
 
-    def own_text(self) -> str:
-        return " ".join(" ".join(c for c in self.children if c.__class__ is str).split())
+    def own_text(self, links: bool = True) -> str:
+        """The text of this block, less that of blocks inside it."""
+        parts, todo = [], list(reversed(self.children))
+        while todo:
+            c = todo.pop()
+            if c.__class__ is str:
+                parts.append(c)
+            elif c.tag in _INLINE and not c.other and (links or c.tag != "a"):
+                todo += reversed(c.children)
+        return " ".join("".join(parts).split())
 
 
 def parsed(source: str) -> Node:
@@ -187,12 +195,14 @@ def aligned(page: Node, reference: Node, seen: dict) -> None:
                 todo.append((xs[i], ys[j]))
 
 
-def _walk(node: Node, in_link: bool = False) -> Iterator[tuple[Node, bool]]:
-    todo = [(node, in_link)]
+def _walk(node: Node) -> Iterator[Node]:
+    """All blocks that may hold an article, parents first."""
+    todo = [node]
     while todo:
-        node, in_link = todo.pop()
-        yield node, in_link
-        todo += [(c, in_link or c.tag == "a") for c in reversed(node.nodes()) if not c.other]
+        node = todo.pop()
+        if node.tag not in _INLINE:
+            yield node
+        todo += [c for c in reversed(node.nodes()) if not c.other]
 
 
 def induced(pages: list[Node]) -> tuple[dict[int, str], int]:
@@ -208,10 +218,10 @@ def induced(pages: list[Node]) -> tuple[dict[int, str], int]:
         todo += reversed(node.nodes())
     for page in pages[1:]:
         aligned(page, reference, seen)
-    different = list({hash(tuple(x.own_text() for x, _ in _walk(p))): p for p in pages}.values())
+    different = list({hash(tuple(x.own_text() for x in _walk(p))): p for p in pages}.values())
     texts: dict[int, Counter] = {}
     for page in different:
-        for node, _ in _walk(page):
+        for node in _walk(page):
             if node.at >= 0 and (text := node.own_text()):
                 texts.setdefault(node.at, Counter())[text] += 1
     template = {}
@@ -228,14 +238,20 @@ def induced(pages: list[Node]) -> tuple[dict[int, str], int]:
 
 
 def _weights(page: Node, template: dict[int, str]) -> dict[int, int]:
-    """Characters outside links and template of every aligned node's subtree."""
+    """Characters outside links and template of every aligned block with all inside."""
     out: dict[int, int] = {}
-    order = list(_walk(page))
-    total = {}
-    for node, in_link in reversed(order):
-        text = node.own_text()
-        own = 0 if in_link or template.get(node.at) == text else len(text)
-        total[id(node)] = own + sum(total.get(id(c), 0) for c in node.nodes())
+    total: dict[int, int] = {}
+    for node in reversed(list(_walk(page))):
+        own = node.own_text(links=False)
+        inside, todo = 0, node.nodes()
+        while todo:
+            c = todo.pop()
+            if c.tag in _INLINE and not c.other:
+                todo += c.nodes()
+            else:
+                inside += total.get(id(c), 0)
+        kept = not own or template.get(node.at) != node.own_text()
+        total[id(node)] = inside + (len(own) if kept else 0)
         if node.at >= 0:
             out[node.at] = total[id(node)]
     return out
@@ -243,7 +259,7 @@ def _weights(page: Node, template: dict[int, str]) -> dict[int, int]:
 
 def _region(reference: Node, weights: Counter) -> int:
     """The place of the article, else of the smallest part with most of the weight."""
-    named = [n for n, _ in _walk(reference) if n.tag in _MAIN]
+    named = [n for n in _walk(reference) if n.tag in _MAIN]
     if named:
         return max(named, key=lambda n: weights[n.at]).at
     node = reference
@@ -257,9 +273,9 @@ def _region(reference: Node, weights: Counter) -> int:
 
 def extracted(page: Node, template: dict[int, str], region: int) -> str:
     """Blocks of the main region, in order, joined by an empty line."""
-    start = next((n for n, _ in _walk(page) if n.at == region), None)
+    start = next((n for n in _walk(page) if n.at == region), None)
     if start is None:
-        start = next((n for n, _ in _walk(page) if n.tag in _MAIN), page)
+        start = next((n for n in _walk(page) if n.tag in _MAIN), page)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -282,14 +298,26 @@ def extracted(page: Node, template: dict[int, str], region: int) -> str:
                 todo.append(None)
             elif node.tag in ("br", "td", "th"):
                 line.append(" ")
-            if node.at in template and template[node.at] == node.own_text():
-                todo += reversed(node.nodes())
+            if node.tag not in _INLINE and template.get(node.at, "") == node.own_text():
+                todo += _blocks_inside(node)
             else:
                 todo += reversed(node.children)
     flush()
     return "\n\n".join(blocks)
 
 
+def _blocks_inside(node: Node) -> list[Node]:
+    """The nearest blocks below a node, last first."""
+    found, todo = [], node.nodes()
+    while todo:
+        c = todo.pop()
+        if c.tag in _INLINE and not c.other:
+            todo += c.nodes()
+        else:
+            found.append(c)
+    return found
+
+
 def _group(table: pa.Table) -> pa.Table:
     table = table.sort_by([("order", "ascending"), ("page_id", "ascending")])
     pages = [parsed(x or "") for x in table.column("html").to_pylist()]

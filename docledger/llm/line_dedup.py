@@ -26,7 +26,7 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     classes = persisted(items.groupBy("a", "b").agg(
         F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies")),
         "classes")
-    rows = setjoin.blocks(setjoin.prefixes(documents, JOIN, order))
+    rows = setjoin.blocks(setjoin.prefixes(documents, JOIN, order), JOIN)
     tried = persisted(setjoin.hub_pairs(rows, JOIN), "pairs")
     gone = _later(setjoin.verified(documents, JOIN, tried), classes)
 

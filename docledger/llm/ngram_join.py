@@ -30,7 +30,7 @@ def grouped(documents: DataFrame, width: int = 3, num: int = 9, den: int = 10) -
     bits = setjoin.bits_for(documents)
     items, bins = setjoin.described(documents, join, bits)
     order = setjoin.rarity(bins, bits)
-    rows = setjoin.blocks(setjoin.prefixes(documents, join, order))
+    rows = setjoin.blocks(setjoin.prefixes(documents, join, order), join)
     tried = persisted(setjoin.hub_pairs(rows, join), "pairs")
     links = setjoin.verified(documents, join, tried)
     found = persisted(components(links), "components")

@@ -23,6 +23,7 @@ prune, and each pair that is left is verified once on the whole sets.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -284,40 +285,51 @@ def prefixes(documents: DataFrame, join: Join, order: Rarity) -> DataFrame:
 _MEMBER = ("a", "b", "n", "pos", "tail")
 
 
-def blocks(prefix_rows: DataFrame) -> DataFrame:
+def blocks(prefix_rows: DataFrame, join: Join) -> DataFrame:
     """Prefix rows of tokens that several classes share, with the block's hub; written.
 
-    `few` marks blocks of two rows: their only pair is that of the hub.
+    Sets of very different sizes cannot match, so each band of sizes has its own hub.
+    `few` marks blocks of two rows in one band: their only pair is that of the hub.
     """
     block = W.partitionBy("token", "salt")
+    band = F.floor(F.log("n") / F.lit(math.log(join.den / join.num)))
+    near = W.partitionBy("token", "salt", "band")
     key, dealt = F.struct("a", "b"), F.col("salt").isNotNull()
     hub = F.min(F.struct("pos", "doc_id", *[F.col(c).alias(f"hub_{c}") for c in _MEMBER]))
     return persisted(
-        prefix_rows.withColumn("hub", hub.over(block))
+        prefix_rows.withColumn("band", band)
         .withColumn("rows", F.count(F.lit(1)).over(block))
         .withColumn("several", F.min(key).over(block) != F.max(key).over(block))
         .where(dealt | F.col("several"))
-        .withColumn("few", ~dealt & (F.col("rows") == 2))
+        .withColumn("hub", hub.over(near))
+        .withColumn("few", ~dealt & (F.col("rows") == 2) & (F.count(F.lit(1)).over(near) == 2))
         .select("token", *_MEMBER, "few", F.struct(*[
             F.col(f"hub.hub_{c}").alias(c) for c in _MEMBER]).alias("hub")), "blocks")
 
 
 def members(block_rows: DataFrame) -> DataFrame:
-    """token, a, b, n, pos, tail, shared of blocks with pairs that no hub is part of.
+    """token, a, b, n, pos, tail, shared, before of blocks with pairs without a hub.
 
-    `shared` counts the tokens of a class's prefix that other prefixes have too.
+    `shared` counts the tokens of a class's prefix that other prefixes have too,
+    `before` those of them that precede this one: no other token before this one can
+    be common to two classes that meet here.
     """
     rows = block_rows.select("token", *_MEMBER, "few").distinct()
-    shared = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return rows.where("NOT few").drop("few").join(shared, ["a", "b"])
+    own = W.partitionBy("a", "b")
+    return rows.withColumns({
+        "shared": F.count(F.lit(1)).over(own),
+        "before": F.row_number().over(own.orderBy("pos")) - 1,
+    }).where("NOT few").drop("few")
 
 
-def _possible(join: Join, x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+def _possible(
+    join: Join, x: Callable[[str], Column], y: Callable[[str], Column], before: str = "pos",
+) -> Column:
     """Length, positional and suffix filters for x and y meeting at a token."""
     overlap = _overlap(join, x("n"), y("n"))
     length = (F.least(x("n"), y("n")) * join.den >= F.greatest(x("n"), y("n")) * join.num)
     rest = F.least(x("n") - x("pos"), y("n") - y("pos"))
-    positional = F.least(x("pos"), y("pos")) + rest >= overlap
+    positional = F.least(x(before), y(before)) + rest >= overlap
     # What a hash class has more in one set than in the other is not shared.
     byte = lambda v, i: F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))
     apart = sum((F.abs(byte(x("tail"), i) - byte(y("tail"), i)) for i in range(8)), F.lit(0))
@@ -351,7 +363,7 @@ def rest_pairs(left: DataFrame, right: DataFrame, join: Join, wanted: Column) ->
         right.alias("y"),
         (F.col("x.token") == F.col("y.token")) & (own != other) & wanted
         & (F.least("x.shared", "y.shared") >= lacking)
-        & _possible(join, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")),
+        & _possible(join, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), "before"),
     )
     return met.groupBy(F.least(own, other).alias("u"), F.greatest(own, other).alias("v")).agg(
         F.count_distinct("x.token").alias("common"), F.first(lacking).alias("lacking"),

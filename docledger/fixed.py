@@ -45,7 +45,7 @@ LINE_TYPES = {"quantity": QUANTITY_TYPE, "unit_price": MONEY_TYPE, "amount": MON
 TOLERANCE = "0.01"
 
 # Upload gate
-PDF_MAGIC_HEX = "255044462D"
+PDF_MAGIC = b"%PDF-"
 MAX_FILENAME_LENGTH = 255
 MAX_UPLOAD_BYTES = 15 * 1024 * 1024
 UPLOAD_EXTENSIONS = (".pdf",)
@@ -73,9 +73,9 @@ MIN_TEXT_CHARS = 20
 TEXT_ARTIFACT_NAME = "extracted_text.txt"
 # The 29 characters Python's str.split() treats as white space
 WHITE_SPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 READ_FAILED = "Stored file could not be read."
 OPEN_FAILED = "The stored file could not be read as a PDF."

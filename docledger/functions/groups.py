@@ -2,11 +2,10 @@
 
 A window over `partitionBy(key)` puts each key into one task, which is right
 for almost every key and ruinous for one that holds a large share of all rows.
-`split_groups` therefore first asks Spark for the heavy keys (a bounded sketch
-over the key column only). Ordinary keys keep the plain window. The rows of
-heavy keys are range partitioned on (key, order), so one key spans many tasks;
-each range is scanned by itself and short per-range summaries, one row per key
-and range, link the ranges together.
+`split_groups` therefore counts the rows of every key, the NULL key included.
+Ordinary keys keep the plain window. The rows of heavy keys are range partitioned
+on (key, order), so one key spans many tasks; each range is scanned by itself and
+short per-range summaries, one row per key and range, link the ranges together.
 """
 
 from __future__ import annotations
@@ -16,24 +15,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.sources.workspace import shared_folder
+from docledger.sources.workspace import persisted, shared_folder
 
 HEAVY_ROWS = 1_000_000
-TRACKED_KEYS = 10_000
-LISTED_KEYS = 1_000
 
 
-def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> list:
-    """Keys with at least about `min_rows` rows, at most LISTED_KEYS of them.
-
-    The sketch tells keys above roughly 1/2000 of the rows from the rest, and
-    lighter keys are left to one task each. The answer only steers the layout,
-    never the result.
-    """
-    sketch = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(`{key}`, {LISTED_KEYS}, {TRACKED_KEYS})").alias("top")
-    )
-    return [row["item"] for row in sketch.first()["top"] if row["count"] >= min_rows]
+def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Keys with at least `min_rows` rows; counted map-side, kept as a table."""
+    return df.groupBy(F.col(key).alias("_heavy")).count().where(
+        F.col("count") >= min_rows).select("_heavy")
 
 
 @dataclass(frozen=True)
@@ -53,9 +43,9 @@ class GroupScan:
         return Window.partitionBy(*keys).orderBy(*self.order)
 
     def _join_summary(self, df: DataFrame, summary: DataFrame) -> DataFrame:
-        # One row per heavy key and range: at most LISTED_KEYS plus the number
-        # of range partitions, which bounds the broadcast.
-        return df.join(F.broadcast(summary), [self.key, "_range"], "left")
+        summary = summary.withColumnsRenamed({self.key: "_key", "_range": "_at"})
+        same = F.col(self.key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at"))
+        return df.join(summary, same, "left").drop("_key", "_at")
 
     def _before_ranges(self):
         return (
@@ -125,21 +115,22 @@ def split_groups(
     `probe` is a cheaper frame with the same key column to look for heavy keys
     in, when `df` is the product of joins. `order` must be total within a key.
     """
-    heavy = heavy_keys(probe if probe is not None else df, key, min_rows)
-    if not heavy:
+    heavy = persisted(
+        heavy_keys(probe if probe is not None else df, key, min_rows), "heavy-keys")
+    if heavy.isEmpty():
         return [GroupScan(df, key, tuple(order), False)]
-    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    is_heavy = F.col(key).eqNullSafe(F.col("_heavy"))
     # The ranges must not move between uses, so they are pinned in the shared
     # checkpoint folder.
     shared_folder(df.sparkSession)
     ranged = (
-        df.where(is_heavy)
+        df.join(heavy, is_heavy, "left_semi")
         .repartitionByRange(F.col(key), *order)
         .withColumn("_range", F.spark_partition_id())
         .checkpoint()
     )
     return [
-        GroupScan(df.where(~is_heavy), key, tuple(order), False),
+        GroupScan(df.join(heavy, is_heavy, "left_anti"), key, tuple(order), False),
         GroupScan(ranged, key, tuple(order), True),
     ]
 

@@ -102,6 +102,19 @@ def csv_rows(cell_rows: DataFrame, tenants: DataFrame) -> DataFrame:
     return body.unionByName(header)
 
 
+def requested_rows(
+    requests: DataFrame, documents: DataFrame, invoices: DataFrame, lines: DataFrame,
+) -> DataFrame:
+    """The cells of every granted single-invoice export: command_id, file_name, the
+    sort keys and the 19 columns. Refused requests have none."""
+    granted = requested(requests, documents, invoices).where(F.col("outcome") == "OK").select(
+        "command_id", "file_name", F.col("invoice_id").alias("_invoice_id"))
+    asked = granted.select(F.col("_invoice_id").alias("invoice_id")).distinct()
+    own = approved_invoices(documents, invoices).join(asked, "invoice_id", "left_semi")
+    flat = flatten(own, lines.join(asked, "invoice_id", "left_semi"))
+    return cells(flat).join(granted, "_invoice_id")
+
+
 def requested(requests: DataFrame, documents: DataFrame, invoices: DataFrame) -> DataFrame:
     """Gate for single-invoice exports: tenant, then status, then a draft."""
     known = documents.select(

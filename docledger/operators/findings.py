@@ -112,7 +112,9 @@ def line_mismatches(
         unit_price.cast("string"), F.lit(") = "), (quantity * unit_price).cast("string"),
         F.lit(", which does not match amount ("), amount.cast("string"), F.lit(")."),
     )
-    slim = lines.select(
+    # Only invoices with a mismatch are ranked.
+    off = lines.where(line_off(quantity, unit_price, amount)).select("invoice_id").distinct()
+    slim = lines.join(off, "invoice_id", "left_semi").select(
         "invoice_id", "line_order", "line_id",
         F.when(line_off(quantity, unit_price, amount), text).alias("_text"),
     )
@@ -132,7 +134,11 @@ def all_findings(
     invoices: DataFrame, lines: DataFrame, min_rows: int = HEAVY_ROWS,
     probe: DataFrame | None = None,
 ) -> DataFrame:
-    """Every finding; (severity, ord) orders them within an invoice."""
+    """Every finding of `invoices`; (severity, ord) orders them within an invoice.
+
+    Lines of other invoices are left out.
+    """
+    lines = lines.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
     return (
         header_findings(invoices)
         .unionByName(no_line_findings(invoices, lines))

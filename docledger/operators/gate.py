@@ -28,14 +28,14 @@ def reject_reason(
     allowed = F.lit(False)
     for extension in extensions:
         allowed = allowed | lowered.endswith(extension)
-    magic = F.unhex(F.lit(fixed.PDF_MAGIC_HEX))
+    magic = F.lit(fixed.PDF_MAGIC)
     has_magic = F.coalesce(F.substring(F.col("header"), 1, 5) == magic, F.lit(False))
     return (
         F.when(is_blank(name), fixed.NAME_REQUIRED)
         .when(F.char_length(name) > fixed.MAX_FILENAME_LENGTH, fixed.NAME_TOO_LONG)
         .when(unsafe, fixed.NAME_UNSAFE)
         .when(~allowed, fixed.TYPE_UNSUPPORTED)
-        .when(F.col("size_bytes") <= 0, fixed.FILE_EMPTY)
+        .when(F.coalesce("size_bytes", F.lit(0)) <= 0, fixed.FILE_EMPTY)
         .when(F.col("size_bytes") > max_bytes, fixed.FILE_OVERSIZED)
         .when(~has_magic, fixed.CONTENT_INVALID)
     )

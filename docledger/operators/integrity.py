@@ -20,14 +20,15 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """First row per key. The minimum combines map-side, so a key with very many
-    copies costs one row per task."""
+    """First row per key; rows with a NULL key never clash and all stay. The minimum
+    combines map-side, so a key with very many copies costs one row per task."""
     rest = [c for c in df.columns if c not in (key, *order)]
     first = F.min(F.struct(*order, *rest)).alias("_first")
-    return (
+    firsts = (
         df.where(F.col(key).isNotNull()).groupBy(key).agg(first)
         .select(key, "_first.*").select(*df.columns)
     )
+    return firsts.unionByName(df.where(F.col(key).isNull()))
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -119,6 +120,26 @@ def enum_violations(rows: DataFrame, row_id: str, columns: dict[str, tuple[str,
     )
 
 
+def not_null_violations(rows: DataFrame, row_id: str, required: tuple[str, ...]) -> DataFrame:
+    """(row_id, column_name) of every required value that is missing."""
+    tests = [F.when(F.col(n).isNull(), F.lit(n)) for n in required]
+    return rows.select(
+        F.col(row_id).alias("row_id"),
+        F.explode(F.array_compact(F.array(*tests))).alias("column_name"),
+    )
+
+
+REQUIRED = {
+    "organizations": ("organization_id", "name"),
+    "users": ("user_id", "organization_id", "email", "is_active"),
+    "documents": ("document_id", "organization_id", "uploaded_by_user_id", "original_filename",
+                  "storage_key", "content_type", "file_size_bytes", "status"),
+    "invoices": ("invoice_id", "document_id"),
+    "invoice_line_items": ("line_id", "invoice_id", "line_order"),
+    "processing_jobs": ("job_id", "document_id", "stage", "status"),
+}
+
+
 DEFAULTS = {
     "documents": {"status": "UPLOADED"},
     "processing_jobs": {"status": "PENDING"},

@@ -43,6 +43,21 @@ def review_view(documents: DataFrame, invoices: DataFrame, lines: DataFrame) ->
     )
 
 
+def review_lines(documents: DataFrame, invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of the drafts in a review view, with the rank findings name them by."""
+    drafts = documents.select("document_id", "organization_id").join(
+        invoices.select("document_id", "invoice_id"), "document_id")
+    own = lines.join(drafts.select("invoice_id"), "invoice_id", "left_semi")
+    return findings.number_lines(own, probe=lines).join(drafts, "invoice_id")
+
+
+def review_findings(documents: DataFrame, invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """The findings of the drafts in a review view."""
+    drafts = documents.select("document_id", "organization_id").join(invoices, "document_id")
+    return findings.all_findings(drafts, lines).join(
+        drafts.select("invoice_id", "document_id", "organization_id"), "invoice_id")
+
+
 def reason_bad() -> Column:
     length = F.char_length("reason")
     return is_blank("reason") | (length < 1) | (length > fixed.MAX_REASON_LENGTH)
@@ -77,7 +92,15 @@ def command_outcomes(
     min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Outcome of every command: INVALID, NOT_FOUND, CONFLICT, MISSING_DRAFT,
-    BLOCKED, SAVE_FAILED or OK, tested in that order."""
+    BLOCKED, SAVE_FAILED or OK, tested in that order.
+
+    A kind other than EDIT, APPROVE and REJECT, or none, is INVALID. Only documents
+    that commands name are looked at, so a small batch reads few lines' groups.
+    """
+    named = commands.select("document_id").distinct()
+    documents = documents.join(named, "document_id", "left_semi")
+    invoices = invoices.join(named, "document_id", "left_semi")
+    lines = lines.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
     is_edit, is_approve, is_reject = (
         F.col("kind") == kind for kind in ("EDIT", "APPROVE", "REJECT")
     )
@@ -89,8 +112,10 @@ def command_outcomes(
     )
     checked = with_patch(commands).select(
         *commands.columns,
-        F.coalesce((is_edit & F.col("schema_bad")) | (is_reject & reason_bad()), F.lit(False))
-        .alias("_invalid"),
+        F.coalesce(
+            (is_edit & F.col("schema_bad")) | (is_reject & reason_bad())
+            | ~(is_edit | is_approve | is_reject), F.lit(True)
+        ).alias("_invalid"),
         (is_edit & F.col("limits_bad")).alias("_unfit"),
         *[F.when(is_set(n), F.struct(F.col(n).alias("v"))).alias(f"_set_{n}")
           for n in fixed.MONEY_FIELDS],
@@ -168,6 +193,18 @@ def decided_documents(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
     ).drop("_new")
 
 
+def decided_invoices(invoices: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Invoices with who decided them, when and why; others keep what they have."""
+    made = decisions(outcomes).drop("status")
+    names = [c for c in made.columns if c != "document_id"]
+    new = made.withColumnsRenamed({c: f"_new_{c}" for c in names})
+    joined = invoices.join(new, "document_id", "left")
+    return joined.withColumns({
+        c: F.coalesce(f"_new_{c}", c) if c in invoices.columns else F.col(f"_new_{c}")
+        for c in names
+    }).drop(*[f"_new_{c}" for c in names])
+
+
 def saved_edits(outcomes: DataFrame) -> DataFrame:
     return outcomes.where((F.col("outcome") == "OK") & (F.col("kind") == "EDIT"))
 
@@ -222,20 +259,27 @@ def blocked_findings(
 ) -> DataFrame:
     """Findings of every document with a blocked approval, once per document.
 
-    `n_blocked` counts its blocked approvals and `first_command_id` names the
-    first. `invoices` and `lines` are the drafts the approvals were judged on.
-    The findings are not repeated per command: a document may hold many of both.
+    `n_blocked` counts its blocked approvals and `first_command_id` names the first;
+    the findings are those of the draft as that one met it: `invoices` and `lines`,
+    changed by the edits saved before. They are not repeated per command: a document
+    may hold many of both.
     """
     blocked = (
         outcomes.where(F.col("outcome") == "BLOCKED")
         .groupBy("document_id")
         .agg(
             F.count("*").alias("n_blocked"),
-            F.min(F.struct("issued_at", "command_id"))["command_id"].alias("first_command_id"),
+            F.min(F.struct("issued_at", "command_id")).alias("_first"),
         )
     )
-    drafts = invoices.join(blocked, "document_id")
-    own_lines = lines.join(drafts.select("invoice_id"), "invoice_id", "left_semi")
-    found = findings.all_findings(drafts, own_lines, min_rows, probe=lines)
-    named = drafts.select("invoice_id", "document_id", "n_blocked", "first_command_id")
+    earlier = saved_edits(outcomes).join(
+        blocked.select("document_id", "_first"), "document_id"
+    ).where(F.struct("issued_at", "command_id") < F.col("_first")).drop("_first")
+    before = invoices.join(blocked.select("document_id"), "document_id", "left_semi")
+    own_lines = lines.join(before.select("invoice_id"), "invoice_id", "left_semi")
+    drafts = patched_headers(before, earlier)
+    found = findings.all_findings(
+        drafts, patched_lines(own_lines, before, earlier), min_rows, probe=lines)
+    named = before.select("invoice_id", "document_id").join(blocked, "document_id").select(
+        "invoice_id", "document_id", "n_blocked", F.col("_first.command_id").alias("first_command_id"))
     return found.join(named, "invoice_id").drop("invoice_id")

@@ -54,6 +54,15 @@ def export_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def export_requested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = frame(spark, sf_dir, "commands").select(
+        "command_id", "document_id", "organization_id")
+    rows = export.requested_rows(
+        requests, frame(spark, sf_dir, "documents"), frame(spark, sf_dir, "drafts"),
+        frame(spark, sf_dir, "lines"))
+    return rows.select("command_id", "file_name", *fixed.EXPORT_COLUMNS)
+
+
 def export_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = export.csv_rows(_cells(spark, sf_dir), frame(spark, sf_dir, "organizations"))
     return lines.select("organization_id", "is_body", "value")
@@ -98,6 +107,7 @@ QUERIES = {
     "export_cells": export_cells,
     "export_all_tenants": export_all_tenants,
     "export_requested": export_requested,
+    "export_requested_rows": export_requested_rows,
     "export_csv_lines": export_csv_lines,
 }
 
@@ -123,6 +133,13 @@ judged AS (
 SELECT command_id, document_id, organization_id, outcome,
   CASE WHEN outcome = 'OK' THEN invoice_id END AS invoice_id,
   CASE WHEN outcome = 'OK' THEN 'invoice-' || invoice_id || '.csv' END AS file_name FROM judged""",
+    "export_requested_rows": f"""WITH {ctes('commands')},
+{FLAT_SQL.replace(ctes('documents', 'invoices', 'lines'), ctes('documents', 'drafts', 'lines'))
+         .replace("JOIN invoices i", "JOIN drafts i")}
+SELECT command_id, 'invoice-' || x.invoice_id || '.csv' AS file_name,
+  {", ".join(f"x.{n}" for n in fixed.EXPORT_COLUMNS)}
+FROM commands c JOIN cells x ON x.document_id = CAST(c.document_id AS VARCHAR)
+  AND x.organization_id = c.organization_id""",
     "export_csv_lines": f"""WITH {FLAT_SQL}
 SELECT organization_id, 1 AS is_body,
   {" || ',' || ".join(_quoted(n) for n in fixed.EXPORT_COLUMNS)} AS value FROM cells

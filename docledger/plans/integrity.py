@@ -49,7 +49,7 @@ def dup_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     tables = {n: frame(spark, sf_dir, n) for n in ("organizations", "users", "documents")}
-    tables["invoices"] = frame(spark, sf_dir, "drafts")
+    tables["invoices"] = frame(spark, sf_dir, "invoices")
     tables["invoice_line_items"] = frame(spark, sf_dir, "lines")
     tables["processing_jobs"] = frame(spark, sf_dir, "jobs")
     return tables
@@ -70,7 +70,7 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "line invoice": (t["invoice_line_items"], "line_id", "invoice_id",
                          invoices, "invoice_id"),
         "job document": (t["processing_jobs"], "job_id", "document_id",
-                         invoices, "document_id"),
+                         documents, "document_id"),
     })
 
 
@@ -102,6 +102,34 @@ def enum_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_enum_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queued documents under a status that is no document status."""
+    rows = frame(spark, sf_dir, "queue").withColumn(
+        "status", F.when(F.col("document_id") % 50 == 0, F.lower("status"))
+        .when(F.col("document_id") % 50 != 1, F.col("status")))
+    return integrity.enum_violations(
+        rows, "document_id", integrity.document_enum_columns(), required=("status",))
+
+
+def null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required values that are missing, over tables with gaps."""
+    jobs = frame(spark, sf_dir, "jobs")
+    users = frame(spark, sf_dir, "users")
+    uploads = frame(spark, sf_dir, "uploads").select(
+        F.col("upload_id").alias("document_id"), "organization_id",
+        F.col("user_id").alias("uploaded_by_user_id"),
+        F.col("filename").alias("original_filename"),
+        F.col("filename").alias("storage_key"), "content_type",
+        F.col("size_bytes").alias("file_size_bytes"), F.lit("UPLOADED").alias("status"))
+    out = None
+    for name, rows, key in (("processing_jobs", jobs, "job_id"), ("users", users, "user_id"),
+                            ("documents", uploads, "document_id")):
+        found = integrity.not_null_violations(rows, key, integrity.REQUIRED[name]).select(
+            F.lit(name).alias("table_name"), "row_id", "column_name")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def column_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = integrity.with_defaults(frame(spark, sf_dir, "jobs"), "processing_jobs")
     users = integrity.with_defaults(frame(spark, sf_dir, "users"), "users")
@@ -161,6 +189,8 @@ QUERIES = {
     "cascade_delete": cascade_delete,
     "restrict_delete": restrict_delete,
     "enum_violations": enum_violations,
+    "document_enum_violations": document_enum_violations,
+    "null_violations": null_violations,
     "column_defaults": column_defaults,
     "tenant_isolation": tenant_isolation,
     "stamped_updates": stamped_updates,
@@ -179,7 +209,7 @@ SELECT uploaded_by_user_id AS document_id, count(*) AS n_rows,
 FROM docs GROUP BY uploaded_by_user_id HAVING count(*) > 1""",
     "dup_email": f"""WITH {ctes('users')}
 SELECT email, count(*) AS n_rows FROM users GROUP BY email HAVING count(*) > 1""",
-    "orphans": f"WITH {ctes('organizations', 'users', 'documents', 'drafts', 'lines', 'jobs')} "
+    "orphans": f"WITH {ctes('organizations', 'users', 'documents', 'invoices', 'lines', 'jobs')} "
     + "\nUNION ALL\n".join([
         _orphan_sql("user organization", "users", "user_id", "organization_id",
                     "organizations", "organization_id"),
@@ -187,24 +217,24 @@ SELECT email, count(*) AS n_rows FROM users GROUP BY email HAVING count(*) > 1""
                     "organizations", "organization_id"),
         _orphan_sql("document uploader", "docs", "document_id", "uploaded_by_user_id",
                     "users", "user_id"),
-        _orphan_sql("invoice document", "drafts", "invoice_id", "document_id",
+        _orphan_sql("invoice document", "invoices", "invoice_id", "document_id",
                     "docs", "document_id"),
-        _orphan_sql("invoice approver", "drafts", "invoice_id", "approved_by_user_id",
+        _orphan_sql("invoice approver", "invoices", "invoice_id", "approved_by_user_id",
                     "users", "user_id"),
-        _orphan_sql("invoice rejecter", "drafts", "invoice_id", "rejected_by_user_id",
+        _orphan_sql("invoice rejecter", "invoices", "invoice_id", "rejected_by_user_id",
                     "users", "user_id"),
-        _orphan_sql("line invoice", "lines", "line_id", "invoice_id", "drafts", "invoice_id"),
-        _orphan_sql("job document", "jobs", "job_id", "document_id", "drafts", "document_id"),
+        _orphan_sql("line invoice", "lines", "line_id", "invoice_id", "invoices", "invoice_id"),
+        _orphan_sql("job document", "jobs", "job_id", "document_id", "docs", "document_id"),
     ]),
-    "cascade_delete": f"""WITH {ctes('organizations', 'users', 'documents', 'drafts', 'lines',
+    "cascade_delete": f"""WITH {ctes('organizations', 'users', 'documents', 'invoices', 'lines',
                                      'jobs')},
 lost AS (SELECT document_id FROM docs WHERE organization_id IN ({_GONE})),
-lost_invoices AS (SELECT invoice_id FROM drafts WHERE document_id IN (FROM lost))
+lost_invoices AS (SELECT invoice_id FROM invoices WHERE document_id IN (FROM lost))
 SELECT 'organizations' AS table_name, count(*) AS n_rows FROM organizations
   WHERE organization_id NOT IN ({_GONE})
 UNION ALL SELECT 'users', count(*) FROM users WHERE organization_id NOT IN ({_GONE})
 UNION ALL SELECT 'documents', count(*) FROM docs WHERE organization_id NOT IN ({_GONE})
-UNION ALL SELECT 'invoices', count(*) FROM drafts WHERE document_id NOT IN (FROM lost)
+UNION ALL SELECT 'invoices', count(*) FROM invoices WHERE document_id NOT IN (FROM lost)
 UNION ALL SELECT 'processing_jobs', count(*) FROM jobs WHERE document_id NOT IN (FROM lost)
 UNION ALL SELECT 'invoice_line_items', count(*) FROM lines
   WHERE invoice_id NOT IN (FROM lost_invoices)""",
@@ -224,6 +254,26 @@ UNION ALL SELECT job_id, 'status', status FROM jobs
   WHERE status IS NULL OR status NOT IN {fixed.JOB_STATUSES}
 UNION ALL SELECT job_id, 'error_category', error_category FROM jobs
   WHERE error_category NOT IN {fixed.ERROR_CATEGORIES}""",
+    "document_enum_violations": f"""WITH {ctes('queue')},
+rows AS (SELECT document_id, CASE WHEN document_id % 50 = 0 THEN lower(status)
+  WHEN document_id % 50 <> 1 THEN status END AS value FROM queue)
+SELECT document_id AS row_id, 'status' AS column_name, value FROM rows
+WHERE value IS NULL OR value NOT IN ('UPLOADED', 'VALIDATING', 'STORED', 'EXTRACTING_TEXT',
+  'TEXT_EXTRACTED', 'OCR_REQUIRED', 'OCR_PROCESSING', 'AI_PROCESSING', 'VALIDATING_RESULT',
+  'REVIEW_REQUIRED', 'APPROVED', 'REJECTED', 'FAILED')""",
+    "null_violations": f"""WITH {ctes('jobs', 'users', 'uploads')},
+found AS (
+  SELECT 'processing_jobs' AS table_name, job_id AS row_id, unnest(['job_id', 'document_id', 'stage',
+    'status']) AS column_name, unnest([job_id IS NULL, document_id IS NULL, stage IS NULL,
+    status IS NULL]) AS missing FROM jobs
+  UNION ALL SELECT 'users', user_id, unnest(['user_id', 'organization_id', 'email', 'is_active']),
+    unnest([user_id IS NULL, organization_id IS NULL, email IS NULL, is_active IS NULL]) FROM users
+  UNION ALL SELECT 'documents', upload_id, unnest(['document_id', 'organization_id',
+    'uploaded_by_user_id', 'original_filename', 'storage_key', 'content_type', 'file_size_bytes']),
+    unnest([upload_id IS NULL, organization_id IS NULL, user_id IS NULL, filename IS NULL,
+    filename IS NULL, content_type IS NULL, size_bytes IS NULL]) FROM uploads
+)
+SELECT table_name, row_id, column_name FROM found WHERE missing""",
     "column_defaults": f"""WITH {ctes('jobs', 'users')}
 SELECT 'job' AS kind, job_id AS row_id, coalesce(status, 'PENDING') AS value FROM jobs
 UNION ALL SELECT 'user', user_id, CAST(coalesce(is_active, true) AS VARCHAR) FROM users""",

@@ -49,6 +49,18 @@ def review_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def review_view_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir)
+    return shown(review.review_lines(f["documents"], f["drafts"], f["lines"]).select(
+        "document_id", "organization_id", "line_index", "line_id", "line_order", "description",
+        "quantity", "unit_price", "amount"))
+
+
+def review_view_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir)
+    return review.review_findings(f["documents"], f["drafts"], f["lines"])
+
+
 def command_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a whole batch of commands decides, per document."""
     outcomes, _ = _outcomes(spark, sf_dir)
@@ -81,6 +93,22 @@ def patch_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("invoice_id", "n_errors", "n_warnings", "is_valid", "requires_review")
 
 
+def patch_findings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the edited drafts after the edits."""
+    outcomes, f = _outcomes(spark, sf_dir, keep=True)
+    headers = review.patched_headers(f["drafts"], outcomes)
+    lines = review.patched_lines(f["lines"], f["drafts"], outcomes)
+    edited = review.saved_edits(outcomes).select("document_id").distinct()
+    return findings.all_findings(headers.join(edited, "document_id", "left_semi"), lines)
+
+
+def decided_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes, f = _outcomes(spark, sf_dir)
+    return shown(review.decided_invoices(f["drafts"], outcomes).select(
+        "invoice_id", "approved_at", "approved_by_user_id", "rejected_at",
+        "rejected_by_user_id", "rejection_reason"))
+
+
 def _of_kind(
     spark: SparkSession, sf_dir: str, kind: str, keep: bool = False
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -98,7 +126,7 @@ def approve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approve_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes, f = _of_kind(spark, sf_dir, "APPROVE", keep=True)
+    outcomes, f = _outcomes(spark, sf_dir, keep=True)
     return review.blocked_findings(outcomes, f["drafts"], f["lines"])
 
 
@@ -245,6 +273,10 @@ QUERIES = {
     "patch_scalars": patch_scalars,
     "patch_lines": patch_lines,
     "patch_findings": patch_findings,
+    "patch_findings_rows": patch_findings_rows,
+    "review_view_lines": review_view_lines,
+    "review_view_findings": review_view_findings,
+    "decided_invoices": decided_invoices,
     "approve_batch": approve_batch,
     "approve_blocked": approve_blocked,
     "reject_batch": reject_batch,
@@ -281,14 +313,42 @@ edited AS (SELECT * FROM patched WHERE document_id IN (SELECT document_id FROM l
 {VERDICT_SQL.replace("FROM invoices i", "FROM edited i").replace("FROM lines", "FROM patched_lines")}
 SELECT invoice_id, n_errors, n_warnings, n_errors = 0 AS is_valid,
   n_errors > 0 OR n_warnings > 0 AS requires_review FROM verdicts""",
+    "patch_findings_rows": f"""WITH {outcomes_sql()}, {_LAST_SET}, {_NEW_LINES},
+invoices AS (SELECT * FROM patched WHERE document_id IN (SELECT document_id FROM last_sets)),
+{NUMBERED_SQL.replace("FROM lines", "FROM patched_lines WHERE invoice_id IN (SELECT invoice_id FROM invoices)")}
+{_ALL_FINDINGS.replace("FROM lines", "FROM patched_lines")}""",
+    "review_view_lines": f"""WITH {ctes('documents', 'drafts', 'lines')}, {NUMBERED_SQL}
+SELECT d.document_id, d.organization_id, line_index, line_id, line_order, description,
+  {text_sql('quantity', 'unit_price', 'amount')}
+FROM numbered n JOIN drafts i ON i.invoice_id = n.invoice_id
+JOIN docs d ON d.document_id = i.document_id""",
+    "review_view_findings": f"""WITH {ctes('documents', 'drafts', 'lines')},
+invoices AS (SELECT * FROM drafts),
+{NUMBERED_SQL.replace("FROM lines", "FROM lines WHERE invoice_id IN (SELECT invoice_id FROM drafts)")},
+found AS ({_ALL_FINDINGS})
+SELECT f.*, d.document_id, d.organization_id FROM found f
+JOIN drafts i ON i.invoice_id = f.invoice_id JOIN docs d ON d.document_id = i.document_id""",
+    "decided_invoices": f"""WITH {outcomes_sql()}, {_DECISIONS}
+SELECT i.invoice_id, CAST(coalesce(d.approved_at, i.approved_at) AS VARCHAR) AS approved_at,
+  coalesce(d.approved_by_user_id, i.approved_by_user_id) AS approved_by_user_id,
+  {text_sql('d.rejected_at')},
+  coalesce(d.rejected_by_user_id, i.rejected_by_user_id) AS rejected_by_user_id,
+  coalesce(d.rejection_reason, i.rejection_reason) AS rejection_reason
+FROM drafts i LEFT JOIN decisions d ON d.document_id = i.document_id""",
     "approve_batch": f"""WITH {outcomes_sql("'APPROVE'")}, {_DECISIONS}
 SELECT document_id, status, {text_sql('approved_at')}, approved_by_user_id FROM decisions""",
-    "approve_blocked": f"""WITH {outcomes_sql("'APPROVE'")},
+    "approve_blocked": f"""WITH {outcomes_sql()},
 blocked AS (SELECT document_id, count(*) AS n_blocked,
-  arg_min(command_id, (issued_at, command_id)) AS first_command_id
+  arg_min(command_id, (issued_at, command_id)) AS first_command_id,
+  min((issued_at, command_id)) AS first_at
   FROM outcomes WHERE outcome = 'BLOCKED' GROUP BY document_id),
-invoices AS (SELECT * FROM drafts WHERE document_id IN (SELECT document_id FROM blocked)),
-{NUMBERED_SQL}, found AS ({_ALL_FINDINGS})
+earlier AS (SELECT o.* FROM outcomes o JOIN blocked b ON b.document_id = o.document_id
+  WHERE (o.issued_at, o.command_id) < b.first_at),
+{_LAST_SET.replace("FROM outcomes", "FROM earlier")},
+{_NEW_LINES.replace("FROM outcomes", "FROM earlier")},
+invoices AS (SELECT * FROM patched WHERE document_id IN (SELECT document_id FROM blocked)),
+{NUMBERED_SQL.replace("FROM lines", "FROM patched_lines WHERE invoice_id IN (SELECT invoice_id FROM invoices)")},
+found AS ({_ALL_FINDINGS.replace("FROM lines", "FROM patched_lines")})
 SELECT f.* EXCLUDE (invoice_id), b.document_id, n_blocked, first_command_id FROM found f
 JOIN invoices i ON i.invoice_id = f.invoice_id JOIN blocked b ON b.document_id = i.document_id""",
     "reject_batch": f"""WITH {outcomes_sql("'REJECT'")}, {_DECISIONS}

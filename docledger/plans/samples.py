@@ -42,7 +42,7 @@ class LengthExtractor:
         if size % 23 == 0:
             raise RuntimeError("client failure")
         if size % 29 == 0:
-            return {"vendor_name": 12345, "line_items": "this should be a list"}
+            return {"vendor_name": 70, "line_items": "seven lines"}
         return {
             "vendor_name": f"Vendor {size % 100}",
             "currency": "USD",

@@ -64,7 +64,7 @@ INVOICES = {
     "invoice_id": "o_orderkey",
     "document_id": "o_orderkey",
     "vendor_name": "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 23 = 0 "
-                   "THEN 'Vendor, \"Special\" Inc.' ELSE c_mktsegment END",
+                   "THEN 'Vendor, \"Quoted\" Inc.' ELSE c_mktsegment END",
     "vendor_address": "CASE WHEN o_orderkey % 6 = 0 THEN NULL "
                       "ELSE concat(CAST(c_nationkey AS STRING), ' Main Street') END",
     "customer_name": "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE c_name END",
@@ -146,9 +146,9 @@ PAYLOADS = {
                 "'\", \"tax\": 1.25, \"total\": 1000, \"line_items\": [{\"description\": \"a\", "
                 "\"quantity\": 2, \"unit_price\": \"5.00\", \"amount\": 10}]}') "
                 "WHEN 1 THEN '{}' "
-                "WHEN 2 THEN '{\"vendor_name\": 12345}' "
+                "WHEN 2 THEN '{\"vendor_name\": 70}' "
                 "WHEN 3 THEN '{\"subtotal\": \"not-a-number\"}' "
-                "WHEN 4 THEN '{\"line_items\": \"this should be a list\"}' "
+                "WHEN 4 THEN '{\"line_items\": \"seven lines\"}' "
                 "WHEN 5 THEN '{\"line_items\": null}' "
                 "WHEN 6 THEN '{\"invoice_date\": \"2026-8-2\"}' "
                 "WHEN 7 THEN '{\"invoice_date\": \"2026-08-20T00:00:00\", \"due_date\": 86400}' "
@@ -225,7 +225,7 @@ STORED = {"storage_key": "concat('html/', CAST(page_id * 3 AS STRING))",
 
 JOBS = {
     "job_id": "event_id",
-    "document_id": "event_id - event_id % 4",
+    "document_id": "CASE WHEN event_id % 89 = 5 THEN -event_id ELSE event_id - event_id % 4 END",
     "stage": "CASE event_type WHEN 'view' THEN 'TEXT_EXTRACTION' WHEN 'click' THEN 'OCR' "
              "WHEN 'purchase' THEN 'AI_EXTRACTION' WHEN 'signup' THEN 'RESULT_VALIDATION' "
              "ELSE 'CLEANUP' END",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docledger import fixed
 from docledger.plans.extraction import TEXT_FAILURE_SQL
@@ -16,6 +17,7 @@ from docledger.plans.standins import (
     TEXTS,
     UPLOADS,
     ctes,
+    driver_table,
     frame,
     spark_list,
 )
@@ -26,6 +28,8 @@ from docledger.streaming.chain import read_findings, start_chain
 from docledger.streaming.decisions import start_decisions
 from docledger.streaming.uploads import start_gate
 
+BATCHES = 4
+
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return (
@@ -56,8 +60,19 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = frame(spark, sf_dir, "documents").selectExpr(
         "document_id", "organization_id AS owner_id"
     )
+    # One file per trigger, in order of time: edits and approvals of a document come
+    # in different batches.
+    raw = driver_table(spark, sf_dir, "events")
+    first, last = raw.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * i / BATCHES for i in range(1, BATCHES)] if first else []
+    bounds = [F.lit(c).cast("timestamp_ntz") for c in cuts]
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        rows = raw if low is None else raw.where(F.col("ts") > low)
+        rows = rows if high is None else rows.where(F.col("ts") <= high)
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
     commands = (
-        _stream(spark, sf_dir, "events").selectExpr(*spark_list(COMMANDS))
+        spark.readStream.schema(DRIVER_TABLES["events"]).option("maxFilesPerTrigger", 1)
+        .parquet(f"{root}/in").selectExpr(*spark_list(COMMANDS))
         .join(owners, "document_id", "left")
         .selectExpr(*COMMANDS, f"{COMMAND_TENANT} AS organization_id")
     )

@@ -8,23 +8,30 @@ from pyspark.sql import functions as F
 from docledger import fixed
 
 
-def stored_files(
-    spark: SparkSession, root: str, max_bytes: int = fixed.MAX_UPLOAD_BYTES
-) -> DataFrame:
-    """Files under `root` as (storage_key, length, content).
+def _qualified(spark: SparkSession, root: str) -> str:
+    """`root` as the file system itself writes it in the paths of its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/") + "/"
 
-    The length filter reaches the file listing, so bytes of oversized files are
-    never read; columns not selected later (content) are not read either.
+
+def stored_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files of any size under `root` as (storage_key, length, content).
+
+    How large a file may be is the gate's rule, not this reader's. Columns not
+    selected later (content) are not read. A path outside `root` fails the job.
     """
-    base = root.rstrip("/") + "/"
+    base = _qualified(spark, root)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(base)
-        .where(F.col("length") <= max_bytes)
     )
-    start = F.locate(base, F.col("path")) + len(base)
-    key = F.substr(F.col("path"), start)
+    # binaryFile may print file:/x as file:///x, depending on the file system.
+    path = F.regexp_replace("path", "^file:/+", "file:/")
+    base = "file:/" + base.removeprefix("file:").lstrip("/") if base.startswith("file:") else base
+    key = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(
+        F.raise_error(F.concat(F.lit("stored file outside the root: "), path)))
     return files.select(key.alias("storage_key"), "length", "content")
 
 

@@ -6,13 +6,14 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 from pathlib import Path
 
+import pytest
 from builders import T0, document, documents, invoice, invoices, line, lines
 
 from docledger import fixed
 from docledger.operators import export
 from docledger.sources.sinks import write_cell_export, write_csv_export, write_text_artifacts
 
-VENDOR = 'Vendor, "Special" Inc.\nSecond line'
+VENDOR = 'Vendor, "Quoted" Inc.\nSecond line'
 
 
 def sample(spark):
@@ -58,6 +59,36 @@ def test_fraction_is_shown_only_when_present(spark):
         "2024-01-01T01:02:03+00:00", "2024-01-01T01:02:03.000450+00:00"]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_are_utc_in_any_session(spark, zone):
+    from docledger.functions.cells import iso_timestamp
+    from pyspark.sql import functions as F
+
+    df = spark.sql(
+        "SELECT explode(array(TIMESTAMP'2024-03-10T07:30:00Z', TIMESTAMP'2024-11-03T05:30:00.5Z',"
+        " TIMESTAMP'1969-12-31T23:59:59.25Z')) AS t")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert [r[0] for r in df.select(iso_timestamp(F.col("t"))).collect()] == [
+            "2024-03-10T07:30:00+00:00", "2024-11-03T05:30:00.500000+00:00",
+            "1969-12-31T23:59:59.250000+00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_rows_of_a_single_export(spark):
+    docs, heads, items = sample(spark)
+    known = heads.join(docs, "document_id").where("status = 'APPROVED'").first()
+    asked = spark.createDataFrame(
+        [("c1", known["document_id"], known["organization_id"]), ("c2", known["document_id"], "zz")],
+        "command_id string, document_id string, organization_id string")
+    rows = export.requested_rows(asked, docs, heads, items).collect()
+    mine = items.where(f"invoice_id = '{known['invoice_id']}'").count()
+    assert len(rows) == max(mine, 1)
+    assert {(r["command_id"], r["invoice_id"]) for r in rows} == {("c1", known["invoice_id"])}
+
+
 def test_list_puts_missing_approval_times_last(spark):
     docs, heads, _ = sample(spark)
     rows = export.approved_list(docs, heads).where("organization_id = 'a'").collect()

@@ -3,6 +3,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from builders import invoice, invoices, line, lines
 
 from docledger import fixed
@@ -119,8 +120,25 @@ def test_huge_invoice_is_numbered_across_tasks(spark):
 def test_heavy_keys_names_only_the_heavy_one(spark):
     from docledger.functions.groups import heavy_keys
 
-    assert heavy_keys(_many(spark, 600), "invoice_id", 100) == ["i1"]
-    assert heavy_keys(_many(spark, 600), "invoice_id") == []
+    rows = heavy_keys(_many(spark, 600), "invoice_id", 100).collect()
+    assert [r[0] for r in rows] == ["i1"]
+    assert heavy_keys(_many(spark, 600), "invoice_id").collect() == []
+
+
+def test_many_heavy_keys_and_a_heavy_null_are_split(spark):
+    from docledger.functions.groups import number_in_group
+
+    df = spark.range(6000).selectExpr("IF(id % 3 = 0, NULL, id % 1500) AS k", "id AS o")
+    plain = number_in_group(df, "k", [F.col("o")], "n").collect()
+    split = number_in_group(df, "k", [F.col("o")], "n", min_rows=2).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, split))
+    assert max(r["n"] for r in split if r["k"] is None) == 1999
+
+
+def test_findings_are_only_of_the_invoices_asked_for(spark):
+    items = lines(spark, line("l1", "i1", amount="1.00"), line("l2", "i2", amount="2.00"))
+    rows = findings.all_findings(invoices(spark, invoice("i1")), items).collect()
+    assert [(r["invoice_id"], r["code"]) for r in rows] == [("i1", "LINE_ITEM_AMOUNT_MISMATCH")]
 
 
 def test_nested_invoices_split_into_parts_and_keep_every_line(spark):

@@ -27,6 +27,7 @@ GOOD = {"upload_id": "1", "organization_id": "a", "user_id": "u", "filename": "i
     ({"filename": "a..pdf"}, fixed.NAME_UNSAFE),
     ({"filename": "x.txt"}, fixed.TYPE_UNSUPPORTED),
     ({"size_bytes": 0}, fixed.FILE_EMPTY),
+    ({"size_bytes": None}, fixed.FILE_EMPTY),
     ({"size_bytes": 1024}, None),
     ({"size_bytes": 1025}, fixed.FILE_OVERSIZED),
     ({"header": b"MZ"}, fixed.CONTENT_INVALID),

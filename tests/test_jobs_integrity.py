@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docledger import schemas
 from docledger.operators import integrity, jobs
-from docledger.sources.tables import append_table, read_table
+from docledger.sources.tables import append_table, read_table, replace_table
 
 
 @pytest.mark.parametrize("micros", [0, 999, 1000, 1_234_567, 4_350_000, 57_010_000, 1_001_000,
@@ -52,7 +52,7 @@ def test_duplicates_and_keep_first(spark):
                         ("d5", None, 0)]])
     assert [tuple(r) for r in integrity.duplicates(docs, "storage_key").collect()] == [("k", 2)]
     kept = integrity.keep_first(docs, "storage_key", ["created_at", "document_id"])
-    assert sorted(r["document_id"] for r in kept.collect()) == ["d2", "d3"]
+    assert sorted(r["document_id"] for r in kept.collect()) == ["d2", "d3", "d4", "d5"]
 
 
 def _tables(spark):
@@ -108,6 +108,25 @@ def test_enums_and_defaults(spark):
     assert {r["status"] for r in filled} == {"PENDING", "FAILED"}
 
 
+def test_missing_values_are_named(spark):
+    rows = documents(spark, document("d1", storage_key="k"), document("d2", None, status=None))
+    found = integrity.not_null_violations(
+        rows, "document_id", ("organization_id", "status", "storage_key")).collect()
+    assert sorted(tuple(r) for r in found) == [
+        ("d2", "organization_id"), ("d2", "status"), ("d2", "storage_key")]
+
+
+def test_a_table_is_replaced_by_rows_read_from_it(spark, tmp_path):
+    root = str(tmp_path)
+    docs = documents(spark, document("d1", "a"), document("d2", "b", status="FAILED"))
+    replace_table(docs, root, "documents")
+    stored = read_table(spark, root, "documents")
+    replace_table(stored.withColumn("status", F.lit("APPROVED")), root, "documents")
+    again = read_table(spark, root, "documents").select("document_id", "status").collect()
+    assert sorted(map(tuple, again)) == [("d1", "APPROVED"), ("d2", "APPROVED")]
+    assert [p.name for p in tmp_path.iterdir()] == ["documents"]
+
+
 def test_stamps_move_only_with_the_data(spark):
     old = documents(spark, document("d1", created_at=T0, updated_at=T0),
                     document("d2", created_at=T0, updated_at=T0))

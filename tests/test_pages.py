@@ -131,13 +131,17 @@ def test_stored_files_are_read_and_split_into_pages(spark, tmp_path):
         path = tmp_path / key
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(content)
-    files = stored_files(spark, str(tmp_path), max_bytes=50)
+    files = stored_files(spark, str(tmp_path))
     docs = spark.createDataFrame([("1", "a/1.pdf"), ("2", "a/2.pdf"), ("3", "a/3.pdf"),
                                   ("4", "b/big.pdf")], "document_id string, storage_key string")
     outcome = read_outcome(docs, files)
     failed = {r["document_id"]: r["error_message"] for r in outcome.collect()}
-    assert failed == {"1": None, "2": None, "3": fixed.READ_FAILED, "4": fixed.READ_FAILED}
-    found = read_pages(outcome.where(F.col("content").isNotNull()), FormFeedReader).collect()
+    assert failed == {"1": None, "2": None, "3": fixed.READ_FAILED, "4": None}
+    for root in (f"file://{tmp_path}", f"file:{tmp_path}/", f"{tmp_path}/"):
+        keys = [r["storage_key"] for r in stored_files(spark, root).collect()]
+        assert sorted(keys) == ["a/1.pdf", "a/2.pdf", "b/big.pdf"]
+    small = outcome.where("length < 50")
+    found = read_pages(small.where(F.col("content").isNotNull()), FormFeedReader).collect()
     rows = sorted((r["document_id"], r["page_no"] if r["page_no"] is not None else -1, r["text"],
                    r["page_error"], r["open_failed"]) for r in found)
     assert rows == [("1", 0, "one", False, False), ("1", 1, None, True, False),

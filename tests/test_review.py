@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from builders import T0, commands, document, documents, invoice, invoices, line, lines
 
-from docledger.operators import review
+from docledger.operators import export, review
 
 
 def cmd(key, kind, minutes=0, patch=None, **values):
@@ -45,6 +45,8 @@ def codes(frame):
     ({"kind": "APPROVE", "organization_id": "b"}, "NOT_FOUND"),
     ({"kind": "APPROVE", "document_id": "nope"}, "NOT_FOUND"),
     ({"kind": "EDIT", "patch": "oops", "organization_id": "b"}, "INVALID"),
+    ({"kind": "DELETE"}, "INVALID"),
+    ({"kind": None}, "INVALID"),
 ])
 def test_single_command(spark, command, expected):
     row = {"command_id": "c1", "issued_at": T0, **command}
@@ -131,6 +133,48 @@ def test_blocked_findings_appear_once_per_document(spark):
     assert {(r["n_blocked"], r["first_command_id"]) for r in rows} == {(2, "c1")}
 
 
+def test_blocked_findings_are_those_the_approval_met(spark):
+    rows = [cmd("c1", "EDIT", 0, {"total": "999.00", "due_date": None}), cmd("c2", "APPROVE", 1),
+            cmd("c3", "EDIT", 2, {"total": "115.00", "vendor_name": None}), cmd("c4", "APPROVE", 3)]
+    got = outcomes(spark, rows)
+    assert codes(got) == {"c1": "OK", "c2": "BLOCKED", "c3": "OK", "c4": "OK"}
+    found = review.blocked_findings(got, invoices(spark, invoice()), lines(spark, line("l1")))
+    assert sorted((r["code"], r["field"]) for r in found.collect()) == [
+        ("FIELD_MISSING", "due_date"), ("TOTAL_MISMATCH", "total")]
+
+
+def test_approval_reaches_the_export(spark):
+    got = outcomes(spark, [cmd("c1", "APPROVE", user_id="boss")])
+    docs = review.decided_documents(documents(spark, document()), got)
+    heads = review.decided_invoices(invoices(spark, invoice(), invoice("i2")), got)
+    rows = export.cells(export.flatten(
+        export.approved_invoices(docs, heads), lines(spark, line("l1")))).collect()
+    assert [(r["invoice_id"], r["approved_at"], r["approved_by_user_id"]) for r in rows] == [
+        ("i1", "2024-01-01T12:00:00+00:00", "boss")]
+    other = heads.where("invoice_id = 'i2'").first()
+    assert (other["approved_at"], other["rejected_at"]) == (None, None)
+
+
+def test_only_lines_of_named_documents_are_aggregated(spark):
+    got = outcomes(spark, [cmd("c1", "APPROVE")])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    body = plan[plan.index("count_if") if "count_if" in plan else 0:]
+    assert "LeftSemi" in body
+
+
+def test_review_view_has_lines_and_findings(spark):
+    docs = documents(spark, document(), document("d2", "b"), document("d3"))
+    heads = invoices(spark, invoice(), invoice("i2", total=None))
+    items = lines(spark, line("l2", "i1", 5), line("l1", "i1", 2, amount="1.00"))
+    rows = review.review_lines(docs, heads, items).collect()
+    assert sorted((r["document_id"], r["line_index"], r["line_id"]) for r in rows) == [
+        ("d1", 0, "l1"), ("d1", 1, "l2")]
+    found = review.review_findings(docs, heads, items).collect()
+    assert sorted((r["document_id"], r["organization_id"], r["code"]) for r in found) == [
+        ("d1", "a", "LINE_ITEM_AMOUNT_MISMATCH"), ("d2", "b", "FIELD_MISSING"),
+        ("d2", "b", "NO_LINE_ITEMS")]
+
+
 def _replay(rows, heads):
     """The commands applied one at a time, as a person at a desk would."""
     state, out = {}, {}

@@ -104,6 +104,33 @@ def test_stream_decisions_keep_refusing_across_batches(spark, tmp_path):
         ("d1", "APPROVED"), ("d2", "REJECTED")]
 
 
+def test_stream_decisions_remember_edits_of_earlier_batches(spark, tmp_path):
+    def cmd(key, doc, kind, minutes, patch=None):
+        return {"command_id": key, "document_id": doc, "kind": kind, "patch": patch,
+                "issued_at": T0 + timedelta(minutes=minutes)}
+
+    batches = [
+        [cmd("c1", "d1", "EDIT", 0, '{"total": "999.00"}'), cmd("c2", "d2", "APPROVE", 0)],
+        [cmd("c3", "d1", "APPROVE", 1), cmd("c4", "d2", "EDIT", 1, '{"line_items": []}')],
+        [cmd("c5", "d1", "EDIT", 2, '{"total": "115.00"}'), cmd("c6", "d2", "APPROVE", 2)],
+        [cmd("c7", "d1", "APPROVE", 3), cmd("c8", "d2", "EDIT", 3, "{}")],
+    ]
+    docs = documents(spark, document("d1"), document("d2"))
+    heads = invoices(spark, invoice("i1"), invoice("i2"))
+    items = lines(spark, line("l1", "i1"), line("l2", "i2", amount="1.00"))
+    stream = _feed(spark, [commands(spark, *b) for b in batches], str(tmp_path / "in"),
+                   schemas.COMMANDS)
+    root = str(tmp_path / "tables")
+    decisions.start_decisions(
+        stream, root, str(tmp_path / "cp"), docs, heads, items).awaitTermination()
+    got = {r["command_id"]: r["outcome"] for r in spark.read.parquet(f"{root}/outcomes").collect()}
+    batch = review.command_outcomes(
+        commands(spark, *[c for b in batches for c in b]), docs, heads, items)
+    assert got == {r["command_id"]: r["outcome"] for r in batch.collect()}
+    assert got == {"c1": "OK", "c2": "BLOCKED", "c3": "BLOCKED", "c4": "OK", "c5": "OK",
+                   "c6": "OK", "c7": "OK", "c8": "CONFLICT"}
+
+
 def test_workspace_needs_a_shared_folder_off_local_mode(spark, monkeypatch):
     from docledger.sources import workspace
 

@@ -22,7 +22,7 @@ BITS = 24
 FIT_TOXIC, FIT_CLEAN = 3000, 6000
 ALPHA, BETA, L2, EPOCHS = 2.0, 1.0, 0.2, 10
 #: The L1 term in proportion to the toxic rows of the sample, as their gradients add up.
-L1_SHARE, L1_LEAST, L1_MOST = 0.008, 2.0, 16.0
+L1_SHARE, L1_LEAST, L1_MOST = 0.02, 4.0, 30.0
 #: Coordinates in fewer rows of a full sample say nothing about other rows; a smaller
 #: sample lowers the number in proportion.
 FIT_LEAST = 8

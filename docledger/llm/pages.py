@@ -153,13 +153,32 @@ def _shaped(root: Node) -> Node:
 
 
 def _score(a: Node, b: Node, seen: dict) -> int:
-    """Simple tree matching: the most pairs of nodes two trees can share in order."""
+    """Simple tree matching: the most pairs of nodes two trees can share in order.
+
+    `seen` must have the pairs of children with equal heads, see _matched.
+    """
     if a.tag != b.tag or a.names != b.names:
         return 0
-    key = (a.shape, b.shape)
-    if key not in seen:
-        seen[key] = 1 + _table(a.nodes(), b.nodes(), seen)[-1][-1]
-    return seen[key]
+    return seen[a.shape, b.shape]
+
+
+def _matched(xs: list[Node], ys: list[Node], seen: dict) -> None:
+    """Puts the scores of all pairs of xs and ys with equal heads into `seen`, children first."""
+    todo = _unmatched(xs, ys, seen)
+    while todo:
+        a, b = todo[-1]
+        if (a.shape, b.shape) not in seen:
+            below = _unmatched(a.nodes(), b.nodes(), seen)
+            if below:
+                todo += below
+                continue
+            seen[a.shape, b.shape] = 1 + _table(a.nodes(), b.nodes(), seen)[-1][-1]
+        todo.pop()
+
+
+def _unmatched(xs: list[Node], ys: list[Node], seen: dict) -> list[tuple[Node, Node]]:
+    return list({(x.shape, y.shape): (x, y) for x in xs for y in ys if x.tag == y.tag
+                 and x.names == y.names and (x.shape, y.shape) not in seen}.values())
 
 
 def _table(xs: list[Node], ys: list[Node], seen: dict) -> list[list[int]]:
@@ -183,6 +202,7 @@ def aligned(page: Node, reference: Node, seen: dict) -> None:
         if a.shape == b.shape:
             todo += zip(xs, ys)
             continue
+        _matched(xs, ys, seen)
         rows = _table(xs, ys, seen)
         i, j = len(xs), len(ys)
         while i and j:

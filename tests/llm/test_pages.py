@@ -66,3 +66,9 @@ def test_large_hosts_are_split(spark, monkeypatch):
     body = "<article><p>text {i}</p></article>"
     got = texts(spark, [(i, "HTTP://Big.org/", page(i, body.replace("{i}", str(i)))) for i in range(95)])
     assert got == {i: f"text {i}" for i in range(95)}
+
+
+def test_deep_pages_of_one_host_are_aligned(spark):
+    rows = [(i, "http://deep.org/", "<div>" * (1500 + i) + f"deep {i}") for i in range(3)]
+    rows += [(3, "http://deep.org/", "<div>" + "<font>" * 1200 + "deep 3")]
+    assert texts(spark, rows) == {i: f"deep {i}" for i in range(4)}

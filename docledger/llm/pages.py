@@ -13,7 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +41,7 @@ _INLINE = frozenset((
 _OTHER = frozenset((
     "head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu",
     "svg", "object", "canvas", "audio", "video")) | _RAW
-#: Parts that hold no article by a word of their class, id or role.
+#: Small parts that hold no article by a word of their class, id or role.
 _OTHER_NAMES = frozenset((
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner",
     "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay",
@@ -50,6 +50,8 @@ _OTHER_NAMES = frozenset((
     "discussion", "replies", "disqus", "related", "share", "sharing", "social", "newsletter",
     "subscribe", "signup", "login", "search", "searchbox", "widget", "toolbar", "pagination"))
 _MAIN = ("article", "main")
+#: Elements whose names say nothing about what they hold.
+_WRAPPERS = ("html", "body", *_MAIN)
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",),
     "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
@@ -58,12 +60,16 @@ _HOLDERS = frozenset(("html", "body", "article", "main", "section", "div", "nav"
 
 
 class Node:
-    """An element: tag, other (holds no article), children (nodes and texts)."""
+    """An element: tag, other (holds no article), children (nodes and texts).
 
-    __slots__ = ("tag", "names", "other", "children", "shape", "at")
+    `named`: a word of its names speaks against an article; see _essential.
+    """
+
+    __slots__ = ("tag", "names", "other", "named", "children", "shape", "at")
 
     def __init__(self, tag: str, names: frozenset, other: bool) -> None:
         self.tag, self.names, self.other = tag, names, other
+        self.named = tag not in _WRAPPERS and not names.isdisjoint(_OTHER_NAMES)
         self.children: list = []
         self.shape = 0
         self.at = -1
@@ -113,7 +119,7 @@ def parsed(source: str) -> Node:
             _close_open_paragraph(stack)
         for closed in _CLOSES.get(name, ()):
             _close(stack, closed, _HOLDERS)
-        node = Node(name, names, name in _OTHER or not names.isdisjoint(_OTHER_NAMES))
+        node = Node(name, names, name in _OTHER)
         stack[-1].children.append(node)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
@@ -228,7 +234,8 @@ def _walk(node: Node) -> Iterator[Node]:
 def induced(pages: list[Node]) -> tuple[dict[int, str], int]:
     """(texts of template nodes, the main region) by places of the reference.
 
-    The reference is the first page; its nodes are numbered in document order.
+    The reference is the first page; its nodes are numbered in document order. Parts
+    that hold no article by their names are marked on the way.
     """
     reference, seen = pages[0], {}
     todo, n = [reference], 0
@@ -238,50 +245,107 @@ def induced(pages: list[Node]) -> tuple[dict[int, str], int]:
         todo += reversed(node.nodes())
     for page in pages[1:]:
         aligned(page, reference, seen)
-    different = list({hash(tuple(x.own_text() for x in _walk(p))): p for p in pages}.values())
+    different, template = _template(pages)
+    weights = _weights(different, template)
+    essential = {n.at for n in _essential(_varying(reference, {}), lambda n, _: weights[n.at])}
+    for page in pages:
+        _mark(page, template, essential)
+    different, template = _template(pages)
+    return template, _region(reference, _weights(different, template))
+
+
+def _template(pages: list[Node]) -> tuple[list[Node], dict[int, str]]:
+    """(pages that differ in their texts, texts that nearly all of them have)."""
+    different: dict[int, Node] = {}
     texts: dict[int, Counter] = {}
-    for page in different:
-        for node in _walk(page):
-            if node.at >= 0 and (text := node.own_text()):
-                texts.setdefault(node.at, Counter())[text] += 1
+    for page in pages:
+        blocks = [(node.at, node.own_text()) for node in _walk(page)]
+        key = hash(tuple(text for _, text in blocks))
+        if key in different:
+            continue
+        different[key] = page
+        for at, text in blocks:
+            if at >= 0 and text:
+                texts.setdefault(at, Counter())[text] += 1
     template = {}
     if len(different) >= LEAST_PAGES:
         for at, counts in texts.items():
             text, count = counts.most_common(1)[0]
             if count >= CONSTANT * len(different):
                 template[at] = text
-    weights = Counter()
-    for page in different:
-        for at, weight in _weights(page, template).items():
-            weights[at] += weight
-    return template, _region(reference, weights)
-
-
-def _weights(page: Node, template: dict[int, str]) -> dict[int, int]:
-    """Characters outside links and template of every aligned block with all inside."""
-    out: dict[int, int] = {}
-    total: dict[int, int] = {}
-    for node in reversed(list(_walk(page))):
-        own = node.own_text(links=False)
-        inside, todo = 0, node.nodes()
-        while todo:
-            c = todo.pop()
-            if c.tag in _INLINE and not c.other:
-                todo += c.nodes()
-            else:
-                inside += total.get(id(c), 0)
-        kept = not own or template.get(node.at) != node.own_text()
-        total[id(node)] = inside + (len(own) if kept else 0)
-        if node.at >= 0:
-            out[node.at] = total[id(node)]
-    return out
+    return list(different.values()), template
+
+
+def _weights(pages: list[Node], template: dict[int, str]) -> Counter:
+    """Varying characters by places of the reference; with those in links if there are no others."""
+    for links in (False, True):
+        weights = Counter()
+        for page in pages:
+            for node, _, weight in _varying(page, template, links):
+                if node.at >= 0:
+                    weights[node.at] += weight
+        if weights[0]:
+            break
+    return weights
+
+
+def _varying(page: Node, template: dict[int, str], links: bool = False) -> list[list]:
+    """[node, place of its parent, characters outside links and template in it], parents first."""
+    rows: list[list] = []
+    todo = [(page, -1, True)]
+    while todo:
+        node, parent, counts = todo.pop()
+        if node.tag == "a":
+            counts = counts and links
+        elif node.tag not in _INLINE:
+            counts = node.at not in template or template[node.at] != node.own_text()
+        own = sum(len(" ".join(c.split())) for c in node.children
+                  if c.__class__ is str) if counts else 0
+        todo += [(c, len(rows), counts) for c in reversed(node.nodes()) if not c.other]
+        rows.append([node, parent, own])
+    for _, parent, weight in reversed(rows):
+        if parent >= 0:
+            rows[parent][2] += weight
+    return rows
+
+
+def _essential(rows: list[list], weight: Callable[[Node, int], int]) -> list[Node]:
+    """The nodes that no name makes other: what holds most of the text, or the article."""
+    weights = [weight(node, own) for node, _, own in rows]
+    kept = [node for (node, *_), w in zip(rows, weights) if 2 * w > weights[0]]
+    at = _article(rows, weights)
+    while at >= 0:
+        kept.append(rows[at][0])
+        at = rows[at][1]
+    return kept
+
+
+def _article(rows: list[list], weights: list[int]) -> int:
+    """The row of the weightiest article inside the fewest named parts, -1 without one."""
+    around: list[int] = []
+    for node, parent, _ in rows:
+        around.append((around[parent] if parent >= 0 else 0) + node.named)
+    return max((i for i, (node, *_) in enumerate(rows) if node.tag in _MAIN),
+               key=lambda i: (-around[i], weights[i]), default=-1)
+
+
+def _mark(page: Node, template: dict[int, str], essential: set[int]) -> None:
+    """Makes named parts other, by the group's evidence or, without partner, by the page's."""
+    rows = _varying(page, template)
+    if any(node.named and node.at < 0 for node, *_ in rows):
+        own = rows if rows[0][2] else _varying(page, template, links=True)
+        alone = {id(node) for node in _essential(own, lambda _, weight: weight)}
+    for node, *_ in rows:
+        if node.named:
+            node.other = node.at not in essential if node.at >= 0 else id(node) not in alone
 
 
 def _region(reference: Node, weights: Counter) -> int:
     """The place of the article, else of the smallest part with most of the weight."""
-    named = [n for n in _walk(reference) if n.tag in _MAIN]
-    if named:
-        return max(named, key=lambda n: weights[n.at]).at
+    rows = _varying(reference, {})
+    at = _article(rows, [weights[node.at] for node, *_ in rows])
+    if at >= 0:
+        return rows[at][0].at
     node = reference
     while True:
         inner = [c for c in node.nodes() if not c.other and c.tag in _HOLDERS]
@@ -355,7 +419,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     pages, or of long ones, are split by a hash of the page, so groups are bounded
     whatever the largest host is. Rows that repeat a page each give a row; pages with
     equal texts count once when a template is told from content. A page that does not
-    fit the reference is read by its own markup. Other columns are ignored.
+    fit the reference is read by its own markup. A part whose class, id or role speaks
+    of adverts, comments and the like is left out unless it is an html, body, main or
+    article element, holds the article, or holds more than half of the varying text.
+    Other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))

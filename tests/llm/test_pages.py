@@ -72,3 +72,26 @@ def test_deep_pages_of_one_host_are_aligned(spark):
     rows = [(i, "http://deep.org/", "<div>" * (1500 + i) + f"deep {i}") for i in range(3)]
     rows += [(3, "http://deep.org/", "<div>" + "<font>" * 1200 + "deep 3")]
     assert texts(spark, rows) == {i: f"deep {i}" for i in range(4)}
+
+
+def test_wrappers_with_names_of_other_parts(spark):
+    long = "long text number {i} with many words in it, and some more of them"
+    bodies = [
+        "<html><body class='has-sidebar'><div><p>{t}</p></div></body></html>",
+        "<html class='no-sidebar'><body><div class='content no-sidebar'><p>{t}</p></div></body></html>",
+        "<body><article class='post comments-open'><p>{t}</p></article></body>",
+        "<body><div class='page has-sidebar'><article><p>{t}</p></article></div></body>",
+        "<body><div id='search-result-main'><p>{t}</p></div><div class='sidebar'>side {i}</div></body>",
+        "<table><tr><td class='content no-sidebar'><p>{t}</p></td><td class='menu'>m {i}</td></tr></table>",
+        "<body><main role='search'><p>{t}</p><section id='comments'>nice {i}</section></main></body>",
+    ]
+    rows = [(100 * k + i, f"http://w{k}.org/{i}", b.replace("{t}", long).replace("{i}", str(i)))
+            for k, b in enumerate(bodies) for i in range(1 + 6 * (k % 3))]
+    assert texts(spark, rows) == {i: long.replace("{i}", str(i % 100)) for i, _, _ in rows}
+
+
+def test_long_comments_beside_an_article_stay_out(spark):
+    body = ("<article><p>text {i}</p></article><section class='comments'>"
+            "<article>a comment that is longer than the text {i}</article></section>")
+    got = texts(spark, [(i, "http://l.org/", page(i, body.replace("{i}", str(i)))) for i in range(8)])
+    assert got == {i: f"text {i}" for i in range(8)}

@@ -4,8 +4,9 @@ Pages of a host are dealt to groups of bounded size. Within a group every page's
 is aligned with a reference page by simple tree matching: the best order-preserving
 pairing of children with equal heads, from the roots down. A node whose text is the
 same on nearly all differing pages belongs to the template; nodes whose text varies
-are slots. The wrapper's main slot is the region with most varying text outside links
-and outside parts that by their markup hold no article.
+are slots. The wrapper's main slot is the article or main element, else the smallest
+region with all varying text outside links and outside parts that by their markup hold
+no article.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages, and characters of html, that are induced together.
-GROUP_PAGES, GROUP_CHARS = 200, 8_000_000
+#: Pages that are induced together.
+GROUP_PAGES = 200
+#: Characters of html whose trees a group keeps; those of more are read again each time.
+GROUP_CHARS = 8_000_000
 #: Hosts that are split into several groups; by their weight there cannot be more.
 MOST_SPLIT = 1_000_000
 #: Share of differing pages, and their least number, that make a text a template's.
@@ -231,39 +234,68 @@ def _walk(node: Node) -> Iterator[Node]:
         todo += [c for c in reversed(node.nodes()) if not c.other]
 
 
-def induced(pages: list[Node]) -> tuple[dict[int, str], int]:
+class Pages:
+    """The trees of a group's pages, aligned with the first, the reference.
+
+    Its nodes are numbered in document order. Only the reference stays in memory if
+    the group is long.
+    """
+
+    def __init__(self, sources: list[str]) -> None:
+        self.sources, self.seen, self.marks = sources, {}, None
+        self.reference = parsed(sources[0])
+        todo, n = [self.reference], 0
+        while todo:
+            node = todo.pop()
+            node.at, n = n, n + 1
+            todo += reversed(node.nodes())
+        self.short = sum(map(len, sources)) <= GROUP_CHARS
+        self.trees: dict[int, Node] = {0: self.reference}
+
+    def __getitem__(self, i: int) -> Node:
+        if i >= len(self.sources):
+            raise IndexError(i)
+        page = self.trees.get(i)
+        if page is None:
+            page = parsed(self.sources[i])
+            aligned(page, self.reference, self.seen)
+            if self.marks:
+                _mark(page, *self.marks)
+            if self.short:
+                self.trees[i] = page
+        return page
+
+    def mark(self, template: dict[int, str], essential: set[int]) -> None:
+        """Makes named parts other, in all pages that are read from now on too."""
+        for page in self.trees.values():
+            _mark(page, template, essential)
+        self.marks = template, essential
+
+
+def induced(pages: Pages) -> tuple[dict[int, str], int]:
     """(texts of template nodes, the main region) by places of the reference.
 
-    The reference is the first page; its nodes are numbered in document order. Parts
-    that hold no article by their names are marked on the way.
+    Parts that hold no article by their names are marked on the way.
     """
-    reference, seen = pages[0], {}
-    todo, n = [reference], 0
-    while todo:
-        node = todo.pop()
-        node.at, n = n, n + 1
-        todo += reversed(node.nodes())
-    for page in pages[1:]:
-        aligned(page, reference, seen)
+    reference = pages.reference
     different, template = _template(pages)
-    weights = _weights(different, template)
+    weights = _weights(pages, different, template)
     essential = {n.at for n in _essential(_varying(reference, {}), lambda n, _: weights[n.at])}
-    for page in pages:
-        _mark(page, template, essential)
+    pages.mark(template, essential)
     different, template = _template(pages)
-    return template, _region(reference, _weights(different, template))
+    return template, _region(reference, _weights(pages, different, template))
 
 
-def _template(pages: list[Node]) -> tuple[list[Node], dict[int, str]]:
-    """(pages that differ in their texts, texts that nearly all of them have)."""
-    different: dict[int, Node] = {}
+def _template(pages: Pages) -> tuple[list[int], dict[int, str]]:
+    """(numbers of pages that differ in their texts, texts that nearly all of them have)."""
+    different: dict[int, int] = {}
     texts: dict[int, Counter] = {}
-    for page in pages:
+    for i, page in enumerate(pages):
         blocks = [(node.at, node.own_text()) for node in _walk(page)]
         key = hash(tuple(text for _, text in blocks))
         if key in different:
             continue
-        different[key] = page
+        different[key] = i
         for at, text in blocks:
             if at >= 0 and text:
                 texts.setdefault(at, Counter())[text] += 1
@@ -276,12 +308,12 @@ def _template(pages: list[Node]) -> tuple[list[Node], dict[int, str]]:
     return list(different.values()), template
 
 
-def _weights(pages: list[Node], template: dict[int, str]) -> Counter:
+def _weights(pages: Pages, different: list[int], template: dict[int, str]) -> Counter:
     """Varying characters by places of the reference; with those in links if there are no others."""
     for links in (False, True):
         weights = Counter()
-        for page in pages:
-            for node, _, weight in _varying(page, template, links):
+        for i in different:
+            for node, _, weight in _varying(pages[i], template, links):
                 if node.at >= 0:
                     weights[node.at] += weight
         if weights[0]:
@@ -341,18 +373,19 @@ def _mark(page: Node, template: dict[int, str], essential: set[int]) -> None:
 
 
 def _region(reference: Node, weights: Counter) -> int:
-    """The place of the article, else of the smallest part with most of the weight."""
+    """The place of the article, else of the smallest part with all of the weight."""
     rows = _varying(reference, {})
     at = _article(rows, [weights[node.at] for node, *_ in rows])
     if at >= 0:
         return rows[at][0].at
     node = reference
-    while True:
+    while weights[node.at]:
         inner = [c for c in node.nodes() if not c.other and c.tag in _HOLDERS]
-        best = max(inner, key=lambda c: weights[c.at], default=None)
-        if best is None or weights[best.at] < 0.7 * weights[node.at] or not weights[best.at]:
-            return node.at
+        best = next((c for c in inner if weights[c.at] == weights[node.at]), None)
+        if best is None:
+            break
         node = best
+    return node.at
 
 
 def extracted(page: Node, template: dict[int, str], region: int) -> str:
@@ -404,7 +437,7 @@ def _blocks_inside(node: Node) -> list[Node]:
 
 def _group(table: pa.Table) -> pa.Table:
     table = table.sort_by([("order", "ascending"), ("page_id", "ascending")])
-    pages = [parsed(x or "") for x in table.column("html").to_pylist()]
+    pages = Pages([x or "" for x in table.column("html").to_pylist()])
     template, region = induced(pages)
     return pa.table({
         "page_id": table.column("page_id"), "url": table.column("url"),
@@ -416,8 +449,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     A null html is empty and gives an empty text. The host is what follows the
     scheme in the url, lower-cased; pages without one form one host. Hosts of many
-    pages, or of long ones, are split by a hash of the page, so groups are bounded
-    whatever the largest host is. Rows that repeat a page each give a row; pages with
+    pages are split by a hash of the page, so groups are bounded whatever the largest
+    host is. How long pages are does not change their groups. Rows that repeat a page each give a row; pages with
     equal texts count once when a template is told from content. A page that does not
     fit the reference is read by its own markup. A part whose class, id or role speaks
     of adverts, comments and the like is left out unless it is an html, body, main or
@@ -426,8 +459,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    weight = F.count(F.lit(1)) / GROUP_PAGES + F.coalesce(
-        F.sum(F.length("html")), F.lit(0)) / GROUP_CHARS
+    weight = F.count(F.lit(1)) / GROUP_PAGES
     hosts = rows.groupBy("host").agg(weight.alias("weight"))
     total = hosts.agg(F.sum("weight")).first()[0] or 0.0
     large = hosts.where(F.col("weight") > max(1.0, total / MOST_SPLIT)).select(

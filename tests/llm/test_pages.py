@@ -95,3 +95,21 @@ def test_long_comments_beside_an_article_stay_out(spark):
             "<article>a comment that is longer than the text {i}</article></section>")
     got = texts(spark, [(i, "http://l.org/", page(i, body.replace("{i}", str(i)))) for i in range(8)])
     assert got == {i: f"text {i}" for i in range(8)}
+
+
+def test_all_varying_blocks_are_kept_without_an_article(spark):
+    body = ("<div class='top'>Site of things</div><div class='all'><h1>Title {i}</h1><div class='mid'>"
+            "<section class='a'><p>the long section number {i} with very many words in it, of course</p>"
+            "</section><section class='b'><p>short {i}</p></section></div></div>")
+    got = texts(spark, [(i, "http://k.org/", page(i, body.replace("{i}", str(i)))) for i in range(8)])
+    assert got == {i: f"Title {i}\n\nthe long section number {i} with very many words in it, of course"
+                      f"\n\nshort {i}" for i in range(8)}
+
+
+def test_template_does_not_depend_on_page_length(spark, monkeypatch):
+    body = "<div class='top'>Site of things</div><div class='body'><p>text number {i} of many</p></div>"
+    rows = [(i, "http://m.org/", page(i, body.replace("{i}", str(i)))) for i in range(12)]
+    want = {i: f"text number {i} of many" for i in range(12)}
+    assert texts(spark, rows) == want
+    monkeypatch.setattr(pages, "GROUP_CHARS", 500)
+    assert texts(spark, rows) == want

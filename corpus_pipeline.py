@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from docledger.llm import decontaminate, line_dedup, mixing, ngram_join, setjoin, toxicity
 from docledger.llm.queries import table
 from docledger.sources.workspace import persisted
 
@@ -34,17 +34,29 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
-    others = ngram_join.grouped(docs, **NEAR).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("other_id"), "left_anti")
+    """The first document, by id and text, of every group of near-duplicates.
+
+    Rows count one by one: rows that share an id, or have none, are told apart by
+    their texts, and of rows equal in both one stays, the least by its columns.
+    """
+    others, copies = (persisted(x.select(
+        F.col("doc_id").alias("other_id"), "version"), "repeats")
+        for x in ngram_join.repeats(docs, **NEAR))
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (
+        setjoin.version() == F.col("version"))
+    kept = docs.join(others, same, "left_anti")
+    if copies.isEmpty():
+        return kept
+    least = docs.join(copies, same, "left_semi").groupBy(
+        "doc_id", setjoin.version().alias("version")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.join(copies, same, "left_anti").unionByName(least.select("row.*"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where(
-        "n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    hit = decontaminate.keyed_contamination(docs, table(spark, sf_dir, "benchmark")).where(
+        "n_hit > 0").select("key").distinct()
+    return docs.join(hit, decontaminate.row_key() == F.col("key"), "left_anti")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

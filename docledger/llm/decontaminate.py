@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,6 +91,12 @@ def _bitmap(item_windows: DataFrame) -> np.ndarray:
     return np.unpackbits(out.reshape(-1), bitorder="little").astype(bool)
 
 
+def row_key() -> Column:
+    """Rows that repeat a doc_id, or have none, are told apart by their texts."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                       F.xxhash64("text"), F.coalesce(F.length("text"), F.lit(-1)))
+
+
 def _runs(documents: DataFrame, known: np.ndarray, sizes: list[int], shingle: int) -> DataFrame:
     """doc_id, key, n_words, runs array<struct<start, width, text>> of every row."""
     widths = {}
@@ -125,10 +131,7 @@ def _runs(documents: DataFrame, known: np.ndarray, sizes: list[int], shingle: in
                     ("start", pa.int32()), ("width", pa.int32()), ("text", pa.string())]))),
             ], ["doc_id", "key", "n_words", "runs"])
 
-    # Rows that repeat a doc_id are told apart by their texts.
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-                      F.xxhash64("text"), F.coalesce(F.length("text"), F.lit(-1)))
-    return persisted(documents.select("doc_id", key.alias("key"), "text").mapInArrow(
+    return persisted(documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(
         find, "doc_id long, key string, n_words long, "
               "runs array<struct<start: int, width: int, text: string>>"), "runs")
 
@@ -176,6 +179,13 @@ def contamination(
     text has none. Rows that repeat a doc_id each have a result by their own text,
     repeated items count once. Other columns are ignored.
     """
+    return keyed_contamination(documents, benchmark, size, shingle).drop("key")
+
+
+def keyed_contamination(
+    documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE,
+) -> DataFrame:
+    """The columns of `contamination` and the row_key of each row."""
     item_windows = persisted(windows(benchmark, size, shingle), "windows")
     sizes = [r["n_words"] for r in item_windows.select("n_words").distinct().collect()]
     found = _runs(documents, _bitmap(item_windows), sizes, shingle)
@@ -191,7 +201,7 @@ def contamination(
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     return found.select("doc_id", "key", "n_words").join(
         hits.join(items, "key"), "key", "left",
-    ).select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    ).select("key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
              F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

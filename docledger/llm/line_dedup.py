@@ -13,18 +13,18 @@ JOIN = setjoin.Join(width=5, num=4, den=5, lines=True, whole_only=True)
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line: the lines (from 0) that have a match earlier in (doc_id, line).
+    """doc_id, version, line: the lines (from 0) that have a match earlier in that order.
 
     A match counts whether or not it is removed itself. Lines of fewer than five
-    words have no shingle and always stay. Rows with the same doc_id are one
-    document: equal lines at the same place of both are one line. A null doc_id
-    comes before all others.
+    words have no shingle and always stay. Rows with the same doc_id are documents of
+    their own, told apart by their texts; rows equal in both are one document. A null
+    doc_id comes before all others.
     """
     bits = setjoin.bits_for(documents)
     items, bins = setjoin.described(documents, JOIN, bits)
     order = setjoin.rarity(bins, bits)
     classes = persisted(items.groupBy("a", "b").agg(
-        F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies")),
+        F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count(F.lit(1)).alias("copies")),
         "classes")
     rows = setjoin.blocks(setjoin.prefixes(documents, JOIN, order), JOIN)
     tried = persisted(setjoin.hub_pairs(rows, JOIN), "pairs")
@@ -38,7 +38,8 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     settled = classes.join(gone.withColumn("gone", F.lit(True)), ["a", "b"], "left").where(
         "gone OR copies > 1").select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     return items.join(settled, ["a", "b"]).where(
-        F.col("gone") | (F.struct("doc_id", "line") != F.col("first"))).select("doc_id", "line")
+        F.col("gone") | ~F.struct("doc_id", "version", "line").eqNullSafe(F.col("first"))
+    ).select("doc_id", "version", "line")
 
 
 def _later(links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -66,10 +67,12 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     All columns and rows stay; `removed_lines` (array<long>, sorted, empty if none)
     is added. A document may be left with an empty text; a null text stays null.
     """
-    lists = removed_lines(documents).groupBy("doc_id").agg(
+    lists = removed_lines(documents).groupBy(
+        F.col("doc_id").alias("removed_id"), F.col("version").alias("removed_version")).agg(
         F.sort_array(F.collect_set("line")).alias("removed_lines"))
-    lists = lists.withColumnRenamed("doc_id", "removed_id")
-    joined = documents.join(lists, F.col("doc_id").eqNullSafe(F.col("removed_id")), "left")
+    joined = documents.join(
+        lists, F.col("doc_id").eqNullSafe(F.col("removed_id"))
+        & (setjoin.version() == F.col("removed_version")), "left")
     gone = F.coalesce("removed_lines", F.array().cast("array<long>"))
     kept = F.array_join(F.filter(
         F.split("text", "\n"), lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")

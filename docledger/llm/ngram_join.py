@@ -26,6 +26,32 @@ def grouped(documents: DataFrame, width: int = 3, num: int = 9, den: int = 10) -
     the second tests, exactly, all pairs that still lie in different components,
     leaving out a block's largest component against itself.
     """
+    return _labelled(*_linked(documents, width, num, den))
+
+
+def repeats(
+    documents: DataFrame, width: int = 3, num: int = 9, den: int = 10,
+) -> tuple[DataFrame, DataFrame]:
+    """(others, copies), each doc_id, version: rows by id and setjoin.version.
+
+    others: rows of a group that are not its first by (doc_id, version), a null id
+    after all others. copies: first rows that occur several times, equal in both.
+    """
+    items, found = _linked(documents, width, num, den)
+    items = items.where("n > 0")
+    roots = persisted(items.select("doc_id", "version", "a", "b").join(
+        found, F.struct("a", "b") == F.col("node"), "left",
+    ).select("doc_id", "version", F.coalesce("root", F.struct("a", "b")).alias("root")), "rooted")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "version")
+    firsts = roots.groupBy("root").agg(F.min(place).alias("first"))
+    placed = roots.join(firsts, "root").withColumn("other", ~place.eqNullSafe(F.col("first")))
+    counted = placed.groupBy("doc_id", "version", "other").count()
+    return (counted.where("other").select("doc_id", "version"),
+            counted.where("NOT other AND count > 1").select("doc_id", "version"))
+
+
+def _linked(documents: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(items, components of their classes)."""
     join = setjoin.Join(width, num, den)
     bits = setjoin.bits_for(documents)
     items, bins = setjoin.described(documents, join, bits)
@@ -41,7 +67,7 @@ def grouped(documents: DataFrame, width: int = 3, num: int = 9, den: int = 10) -
         extra = setjoin.verified(documents, join, more)
         found = components(
             found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(extra))
-    return _labelled(items, persisted(found, "components"))
+    return items, persisted(found, "components")
 
 
 def _between(rows: DataFrame, found: DataFrame, join: setjoin.Join) -> DataFrame:

@@ -146,10 +146,15 @@ def bits_for(documents: DataFrame) -> int:
     return min(max(LEAST_BITS, (chars // 3).bit_length()), MOST_BITS)
 
 
+def version() -> Column:
+    """Tells rows that share a doc_id, null included, apart by their texts."""
+    return F.xxhash64("text")
+
+
 def described(documents: DataFrame, join: Join, bits: int) -> tuple[DataFrame, DataFrame]:
     """(items, bins), from one pass over the texts, written once.
 
-    items: doc_id, line, n, a, b for every item, empty ones included. bins: the bins
+    items: doc_id, version, line, n, a, b for every item, empty ones included. bins: the bins
     of all tokens, as compressed gaps per task and block; a class counts once a task.
     """
 
@@ -165,7 +170,7 @@ def described(documents: DataFrame, join: Join, bits: int) -> tuple[DataFrame, D
                     own.astype(np.uint32), prepend=np.uint32(0)).tobytes(), 1)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "line", "n", "a", "b", "block", "gaps"]
+        names = ["doc_id", "version", "line", "n", "a", "b", "block", "gaps"]
         tokens: list[np.ndarray] = []
         seen: set = set()
 
@@ -174,27 +179,28 @@ def described(documents: DataFrame, join: Join, bits: int) -> tuple[DataFrame, D
             none = pa.nulls(len(rows), pa.int64())
             tokens.clear()
             return pa.RecordBatch.from_arrays([
-                none, none, none, none, none, pa.array([x[0] for x in rows], pa.int32()),
+                none, none, none, none, none, none, pa.array([x[0] for x in rows], pa.int32()),
                 pa.array([x[1] for x in rows], pa.binary())], names)
 
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, versions = batch.column("doc_id"), batch.column("version")
             for sets in _sets(batch.column("text"), join):
                 a, b = _digests(sets)
                 fresh = _unseen(a, b, sets.sizes, seen)
                 tokens.append(sets.tokens[np.repeat(fresh, sets.sizes)])
                 none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(sets.row)), _packed(sets.line), _packed(sets.sizes),
+                    ids.take(pa.array(sets.row)), versions.take(pa.array(sets.row)),
+                    _packed(sets.line), _packed(sets.sizes),
                     pa.array(a), pa.array(b), *none], names)
                 if sum(map(len, tokens)) > GATHERED:
                     yield sent()
         yield sent()
 
-    written = persisted(documents.select("doc_id", "text").mapInArrow(
-        describe, "doc_id long, line long, n long, a long, b long, block int, gaps binary"),
+    written = persisted(documents.select("doc_id", "text", version().alias("version")).mapInArrow(
+        describe, "doc_id long, version long, line long, n long, a long, b long, block int, gaps binary"),
         "items")
-    return (written.where("block IS NULL").select("doc_id", "line", "n", "a", "b"),
+    return (written.where("block IS NULL").select("doc_id", "version", "line", "n", "a", "b"),
             written.where("block IS NOT NULL").select("block", "gaps"))
 
 

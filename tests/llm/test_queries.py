@@ -68,3 +68,26 @@ def test_stages_with_no_rows_and_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             frame = corpus_pipeline.persisted(stage(spark, frame, SF_DIR), "test")
         assert frame.count() == start.count()
+
+
+def test_rows_with_repeated_or_no_ids_have_decisions_of_their_own(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefgh"]
+    bad = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("length(text) > 99").first()["text"]
+    rows = [(None, words[0]), (None, bad), (7, words[1]), (7, bad), (None, words[2]), (None, words[2]),
+            (7, words[3]), (3, words[3]), (8, words[4]), (8, words[4]), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda frame: sorted(map(str, [(x["doc_id"], x["text"]) for x in frame.collect()]))
+    clean = corpus_pipeline.without_benchmark(spark, docs, SF_DIR)
+    assert told(clean) == sorted(map(str, [x for x in rows if x[1] != bad]))
+    one = corpus_pipeline.one_of_each_group(spark, docs, SF_DIR)
+    assert told(one) == sorted(map(str, [
+        (None, words[0]), (7, bad), (7, words[1]), (None, words[2]), (3, words[3]), (8, words[4]),
+        (9, ""), (9, "")]))
+
+    lines = [(5, words[5]), (6, f"{words[5]}\n{words[6]}"), (6, f"{words[7]}\n{words[0]}"),
+             (None, words[1]), (None, f"{words[2]}\n{words[1]}"), (4, words[2])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in lines], docs.schema)
+    got = told(corpus_pipeline.without_repeated_lines(spark, docs, SF_DIR))
+    assert str((6, words[6])) in got and str((6, f"{words[7]}\n{words[0]}")) in got
+    assert str((4, "")) in got and sum(words[1] in x for x in got) == 1

@@ -175,15 +175,31 @@ FROM r GROUP BY doc_id
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree: source, hundreds and tens of the id, the id."""
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws(
-        "/", F.coalesce("source", F.lit("none")), (F.col("doc_id") / 100).cast("long"),
-        (F.col("doc_id") / 10).cast("long"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    found = licenses.scanned(docs.select(path.alias("path"), "text"))
-    number = lambda c: F.regexp_extract(c, "([0-9]+)[.]txt$", 1).cast("long")
-    return found.select(
-        number("path").alias("doc_id"), "path", "own_license", "score", "license_file", "license",
-        number("inherited_from").alias("inherited_from"))
+    return document_licenses(table(spark, sf_dir, "documents"))
+
+
+def document_licenses(docs: DataFrame) -> DataFrame:
+    """One row per document, whatever its id; a null id counts as `none` in the path.
+
+    Rows with one path but different texts are files of their own: all but one of
+    them have ~ and a hash of the text in their path. Rows equal in text too are one file.
+    """
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    base = F.concat_ws(
+        "/", part(F.col("source")), part((F.col("doc_id") / 100).cast("long")),
+        part((F.col("doc_id") / 10).cast("long")), part(F.col("doc_id")))
+    version = F.hex(F.xxhash64("text"))
+    files = docs.select("doc_id", base.alias("base"), version.alias("version"), F.concat(
+        base, F.lit("~"), version, F.lit(".txt")).alias("file"), "text")
+    found = licenses.scanned(files.select(F.col("file").alias("path"), "text")).withColumnRenamed(
+        "path", "file")
+    first = files.groupBy("base").agg(F.min("version").alias("first"))
+    path = F.when(F.col("version") == F.col("first"), F.concat("base", F.lit(".txt"))).otherwise(
+        F.col("file"))
+    giver = F.regexp_extract("inherited_from", "(-?[0-9]+)~[0-9A-F]+[.]txt$", 1)
+    return files.drop("text").join(found, "file").join(first, "base").select(
+        "doc_id", path.alias("path"), "own_license", "score", "license_file", "license",
+        F.nullif(giver, F.lit("")).cast("long").alias("inherited_from"))
 
 
 def _notices() -> str:

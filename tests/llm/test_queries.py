@@ -91,3 +91,18 @@ def test_rows_with_repeated_or_no_ids_have_decisions_of_their_own(spark):
     got = told(corpus_pipeline.without_repeated_lines(spark, docs, SF_DIR))
     assert str((6, words[6])) in got and str((6, f"{words[7]}\n{words[0]}")) in got
     assert str((4, "")) in got and sum(words[1] in x for x in got) == 1
+
+
+def test_licenses_of_rows_with_repeated_or_no_ids(spark, tmp_path):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(None, mit, "a"), (None, apache, "a"), (None, None, "b"), (15, apache, "c"), (15, "words", "c"),
+            (15, "words", "c"), (16, "words", None), (17, "words", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in queries.op7_licenses(spark, str(tmp_path)).collect()]
+    assert sorted(str((x[0], x[2], x[5], x[6])) for x in got) == sorted(map(str, [
+        (None, "MIT", "MIT", None), (None, "Apache-2.0", "Apache-2.0", None), (None, None, None, None),
+        (15, "Apache-2.0", "Apache-2.0", None), (15, None, "Apache-2.0", 15), (15, None, "Apache-2.0", 15),
+        (16, None, None, None), (17, None, "Apache-2.0", 15)]))
+    paths = [x[1] for x in got]
+    assert len(set(paths)) == 7 and {"c/0/1/17.txt", "none/0/1/16.txt", "b/none/none/none.txt"} <= set(paths)

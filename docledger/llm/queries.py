@@ -17,10 +17,18 @@ from docledger.llm import (
     mixing,
     ngram_join,
     pages,
+    periods,
+    tokens,
+    topk,
     toxicity,
 )
 
 
+#: Two public vocabulary files; where they lie is a parameter of the operator.
+VOCABULARY_A, VOCABULARY_B = (
+    f"/opt/tokenizers/{name}" for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -293,6 +301,86 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
 FROM k
 """
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.best(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS place, vec_id,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.place, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.place <> c.place WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS n FROM s
+)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.aligned(table(spark, sf_dir, "documents"), VOCABULARY_A, VOCABULARY_B)
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.runs(periods.with_planted_periods(table(spark, sf_dir, "documents")))
+
+
+# Five words in a row that come again q words later are in a stretch of period q, and
+# every stretch that makes a run has five such equalities or more.
+OP13_SQL = rf"""
+WITH c AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w, xor(list_reduce(
+    flatten([[ascii(x), 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(doc_id::VARCHAR, '')]),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295) AS h
+  FROM documents
+), p AS (
+  SELECT doc_id, w, len(w) AS n, h, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c
+), d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]
+      FOR i IN range(n)] ELSE w END AS w
+  FROM p
+), g AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS gram
+  FROM (SELECT doc_id, n, w, unnest(range(n - 4)) AS i FROM d)
+), m AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y
+    ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), t AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m
+), s AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM t GROUP BY doc_id, q, island
+), r AS (
+  SELECT doc_id, start, length, min(q) AS period FROM s
+  WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period)
+    AS place FROM r
+), o AS (
+  SELECT doc_id, count(*) AS n_runs, any_value(start) FILTER (WHERE place = 1) AS start,
+    any_value(length) FILTER (WHERE place = 1) AS length,
+    any_value(period) FILTER (WHERE place = 1) AS period,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM b GROUP BY doc_id
+), x AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM d) ANTI JOIN x USING (doc_id, i)
+  GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+  1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -304,6 +392,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_embeddings": op9_embeddings,
     "op10_line_dedup": op10_line_dedup,
+    "op11_topk": op11_topk,
+    "op12_tokens": op12_tokens,
+    "op13_periods": op13_periods,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
@@ -312,4 +403,6 @@ ORACLES: dict[str, str] = {
     "op7_licenses": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_topk": OP11_SQL,
+    "op13_periods": OP13_SQL,
 }

@@ -62,6 +62,18 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def ranges(texts: list[str | None], chars: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that together have so many characters, or of one row."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > chars:
+            yield at, i
+            at, size = i, 0
+        size += len(text or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of all lines of all rows, and of each row's first line among them.
 

@@ -37,9 +37,9 @@ def test_query_equals_its_sql(spark, tables, name):
     assert _rows(frame.columns, frame.collect()) == _rows(names, cursor.fetchall())
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in contract.queries()
 
 

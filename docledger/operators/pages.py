@@ -188,3 +188,20 @@ def ocr_stage(
         ),
         "stage": F.lit("OCR"),
     })
+
+
+OUTCOME = ("document_id", "stage", "verdict_status", "error_category", "error_message",
+           "extracted_text_storage_key")
+
+
+def text_outcomes(native: DataFrame, recognised: DataFrame | None = None) -> DataFrame:
+    """The text stages' verdict, one row per document.
+
+    `native` comes from `text_stage`, `recognised` from `ocr_stage` over the documents
+    that it routed there. Without `recognised` the fallback is off: such documents stay
+    at OCR_REQUIRED, which is no failure.
+    """
+    if recognised is None:
+        return native.select(*OUTCOME)
+    settled = native.where(F.col("verdict_status") != "OCR_REQUIRED").select(*OUTCOME)
+    return settled.unionByName(recognised.select(*OUTCOME))

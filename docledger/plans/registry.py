@@ -12,13 +12,15 @@ from docledger.plans import (
     findings,
     history,
     integrity,
+    pipeline,
     review,
     streams,
     texts,
     uploads,
 )
 
-_SECTIONS = (uploads, texts, extraction, findings, review, exports, history, integrity, streams)
+_SECTIONS = (uploads, texts, extraction, findings, review, exports, history, integrity, streams,
+             pipeline)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for section in _SECTIONS for name, query in section.QUERIES.items()

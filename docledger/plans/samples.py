@@ -22,6 +22,31 @@ class MarkupReader:
         return [re.sub(r"<[^>]*>", " ", part) for part in html.split("<p>")]
 
 
+class ScanReader(MarkupReader):
+    """The same, but files of some lengths have no native text, as scans have none."""
+
+    def read(self, content: bytes) -> list[str | None]:
+        texts = super().read(content)
+        return [None] * len(texts) if len(content) % 5 == 0 else texts
+
+
+class ParagraphRenderer:
+    """Paragraphs as images; files of some lengths fail or come out odd."""
+
+    def render(self, content: bytes) -> list[bytes | None]:
+        size = len(content)
+        if size % 25 == 0:
+            raise ValueError("cannot be rendered")
+        if size % 35 == 0:
+            return [b" "]
+        images = [part.encode() for part in content.decode("utf-8").split("<p>")]
+        if size % 55 == 0:
+            images[-1] = None
+        if size % 65 == 0:
+            images.append(b"unreadable")
+        return images
+
+
 class WordRecogniser:
     """Takes the image bytes for text and joins its words by one space."""
 

@@ -65,22 +65,20 @@ def recognition_stage(spark: SparkSession, sf_dir: str, native: DataFrame) -> Da
     return pages.ocr_stage(waiting, images, pages.recognised_pages(images, WordRecogniser))
 
 
-_OUTCOME = [
-    "document_id", "stage", "verdict_status", "error_category", "error_message",
-    "extracted_text_storage_key",
-]
-
-
 def ocr_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = recognition_stage(spark, sf_dir, native_stage(spark, sf_dir))
-    return staged.select(*_OUTCOME, "page_count", "non_space_chars")
+    return staged.select(*pages.OUTCOME, "page_count", "non_space_chars")
 
 
 def text_stage_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final outcome of the text stages: native, or recognition where routed."""
     native = native_stage(spark, sf_dir)
-    settled = native.where(F.col("verdict_status") != "OCR_REQUIRED").select(*_OUTCOME)
-    return settled.unionByName(recognition_stage(spark, sf_dir, native).select(*_OUTCOME))
+    return pages.text_outcomes(native, recognition_stage(spark, sf_dir, native))
+
+
+def text_stage_outcome_without_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the recognition fallback off."""
+    return pages.text_outcomes(native_stage(spark, sf_dir))
 
 
 def page_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +149,7 @@ QUERIES = {
     "text_route": text_route,
     "ocr_fallback": ocr_fallback,
     "text_stage_outcome": text_stage_outcome,
+    "text_stage_outcome_without_ocr": text_stage_outcome_without_ocr,
     "page_reader": page_reader,
 }
 
@@ -194,4 +193,8 @@ SELECT document_id, 'TEXT_EXTRACTION' AS stage, verdict_status,
   error_message, {_KEY} FROM native WHERE verdict_status <> 'OCR_REQUIRED'
 UNION ALL
 SELECT document_id, stage, verdict_status, error_category, error_message, {_KEY} FROM ocr""",
+    "text_stage_outcome_without_ocr": f"""WITH {ctes('pages', 'page_documents')}, {NATIVE_SQL}
+SELECT document_id, 'TEXT_EXTRACTION' AS stage, verdict_status,
+  CASE WHEN error_message IS NOT NULL THEN 'PROCESSING_ERROR' END AS error_category,
+  error_message, {_KEY} FROM native""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger import fixed
@@ -21,18 +21,36 @@ def stored_files(spark: SparkSession, root: str) -> DataFrame:
     How large a file may be is the gate's rule, not this reader's. Columns not
     selected later (content) are not read. A path outside `root` fails the job.
     """
-    base = _qualified(spark, root)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .load(_qualified(spark, root))
+    )
+    return files.select(storage_key(spark, root), "length", "content")
+
+
+def stored_file_stream(spark: SparkSession, root: str, files_per_batch: int) -> DataFrame:
+    """New files under `root` as a stream of (storage_key, length, content)."""
+    base = _qualified(spark, root)
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
         .load(base)
     )
+    return files.select(storage_key(spark, root), "length", "content")
+
+
+def storage_key(spark: SparkSession, root: str) -> Column:
+    """The path of a binaryFile row below `root`."""
+    base = _qualified(spark, root)
     # binaryFile may print file:/x as file:///x, depending on the file system.
     path = F.regexp_replace("path", "^file:/+", "file:/")
     base = "file:/" + base.removeprefix("file:").lstrip("/") if base.startswith("file:") else base
     key = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(
         F.raise_error(F.concat(F.lit("stored file outside the root: "), path)))
-    return files.select(key.alias("storage_key"), "length", "content")
+    return key.alias("storage_key")
 
 
 def read_outcome(documents: DataFrame, files: DataFrame) -> DataFrame:

@@ -9,14 +9,15 @@ from docledger.llm import setjoin
 from docledger.sources.workspace import persisted
 
 #: Tokens are five-word shingles; similar means a Jaccard similarity of 4/5 or more.
-JOIN = setjoin.Join(width=5, num=4, den=5, lines=True, whole_only=True)
+JOIN = setjoin.Join(width=5, num=4, den=5, lines=True)
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
     """doc_id, version, line: the lines (from 0) that have a match earlier in that order.
 
-    A match counts whether or not it is removed itself. Lines of fewer than five
-    words have no shingle and always stay. Rows with the same doc_id are documents of
+    A match counts whether or not it is removed itself. Lines of one to four words are
+    one short shingle and match lines of the same words; lines without words always
+    stay. Rows with the same doc_id are documents of
     their own, told apart by their texts; rows equal in both are one document. A null
     doc_id comes before all others.
     """
@@ -26,15 +27,16 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     classes = persisted(items.groupBy("a", "b").agg(
         F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count(F.lit(1)).alias("copies")),
         "classes")
+    homes = classes.select("a", "b", F.col("first.version").alias("version"))
     rows = setjoin.blocks(setjoin.prefixes(documents, JOIN, order), JOIN)
     tried = persisted(setjoin.hub_pairs(rows, JOIN), "pairs")
-    gone = _later(setjoin.verified(documents, JOIN, tried), classes)
+    gone = _later(setjoin.verified(documents, JOIN, tried, homes), classes)
 
     more = persisted(
         _unsettled(rows, classes, gone).join(tried, ["u", "v"], "left_anti"), "pairs")
     if not more.isEmpty():
         gone = gone.unionByName(
-            _later(setjoin.verified(documents, JOIN, more), classes)).distinct()
+            _later(setjoin.verified(documents, JOIN, more, homes), classes)).distinct()
     settled = classes.join(gone.withColumn("gone", F.lit(True)), ["a", "b"], "left").where(
         "gone OR copies > 1").select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     return items.join(settled, ["a", "b"]).where(
@@ -65,18 +67,18 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents with matched lines taken out of `text`, and removed_lines.
 
     All columns and rows stay; `removed_lines` (array<long>, sorted, empty if none)
-    is added. A document may be left with an empty text; a null text stays null.
+    is added, in place of one that is there. A document may be left with an empty
+    text; a null text stays null.
     """
-    lists = removed_lines(documents).groupBy(
-        F.col("doc_id").alias("removed_id"), F.col("version").alias("removed_version")).agg(
-        F.sort_array(F.collect_set("line")).alias("removed_lines"))
+    lists = removed_lines(documents).groupBy("doc_id", "version").agg(
+        F.sort_array(F.collect_set("line")).alias("lines"))
     joined = documents.join(
-        lists, F.col("doc_id").eqNullSafe(F.col("removed_id"))
-        & (setjoin.version() == F.col("removed_version")), "left")
-    gone = F.coalesce("removed_lines", F.array().cast("array<long>"))
+        lists, documents["doc_id"].eqNullSafe(lists["doc_id"])
+        & (F.xxhash64(documents["text"]) == lists["version"]), "left")
+    gone = F.coalesce(lists["lines"], F.array().cast("array<long>"))
     kept = F.array_join(F.filter(
-        F.split("text", "\n"), lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")
-    text = F.when(F.size(gone) > 0, kept).otherwise(F.col("text"))
+        F.split(documents["text"], "\n"), lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")
+    text = F.when(F.size(gone) > 0, kept).otherwise(documents["text"])
     return joined.select(*[
-        text.alias("text") if c == "text" else F.col(c) for c in documents.columns
-    ], gone.alias("removed_lines"))
+        text.alias("text") if c == "text" else documents[c]
+        for c in documents.columns if c != "removed_lines"], gone.alias("removed_lines"))

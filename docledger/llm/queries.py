@@ -159,8 +159,9 @@ WITH l AS (
 ), w AS (
   SELECT doc_id, line, text, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM l
 ), s AS (
-  SELECT doc_id, line, text, list_sort(list_distinct(
-    [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) AS s FROM w
+  SELECT doc_id, line, text, list_sort(list_distinct(CASE WHEN len(w) BETWEEN 1 AND 4
+    THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END)) AS s FROM w
 ), c AS (
   SELECT s, len(s) AS n, min((doc_id, line)) AS first FROM s WHERE len(s) > 0 GROUP BY s
 ), t AS (SELECT first, n, unnest(s) AS token FROM c),

@@ -41,9 +41,11 @@ from docledger.sources.workspace import persisted
 LEAST_BITS, MOST_BITS, COARSE_BITS = 22, 31, 20
 BLOCKS = 64
 #: Tokens that a task gathers before it sends their bins on.
-GATHERED = 1 << 23
+GATHERED = 1 << 20
 #: Bits of the bitmap of classes whose sets are wanted; more only add false alarms.
 WANTED_BITS = 26
+#: Classes that a task remembers to have sent; more only mean that some are sent again.
+REMEMBERED = 1 << 18
 #: A token met more often is dealt to several hubs, one for so many items each.
 HUB_ITEMS = 8192
 _MOST_SETS = 1 << 16
@@ -57,13 +59,16 @@ class Join:
     num: int
     den: int
     lines: bool = False
-    #: Items with fewer words have no tokens; with False they are one short shingle.
-    whole_only: bool = False
 
     def needed(self, n):
         """ceil(t * n), of numbers or arrays."""
         return -(-n * self.num // self.den)
 
+    def meets(self, n):
+        """Whether a set of n tokens can be similar to one that is not equal to it."""
+        overlap = -(-2 * n * self.num // (self.num + self.den))
+        return (self.needed(n) < n) | (n * self.den // self.num > n) | (overlap < n)
+
 
 @dataclass
 class Sets:
@@ -93,10 +98,7 @@ def _sets(column: pa.Array, join: Join) -> Iterator[Sets]:
             line = np.arange(len(offsets) - 1) - np.repeat(firsts[:-1], counts)
             rows = np.repeat(rows, counts)
         starts, ends, first = words.word_spans(data, offsets, words.BETWEEN_SPACES)
-        if join.whole_only:
-            some = np.diff(first) >= join.width
-        else:
-            some = np.diff(first) >= (1 if join.lines else 0)
+        some = np.diff(first) >= (1 if join.lines else 0)
         hashes = words.word_hashes(data, starts, ends)
         tokens, begin = words.grams(hashes, first, join.width)
         chosen = np.flatnonzero(some)
@@ -126,14 +128,16 @@ def _digests(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
             _sums(words.mixed(sets.tokens ^ np.uint64(0xA5A5F00DD00F5A5A)), sets.first))
 
 
-def _unseen(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, seen: set) -> np.ndarray:
-    """Which items are the first of their class in this task and have tokens."""
+def _unseen(a: np.ndarray, b: np.ndarray, seen: set) -> np.ndarray:
+    """Which items are the first of their class in this task, as far as it remembers."""
+    if len(seen) > REMEMBERED:
+        seen.clear()
     fresh = np.zeros(len(a), bool)
-    for i, key in enumerate(zip(a.tolist(), b.tolist())):
+    for i, key in enumerate((a * 3 ^ b).tolist()):
         if key not in seen:
             seen.add(key)
             fresh[i] = True
-    return fresh & (sizes > 0)
+    return fresh
 
 
 def _packed(rows: np.ndarray) -> pa.Array:
@@ -155,7 +159,8 @@ def described(documents: DataFrame, join: Join, bits: int) -> tuple[DataFrame, D
     """(items, bins), from one pass over the texts, written once.
 
     items: doc_id, version, line, n, a, b for every item, empty ones included. bins: the bins
-    of all tokens, as compressed gaps per task and block; a class counts once a task.
+    of the tokens of all sets that can meet others, as compressed gaps per task and
+    block; a class counts once a task.
     """
 
     def gaps(tokens: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -186,7 +191,7 @@ def described(documents: DataFrame, join: Join, bits: int) -> tuple[DataFrame, D
             ids, versions = batch.column("doc_id"), batch.column("version")
             for sets in _sets(batch.column("text"), join):
                 a, b = _digests(sets)
-                fresh = _unseen(a, b, sets.sizes, seen)
+                fresh = _unseen(a, b, seen) & join.meets(sets.sizes)
                 tokens.append(sets.tokens[np.repeat(fresh, sets.sizes)])
                 none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())
                 yield pa.RecordBatch.from_arrays([
@@ -271,7 +276,7 @@ def prefixes(documents: DataFrame, join: Join, order: Rarity) -> DataFrame:
                 order = np.argsort(item * 256 + step, kind="stable")
                 token, step = sets.tokens[order], step[order].astype(np.float64)
                 place = np.arange(len(item)) - sets.first[item]
-                fresh = _unseen(a, b, sizes, seen)
+                fresh = _unseen(a, b, seen) & join.meets(sizes)
                 own = fresh[item] & (step > 0) & (place < (sizes - join.needed(sizes) + 1)[item])
                 item, token = item[own], token[own]
                 hubs = np.ceil(2.0 ** (step[own] / 2) / HUB_ITEMS).astype(np.int64)
@@ -376,10 +381,10 @@ def rest_pairs(left: DataFrame, right: DataFrame, join: Join, wanted: Column) ->
     ).where("common >= lacking").select("u", "v")
 
 
-def _bitmap(keys: DataFrame) -> bytes:
-    """Bits of the classes in `keys` (a), at most 2^WANTED_BITS of them."""
-    bit = F.shiftrightunsigned("a", 64 - WANTED_BITS)
-    rows = keys.groupBy((bit / 32768).cast("int").alias("block")).agg(
+def _bitmap(rows: DataFrame, column: str) -> bytes:
+    """Bits of the 64-bit hashes in `column`, at most 2^WANTED_BITS of them."""
+    bit = F.shiftrightunsigned(column, 64 - WANTED_BITS)
+    rows = rows.groupBy((bit / 32768).cast("int").alias("block")).agg(
         F.bitmap_construct_agg(bit % 32768).alias("bits")).collect()
     out = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
     for row in rows:  # 2^WANTED_BITS / 32768 rows
@@ -388,33 +393,49 @@ def _bitmap(keys: DataFrame) -> bytes:
     return zlib.compress(out.tobytes(), 1)
 
 
-def wanted_sets(documents: DataFrame, join: Join, keys: DataFrame) -> DataFrame:
-    """a, b, tokens: the sets of the classes in `keys`, read from the texts again."""
-    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(keys))
+def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bit = (values.view(np.uint64) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+    return ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def wanted_sets(documents: DataFrame, join: Join, keys: DataFrame, homes: DataFrame) -> DataFrame:
+    """a, b, tokens: the sets of the classes in `keys`, read from the texts again.
+
+    `homes` names for each class the version of one document that has it; only those
+    documents, and what shares their bits, are taken apart.
+    """
+    wanted = persisted(homes.join(keys, ["a", "b"], "left_semi").select("a", "version"), "wanted")
+    shared = documents.sparkSession.sparkContext.broadcast(
+        (_bitmap(wanted, "a"), _bitmap(wanted, "version")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        classes, texts = (np.frombuffer(zlib.decompress(x), np.uint8) for x in shared.value)
         seen: set = set()
         for batch in batches:
-            for sets in _sets(batch.column("text"), join):
+            read = _marked(texts, batch.column("version").to_numpy())
+            column = batch.column("text").filter(pa.array(read))
+            for sets in _sets(column, join):
                 a, b = _digests(sets)
-                bit = (a.view(np.uint64) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
-                own = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                own = own[_unseen(a[own], b[own], sets.sizes[own], seen)]
+                own = np.flatnonzero(_marked(classes, a) & (sets.sizes > 0))
+                own = own[_unseen(a[own], b[own], seen)]
                 signed = sets.tokens.view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(a[own]), pa.array(b[own]),
                     pa.array([signed[sets.first[i]: sets.first[i + 1]] for i in own],
                              pa.list_(pa.int64()))], ["a", "b", "tokens"])
 
-    emitted = documents.select("text").mapInArrow(emit, "a long, b long, tokens array<long>")
+    emitted = documents.select("text", version().alias("version")).mapInArrow(
+        emit, "a long, b long, tokens array<long>")
     return emitted.join(keys, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
 
 
-def verified(documents: DataFrame, join: Join, pairs: DataFrame) -> DataFrame:
-    """u, v of those pairs whose whole sets are similar enough; written."""
+def verified(documents: DataFrame, join: Join, pairs: DataFrame, homes: DataFrame) -> DataFrame:
+    """u, v of those pairs whose whole sets are similar enough; written.
+
+    `homes` has a, b and the version of a document that has such a set.
+    """
     keys = pairs.select("u.*").unionByName(pairs.select("v.*")).distinct()
-    sets = persisted(wanted_sets(documents, join, keys), "sets")
+    sets = persisted(wanted_sets(documents, join, keys, homes), "sets")
     keyed = sets.select(F.struct("a", "b").alias("key"), "tokens")
     both = pairs.join(keyed.select(F.col("key").alias("u"), F.col("tokens").alias("x")), "u").join(
         keyed.select(F.col("key").alias("v"), F.col("tokens").alias("y")), "v")

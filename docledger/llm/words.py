@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
 PIECE = 1 << 20
+#: Rows that are copied at once.
+ROWS = 256
 _SMALL = 1 << 18
 
 
@@ -46,6 +48,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, lower-cased bytes, offsets) of runs of rows; nulls are empty."""
+    for at in range(0, len(column), ROWS):
+        for row, data, offsets in _pieces(column.slice(at, ROWS)):
+            yield at + row, data, offsets
+
+
+def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -13,10 +13,10 @@ SPACED = re.compile("[^\\x20\\x09-\\x0D]+")
 SCHEMA = "doc_id long, text string, token long, a long, salt int"
 
 
-def shingles(text: str | None, width: int, whole_only: bool = False) -> frozenset:
+def shingles(text: str | None, width: int) -> frozenset:
     w = SPACED.findall((text or "").lower())
     if len(w) < width:
-        return frozenset() if whole_only or not w else frozenset([tuple(w)])
+        return frozenset([tuple(w)] if w else [])
     return frozenset(tuple(w[i:i + width]) for i in range(len(w) - width + 1))
 
 
@@ -87,13 +87,14 @@ def test_lines_equal_those_of_all_pairs(spark, monkeypatch, seed):
     monkeypatch.setattr(setjoin, "HUB_ITEMS", 16)
     r = random.Random(seed)
     lines = [x[1] or "" for x in corpus(seed)]
+    lines += ["short line", "Short  line", "a b c d", "a b c d e", "e", " "] * 3
     rows = []
     for i in range(60):
         text = "\n".join(r.choices(lines, k=r.randint(0, 9)))
         rows.append((i * 11 % 61, text if i else None, i, 1, 2))
     rows.append((100, "a " * 200_000 + "\nkept line", 0, 1, 2))
     places = sorted(
-        (doc_id, k, shingles(line, 5, True))
+        (doc_id, k, shingles(line, 5))
         for doc_id, text, *_ in rows for k, line in enumerate((text or "").split("\n")))
     gone: dict[int, list[int]] = {}
     for i, (doc_id, k, s) in enumerate(places):
@@ -110,3 +111,25 @@ def test_lines_equal_those_of_all_pairs(spark, monkeypatch, seed):
     frame = line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(3))
     assert frame.columns == ["doc_id", "text", "token", "a", "salt", "removed_lines"]
     assert {x["doc_id"]: (x["text"], x["removed_lines"]) for x in frame.collect()} == want
+
+
+def test_short_lines_match_lines_of_the_same_words(spark):
+    rows = [(1, "short line\n\nall other words here stay"), (2, "Short  line\none two three four"),
+            (3, "\none two three four\nshort line"), (4, "one two three")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in line_dedup.deduplicated(frame).collect()}
+    assert got == {1: rows[0][1], 2: "one two three four", 3: "", 4: "one two three"}
+
+
+def test_columns_named_like_those_of_the_joins(spark):
+    names = ["version", "line", "removed_id", "removed_version", "a", "b", "first", "gone", "key", "u"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(1, "the same old words here", *names), (2, "the same old words here", *names)]
+    frame = spark.createDataFrame(rows, schema)
+    got = line_dedup.deduplicated(frame)
+    assert got.columns == [*frame.columns, "removed_lines"]
+    assert sorted((x["text"], x["version"], x["removed_lines"]) for x in got.collect()) == [
+        ("", "version", [0]), ("the same old words here", "version", [])]
+    again = line_dedup.deduplicated(got)
+    assert again.columns == got.columns and again.count() == 2
+    assert [x["component_id"] for x in ngram_join.grouped(frame).collect()] == [1, 1]

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import decontaminate, line_dedup, mixing, ngram_join, setjoin, toxicity
+from docledger.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
 from docledger.llm.queries import table
 from docledger.sources.workspace import persisted
 
@@ -39,24 +39,26 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows count one by one: rows that share an id, or have none, are told apart by
     their texts, and of rows equal in both one stays, the least by its columns.
     """
-    others, copies = (persisted(x.select(
-        F.col("doc_id").alias("other_id"), "version"), "repeats")
-        for x in ngram_join.repeats(docs, **NEAR))
-    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (
-        setjoin.version() == F.col("version"))
-    kept = docs.join(others, same, "left_anti")
+    others, copies = (persisted(x, "repeats") for x in ngram_join.repeats(docs, **NEAR))
+
+    def same(frame: DataFrame, other: DataFrame) -> Column:
+        return frame["doc_id"].eqNullSafe(other["doc_id"]) & (
+            F.xxhash64(frame["text"]) == other["version"])
+
+    kept = docs.join(others, same(docs, others), "left_anti")
     if copies.isEmpty():
         return kept
-    least = docs.join(copies, same, "left_semi").groupBy(
-        "doc_id", setjoin.version().alias("version")).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return kept.join(copies, same, "left_anti").unionByName(least.select("row.*"))
+    rows = docs.join(copies, same(docs, copies), "left_semi").select(
+        F.struct(*docs.columns).alias("row"))
+    least = rows.groupBy("row.doc_id", F.xxhash64("row.text")).agg(F.min("row").alias("row"))
+    return kept.join(copies, same(kept, copies), "left_anti").unionByName(least.select("row.*"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     hit = decontaminate.keyed_contamination(docs, table(spark, sf_dir, "benchmark")).where(
         "n_hit > 0").select("key").distinct()
-    return docs.join(hit, decontaminate.row_key() == F.col("key"), "left_anti")
+    return docs.join(hit, decontaminate.row_key() == hit["key"], "left_anti")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ BLOCKS = 64
 GATHERED = 1 << 20
 #: Bits of the bitmap of classes whose sets are wanted; more only add false alarms.
 WANTED_BITS = 26
+#: Rows of texts that go to Python at once.
+BATCH_ROWS = 512
 #: Classes that a task remembers to have sent; more only mean that some are sent again.
 REMEMBERED = 1 << 18
 #: A token met more often is dealt to several hubs, one for so many items each.
@@ -140,6 +142,20 @@ def _unseen(a: np.ndarray, b: np.ndarray, seen: set) -> np.ndarray:
     return fresh
 
 
+def _read_through(df: DataFrame, label: str) -> DataFrame:
+    """Write what a pass over the texts makes, with few texts in memory at a time.
+
+    The batch size is a setting of the session, which has its own value back afterwards.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = conf.get(name)
+    conf.set(name, min(int(own), BATCH_ROWS) if int(own) > 0 else BATCH_ROWS)
+    try:
+        return persisted(df, label)
+    finally:
+        conf.set(name, own)
+
+
 def _packed(rows: np.ndarray) -> pa.Array:
     return pa.array(rows.astype(np.int64))
 
@@ -202,7 +218,7 @@ def described(documents: DataFrame, join: Join, bits: int) -> tuple[DataFrame, D
                     yield sent()
         yield sent()
 
-    written = persisted(documents.select("doc_id", "text", version().alias("version")).mapInArrow(
+    written = _read_through(documents.select("doc_id", "text", version().alias("version")).mapInArrow(
         describe, "doc_id long, version long, line long, n long, a long, b long, block int, gaps binary"),
         "items")
     return (written.where("block IS NULL").select("doc_id", "version", "line", "n", "a", "b"),
@@ -307,7 +323,7 @@ def blocks(prefix_rows: DataFrame, join: Join) -> DataFrame:
     near = W.partitionBy("token", "salt", "band")
     key, dealt = F.struct("a", "b"), F.col("salt").isNotNull()
     hub = F.min(F.struct("pos", "doc_id", *[F.col(c).alias(f"hub_{c}") for c in _MEMBER]))
-    return persisted(
+    return _read_through(
         prefix_rows.withColumn("band", band)
         .withColumn("rows", F.count(F.lit(1)).over(block))
         .withColumn("several", F.min(key).over(block) != F.max(key).over(block))
@@ -435,7 +451,7 @@ def verified(documents: DataFrame, join: Join, pairs: DataFrame, homes: DataFram
     `homes` has a, b and the version of a document that has such a set.
     """
     keys = pairs.select("u.*").unionByName(pairs.select("v.*")).distinct()
-    sets = persisted(wanted_sets(documents, join, keys, homes), "sets")
+    sets = _read_through(wanted_sets(documents, join, keys, homes), "sets")
     keyed = sets.select(F.struct("a", "b").alias("key"), "tokens")
     both = pairs.join(keyed.select(F.col("key").alias("u"), F.col("tokens").alias("x")), "u").join(
         keyed.select(F.col("key").alias("v"), F.col("tokens").alias("y")), "v")

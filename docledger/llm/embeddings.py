@@ -43,13 +43,19 @@ def tables_for(vectors: int, cosine: float = COSINE) -> tuple[int, int]:
     return k, math.ceil(math.log(1 - RECALL) / math.log(1 - near ** k))
 
 
+def _numbers(vector: pa.ListScalar) -> np.ndarray:
+    """The components, scaled by a power of two so that no product overflows."""
+    x = vector.values.to_numpy(zero_copy_only=False)
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+
+
 def _keys(k: int, tables: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             out = []
             for vector in batch.column("vector"):
-                x = vector.values.to_numpy(zero_copy_only=False)
+                x = _numbers(vector)
                 if len(x) not in planes:
                     random = np.random.default_rng([SEED, len(x)])
                     planes[len(x)] = (random.standard_normal((k * tables, len(x))),
@@ -70,7 +76,7 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cosines = []
         for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+            x, y = _numbers(x), _numbers(y)
             cosines.append(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y)))
                            if len(x) == len(y) else -1.0)
         yield pa.RecordBatch.from_arrays(

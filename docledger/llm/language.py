@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bytes of a language's dictionary; texts are added whole until it is full.
-DICTIONARY_BYTES = 1 << 17
-#: Most rows per language from which a dictionary is filled, by a hash of the id.
-FIT_ROWS = 400
-#: Most languages that are learned, the most frequent ones.
-MOST_LANGUAGES = 200
+from docledger.sources.workspace import persisted
+
+#: Most bytes of a language's dictionary, and of all together: with many languages each
+#: has its share. Texts are added whole until it is full, the first one cut to it.
+DICTIONARY_BYTES, ALL_BYTES = 1 << 17, 1 << 24
+#: Most rows per language from which a dictionary is filled, by a hash of the id, and of
+#: all together; each language has one at least.
+FIT_ROWS, ALL_ROWS = 400, 80_000
 #: Bytes that are compressed at once, all of a text's blocks counting.
 BLOCK = 1024
 LEVEL, SHORTEST_MATCH = 6, 4
@@ -39,32 +41,33 @@ _LETTER = regex.compile(r"\p{L}")
 def learned(documents: DataFrame) -> DataFrame:
     """lang, rows, dictionary binary: fitted on a bounded sample of rows with text and lang.
 
-    Rows are thinned by a hash of the id in proportion to the language's row count
-    before they are ranked, so no task sees all rows of a language. Empty or null
-    texts and null languages teach nothing.
+    Every language is learned. Rows are thinned by a hash of the id in proportion to the
+    language's row count before they are ranked, so no task sees all rows of a language.
+    Empty or null texts and null languages teach nothing.
     """
     rows = documents.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select(
-        "doc_id", "lang", F.xxhash64("doc_id", "lang").alias("place"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    kept = F.pmod("place", F.lit(1_000_000)) * F.col("count") < 3 * FIT_ROWS * 1_000_000
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
-    sample = rows.join(F.broadcast(counts), "lang").where(kept).withColumn("rank", rank).where(
-        F.col("rank") <= FIT_ROWS).select(
-            F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang"), "rank",
-                F.col("count").alias("rows"))
-    texts = documents.select("doc_id", "lang", "text").join(
-        F.broadcast(sample),  # MOST_LANGUAGES * FIT_ROWS ids at most
-        F.col("doc_id").eqNullSafe(F.col("sample_id")) & (F.col("lang") == F.col("sample_lang")),
-    ).where("text IS NOT NULL AND text <> ''").select("lang", "rows", "rank", "text")
-    return texts.groupBy("lang").applyInArrow(_joined, "lang string, rows long, dictionary binary")
-
-
-def _joined(group: pa.Table) -> pa.Table:
+        "lang", "text", F.xxhash64("doc_id", "lang").alias("place"))
+    counts = persisted(rows.groupBy(F.col("lang").alias("name")).agg(
+        F.count(F.lit(1)).alias("rows")), "languages")
+    languages = max(counts.count(), 1)
+    most = max(1, min(FIT_ROWS, ALL_ROWS // languages))
+    size = max(1, min(DICTIONARY_BYTES, ALL_BYTES // languages))
+    kept = F.pmod("place", F.lit(1_000_000)) * F.col("rows") < 3 * most * 1_000_000
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", F.xxhash64("text")))
+    sample = rows.join(counts, F.col("lang") == F.col("name")).where(kept).withColumn(
+        "rank", rank).where(F.col("rank") <= most)
+    return sample.select("lang", "rows", "rank", "text").groupBy("lang").applyInArrow(
+        lambda group: _joined(group, size), "lang string, rows long, dictionary binary")
+
+
+def _joined(group: pa.Table, most: int) -> pa.Table:
     parts, size = [], 0
     for row in group.sort_by([("rank", "ascending"), ("text", "ascending")]).to_pylist():
         text = _reduced(row["text"])
-        if size + len(text) > DICTIONARY_BYTES and parts:
-            continue
+        if size + len(text) > most:
+            if parts:
+                continue
+            text = text[:most]
         parts.append(text)
         size += len(text)
     return pa.table({
@@ -78,13 +81,14 @@ def predicted(documents: DataFrame, dictionaries: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score 0..1, rejected: one row per input row.
 
     A null text or one without a letter is `und` with score 0, as is every text if
-    nothing was learned. Ties go to the more frequent language, then by name. `rejected` marks
-    texts with a margin below NARROW; it leaves lang_pred as it is. Ids may be null
-    or repeat; of other columns nothing is read.
+    nothing was learned. Texts of up to SHORT bytes, reduced, are packed at a level that also
+    finds short matches, as there is little else in them. Ties go to the more frequent
+    language, then by name. `rejected` marks texts with a margin below NARROW; it leaves
+    lang_pred as it is. Ids may be null or repeat; of other columns nothing is read.
     """
     pairs = [(r["lang"], bytes(r["dictionary"])) for r in
              dictionaries.orderBy(F.desc("rows"), "lang").collect()]
-    # At most MOST_LANGUAGES * DICTIONARY_BYTES.
+    # ALL_BYTES at most, and a byte for each language.
     shared = documents.sparkSession.sparkContext.broadcast(pairs)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,16 +27,14 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     classes = persisted(items.groupBy("a", "b").agg(
         F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count(F.lit(1)).alias("copies")),
         "classes")
-    homes = classes.select("a", "b", F.col("first.version").alias("version"))
     rows = setjoin.blocks(setjoin.prefixes(documents, JOIN, order), JOIN)
     tried = persisted(setjoin.hub_pairs(rows, JOIN), "pairs")
-    gone = _later(setjoin.verified(documents, JOIN, tried, homes), classes)
+    gone = _matched_later(documents, tried, classes)
 
     more = persisted(
         _unsettled(rows, classes, gone).join(tried, ["u", "v"], "left_anti"), "pairs")
     if not more.isEmpty():
-        gone = gone.unionByName(
-            _later(setjoin.verified(documents, JOIN, more, homes), classes)).distinct()
+        gone = gone.unionByName(_matched_later(documents, more, classes)).distinct()
     settled = classes.join(gone.withColumn("gone", F.lit(True)), ["a", "b"], "left").where(
         "gone OR copies > 1").select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     return items.join(settled, ["a", "b"]).where(
@@ -44,9 +42,12 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     ).select("doc_id", "version", "line")
 
 
-def _later(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b of the class of each link whose first line comes later."""
-    first = classes.select(F.struct("a", "b").alias("key"), "first")
+def _matched_later(documents: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b of the class of each similar pair whose first line comes later."""
+    own = persisted(classes.join(setjoin.classes_of(pairs), ["a", "b"], "left_semi").select(
+        "a", "b", "first", F.col("first.version").alias("version")), "homes")
+    links = setjoin.verified(documents, JOIN, pairs, own)
+    first = own.select(F.struct("a", "b").alias("key"), "first")
     both = links.join(first.select(F.col("key").alias("u"), F.col("first").alias("fu")), "u").join(
         first.select(F.col("key").alias("v"), F.col("first").alias("fv")), "v")
     later = F.when(F.col("fu") < F.col("fv"), F.col("v")).otherwise(F.col("u"))

@@ -25,9 +25,13 @@ STEPS = 60
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of each row; a null text has none."""
+    """doc_id, source, size, salt: words of each row, a null text has none, and a hash.
+
+    The salt is that of the id, without one of the text, so that rows without id spread.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return documents.select("doc_id", "source", size.alias("size"))
+    salt = F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))
+    return documents.select("doc_id", "source", size.alias("size"), salt.alias("salt"))
 
 
 def source_totals(sizes: DataFrame) -> DataFrame:
@@ -110,9 +114,7 @@ def mixed(documents: DataFrame) -> DataFrame:
     keyed = sizes.alias("d").join(
         rates.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))
     ).select(
-        "d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.rate", "s.n_docs",
-        F.md5(F.coalesce(F.col("d.doc_id").cast("string"), F.lit(""))).alias("salt"),
-    )
+        "d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.rate", "s.n_docs", "d.salt")
     parts = F.ceil(F.col("n_docs") / PART_ROWS)
     part = F.conv(F.substring("salt", 1, 8), 16, 10).cast("long") % parts
     start = F.col("part") * F.lit(0.6180339887) % 1

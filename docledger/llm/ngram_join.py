@@ -56,21 +56,25 @@ def _linked(documents: DataFrame, width: int, num: int, den: int) -> tuple[DataF
     bits = setjoin.bits_for(documents)
     items, bins = setjoin.described(documents, join, bits)
     order = setjoin.rarity(bins, bits)
-    homes = items.groupBy("a", "b").agg(F.min("version").alias("version"))
     rows = setjoin.blocks(setjoin.prefixes(documents, join, order), join)
     tried = persisted(setjoin.hub_pairs(rows, join), "pairs")
-    links = setjoin.verified(documents, join, tried, homes)
+    links = setjoin.verified(documents, join, tried, _homes(items, tried))
     found = persisted(components(links), "components")
 
     more = persisted(
         _between(rows, found, join).join(tried, ["u", "v"], "left_anti"), "pairs")
     if not more.isEmpty():
-        extra = setjoin.verified(documents, join, more, homes)
+        extra = setjoin.verified(documents, join, more, _homes(items, more))
         found = components(
             found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(extra))
     return items, persisted(found, "components")
 
 
+def _homes(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    own = items.join(setjoin.classes_of(pairs), ["a", "b"], "left_semi")
+    return persisted(own.groupBy("a", "b").agg(F.min("version").alias("version")), "homes")
+
+
 def _between(rows: DataFrame, found: DataFrame, join: setjoin.Join) -> DataFrame:
     """Candidates between different components of a block, as far as filters allow."""
     members = setjoin.members(rows)

@@ -32,7 +32,7 @@ CONSTANT, LEAST_PAGES = 0.9, 5
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
                    "param", "source", "track", "wbr"))
@@ -53,8 +53,14 @@ _OTHER_NAMES = frozenset((
     "discussion", "replies", "disqus", "related", "share", "sharing", "social", "newsletter",
     "subscribe", "signup", "login", "search", "searchbox", "widget", "toolbar", "pagination"))
 _MAIN = ("article", "main")
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements whose names say nothing about what they hold.
-_WRAPPERS = ("html", "body", *_MAIN)
+_WRAPPERS = frozenset(("html", "body", *_MAIN, *_HEADINGS)) | _INLINE - {"td", "th"}
+#: Words of an id beside which _OTHER_NAMES still speak of a part of the page. An id with
+#: any other word is taken for one made from a heading.
+_LAYOUT_WORDS = frozenset((
+    "", "section", "box", "block", "wrapper", "container", "area", "bar", "slot", "list", "form",
+    "post", "site", "main", "page", "top", "bottom", "left", "right", "inner", "outer", "content"))
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",),
     "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
@@ -70,9 +76,8 @@ class Node:
 
     __slots__ = ("tag", "names", "other", "named", "children", "shape", "at")
 
-    def __init__(self, tag: str, names: frozenset, other: bool) -> None:
-        self.tag, self.names, self.other = tag, names, other
-        self.named = tag not in _WRAPPERS and not names.isdisjoint(_OTHER_NAMES)
+    def __init__(self, tag: str, names: frozenset, other: bool, named: bool = False) -> None:
+        self.tag, self.names, self.other, self.named = tag, names, other, named
         self.children: list = []
         self.shape = 0
         self.at = -1
@@ -115,14 +120,12 @@ def parsed(source: str) -> Node:
             _close(stack, name)
             continue
         rest = tag.group(3)
-        names = frozenset(
-            word for m in _NAMES.findall(rest) for word in re.split(r"[^a-z0-9]+", "".join(m).lower())
-        ) if rest and not rest.isspace() else frozenset()
+        names, named = _words(name, rest)
         if name not in _INLINE:
             _close_open_paragraph(stack)
         for closed in _CLOSES.get(name, ()):
             _close(stack, closed, _HOLDERS)
-        node = Node(name, names, name in _OTHER)
+        node = Node(name, names, name in _OTHER, named)
         stack[-1].children.append(node)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
@@ -131,6 +134,20 @@ def parsed(source: str) -> Node:
             stack.append(node)
 
 
+def _words(tag: str, attributes: str) -> tuple[frozenset, bool]:
+    """(words of class, id and role, whether they speak against an article)."""
+    if not attributes or attributes.isspace():
+        return frozenset(), False
+    names, telling = set(), set()
+    for kind, *value in _NAMES.findall(attributes):
+        found = set(re.split(r"[^a-z0-9]+", "".join(value).lower()))
+        names |= found
+        if kind.lower() != "id" or all(
+                w in _OTHER_NAMES or w in _LAYOUT_WORDS or w.isdigit() for w in found):
+            telling |= found
+    return frozenset(names), tag not in _WRAPPERS and not telling.isdisjoint(_OTHER_NAMES)
+
+
 def _close(stack: list[Node], name: str, stop: frozenset = frozenset()) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == name:
@@ -272,8 +289,8 @@ class Pages:
         self.marks = template, essential
 
 
-def induced(pages: Pages) -> tuple[dict[int, str], int]:
-    """(texts of template nodes, the main region) by places of the reference.
+def induced(pages: Pages) -> tuple[dict[int, str], frozenset]:
+    """(texts of template nodes, the main regions) by places of the reference.
 
     Parts that hold no article by their names are marked on the way.
     """
@@ -372,12 +389,15 @@ def _mark(page: Node, template: dict[int, str], essential: set[int]) -> None:
             node.other = node.at not in essential if node.at >= 0 else id(node) not in alone
 
 
-def _region(reference: Node, weights: Counter) -> int:
-    """The place of the article, else of the smallest part with all of the weight."""
+def _region(reference: Node, weights: Counter) -> frozenset:
+    """The places of the article and of articles beside it, else of the smallest part with
+    all of the weight."""
     rows = _varying(reference, {})
     at = _article(rows, [weights[node.at] for node, *_ in rows])
     if at >= 0:
-        return rows[at][0].at
+        return frozenset({rows[at][0].at} | {
+            node.at for node, parent, _ in rows if parent == rows[at][1] and weights[node.at]
+            and node.tag == rows[at][0].tag == "article" and not node.named})
     node = reference
     while weights[node.at]:
         inner = [c for c in node.nodes() if not c.other and c.tag in _HOLDERS]
@@ -385,14 +405,34 @@ def _region(reference: Node, weights: Counter) -> int:
         if best is None:
             break
         node = best
-    return node.at
+    return frozenset((node.at,))
+
+
+def _starts(page: Node, region: frozenset) -> list[Node]:
+    """The page's nodes in the region, and articles of its own beside them, in order."""
+    nodes = list(_walk(page))
+    found = [n for n in nodes if n.at in region]
+    if not found:
+        found = [n for n in nodes if n.tag in _MAIN][:1]
+    if not found:
+        return [page]
+    if any(n.tag == "article" for n in found):
+        own = {id(n) for n in found}
+        for node in nodes:
+            children = [c for c in node.nodes() if not c.other]
+            if any(id(c) in own for c in children):
+                own |= {id(c) for c in children if c.tag == "article" and c.at < 0}
+        found = [n for n in nodes if id(n) in own]
+    return found
 
 
-def extracted(page: Node, template: dict[int, str], region: int) -> str:
-    """Blocks of the main region, in order, joined by an empty line."""
-    start = next((n for n in _walk(page) if n.at == region), None)
-    if start is None:
-        start = next((n for n in _walk(page) if n.tag in _MAIN), page)
+def extracted(page: Node, template: dict[int, str], region: frozenset) -> str:
+    """Blocks of the main regions, in order, joined by an empty line.
+
+    Of a header inside an article or main element its headings are taken, not its lines
+    on authors, dates and the like.
+    """
+    starts = _starts(page, region)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -402,14 +442,18 @@ def extracted(page: Node, template: dict[int, str], region: int) -> str:
             blocks.append(text)
         line.clear()
 
-    todo: list = [start]
+    todo: list = [x for n in reversed(starts) for x in (None, n)]
+    headings = any(n.tag in _MAIN for n in starts)
     while todo:
         node = todo.pop()
         if node is None:
             flush()
         elif node.__class__ is str:
             line.append(node)
-        elif not node.other:
+        elif node.other:
+            if headings and node.tag == "header" and not node.named:
+                todo += [x for n in reversed(_inside(node, _HEADINGS)) for x in (None, n, None)]
+        else:
             if node.tag not in _INLINE:
                 flush()
                 todo.append(None)
@@ -423,6 +467,18 @@ def extracted(page: Node, template: dict[int, str], region: int) -> str:
     return "\n\n".join(blocks)
 
 
+def _inside(node: Node, tags: tuple) -> list[Node]:
+    """The outermost nodes of these tags below a node, in order."""
+    found, todo = [], list(reversed(node.nodes()))
+    while todo:
+        c = todo.pop()
+        if c.tag in tags:
+            found.append(c)
+        elif not c.other:
+            todo += reversed(c.nodes())
+    return found
+
+
 def _blocks_inside(node: Node) -> list[Node]:
     """The nearest blocks below a node, last first."""
     found, todo = [], node.nodes()
@@ -453,9 +509,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host is. How long pages are does not change their groups. Rows that repeat a page each give a row; pages with
     equal texts count once when a template is told from content. A page that does not
     fit the reference is read by its own markup. A part whose class, id or role speaks
-    of adverts, comments and the like is left out unless it is an html, body, main or
-    article element, holds the article, or holds more than half of the varying text.
-    Other columns are ignored.
+    of adverts, comments and the like is left out unless it is an html, body, main,
+    article, heading or inline element, holds the article, or holds more than half of the
+    varying text; an id counts only if it has no words but such and those of layout.
+    Articles side by side are one text. Of a header inside an article the headings stay.
+    In a group of fewer than LEAST_PAGES different pages nothing is a template, as equal
+    texts of so few pages prove nothing. Other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))

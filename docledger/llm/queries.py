@@ -211,41 +211,57 @@ def document_licenses(docs: DataFrame) -> DataFrame:
         F.nullif(giver, F.lit("")).cast("long").alias("inherited_from"))
 
 
-def _notices() -> str:
-    return ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
+def _templates() -> str:
+    return ", ".join("({}, '{}', '{}', {})".format(i, a, b.replace("'", "''"), c)
+                     for i, (a, b, c) in enumerate(licenses.TEMPLATES))
 
 
+# All lines and blocks of all documents: no licence word is looked for.
 OP7_SQL = rf"""
 WITH f AS (
   SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), doc_id // 100, doc_id // 10,
     doc_id || '.txt') AS path FROM documents
-), t(license, notice) AS (VALUES {_notices()}),
-l AS (
-  SELECT * FROM (SELECT path, text, unnest(string_split(text, chr(10))) AS line FROM f)
-  WHERE regexp_matches(line, '{licenses.ANCHORS}')
-), u AS (SELECT line FROM l UNION SELECT notice FROM t),
-k AS (
-  SELECT line, token, count(*) AS tf FROM (
-    SELECT line, unnest(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+')) AS token FROM u)
-  GROUP BY ALL
+), t(place, license, notice, of_file) AS (VALUES {_templates()}),
+bare AS (
+  SELECT path, text, regexp_replace(regexp_replace(text, '(?m){licenses.OPENS}', '', 'g'),
+    '(?m){licenses.ENDS}', '', 'g') AS bare FROM f
+), l AS (
+  SELECT path, text, 'line' AS kind, unnest(string_split(bare, chr(10))) AS unit FROM bare
+  UNION ALL
+  SELECT path, text, 'block', unnest(regexp_split_to_array(bare, '{licenses.GAP}')) FROM bare
+), n AS (
+  SELECT place, unnest(regexp_extract_all(lower(notice), '[\p{{L}}\p{{N}}]+')) AS token FROM t
 ), i AS (
-  SELECT token, ln((1.0 + (SELECT count(*) FROM u)) / (count(*) + 1)) + 1 AS idf FROM k GROUP BY token
-), w AS (SELECT line, token, tf * idf AS w FROM k JOIN i USING (token)),
-n AS (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY line),
+  SELECT token, ln((1.0 + (SELECT count(*) FROM t)) / (count(DISTINCT place) + 1)) + 1 AS idf
+  FROM n GROUP BY token
+), nw AS (
+  SELECT place, token, count(*) * any_value(idf) AS w FROM n JOIN i USING (token) GROUP BY place, token
+), nn AS (SELECT place, sqrt(sum(w * w)) AS norm FROM nw GROUP BY place),
+k AS (
+  SELECT unit, token, count(*) AS tf FROM (
+    SELECT unit, unnest(regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+')) AS token
+    FROM (SELECT DISTINCT unit FROM l)) GROUP BY ALL
+), w AS (
+  SELECT unit, token, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM t)) + 1) AS w
+  FROM k LEFT JOIN i USING (token)
+), un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY unit),
 s AS (
-  SELECT w.line, t.license, round(sum(w.w * v.w) / (any_value(a.norm) * any_value(b.norm)), 6) AS score
-  FROM w JOIN w v USING (token) JOIN t ON t.notice = v.line
-    JOIN n a ON a.line = w.line JOIN n b ON b.line = v.line
-  GROUP BY w.line, t.license, t.notice
+  SELECT w.unit, t.license, t.of_file,
+    round(sum(w.w * nw.w) / (any_value(un.norm) * any_value(nn.norm)), 6) AS score
+  FROM w JOIN nw USING (token) JOIN t ON t.place = nw.place JOIN nn ON nn.place = nw.place
+    JOIN un ON un.unit = w.unit
+  GROUP BY w.unit, t.place, t.license, t.of_file
 ), b AS (
-  SELECT line, arg_max(license, (score, license)) AS license, max(score) AS score
-  FROM s WHERE score >= {licenses.NEAR} GROUP BY line
-), o AS (
-  SELECT path, arg_max(license, (b.score, b.license)) AS own_license, max(b.score) AS score,
-    sum(len(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+')))
+  SELECT unit, max((score, license, of_file)) AS best FROM s WHERE score >= {licenses.NEAR} GROUP BY unit
+), p AS (
+  SELECT path, kind, max((best[1], best[2])) AS best, bool_or(best[3]) AS of_file,
+    sum(len(regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+')))
       >= {licenses.FILE_SHARE} * any_value(len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')))
-      AS license_file
-  FROM l JOIN b USING (line) GROUP BY path
+      AS shared
+  FROM l JOIN b USING (unit) GROUP BY path, kind
+), o AS (
+  SELECT path, max(best)[2] AS own_license, max(best)[1] AS score, bool_or(of_file OR shared) AS license_file
+  FROM p GROUP BY path
 ), d AS (
   SELECT regexp_replace(path, '/?[^/]*$', '') AS folder,
     arg_min((own_license, path), (-score, path)) AS given
@@ -270,7 +286,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5(coalesce(doc_id::VARCHAR, '')) AS salt
+    md5(coalesce(doc_id::VARCHAR, text, '')) AS salt
   FROM documents
 ), s AS (
   SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM (

@@ -414,15 +414,19 @@ def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def wanted_sets(documents: DataFrame, join: Join, keys: DataFrame, homes: DataFrame) -> DataFrame:
-    """a, b, tokens: the sets of the classes in `keys`, read from the texts again.
+def classes_of(pairs: DataFrame) -> DataFrame:
+    """a, b of the classes in u, v."""
+    return pairs.select("u.*").unionByName(pairs.select("v.*")).distinct()
+
+
+def wanted_sets(documents: DataFrame, join: Join, homes: DataFrame) -> DataFrame:
+    """a, b, tokens: the sets of the classes in `homes`, read from the texts again.
 
     `homes` names for each class the version of one document that has it; only those
     documents, and what shares their bits, are taken apart.
     """
-    wanted = persisted(homes.join(keys, ["a", "b"], "left_semi").select("a", "version"), "wanted")
     shared = documents.sparkSession.sparkContext.broadcast(
-        (_bitmap(wanted, "a"), _bitmap(wanted, "version")))
+        (_bitmap(homes, "a"), _bitmap(homes, "version")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, texts = (np.frombuffer(zlib.decompress(x), np.uint8) for x in shared.value)
@@ -442,16 +446,16 @@ def wanted_sets(documents: DataFrame, join: Join, keys: DataFrame, homes: DataFr
 
     emitted = documents.select("text", version().alias("version")).mapInArrow(
         emit, "a long, b long, tokens array<long>")
-    return emitted.join(keys, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    return emitted.join(homes, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
 
 
 def verified(documents: DataFrame, join: Join, pairs: DataFrame, homes: DataFrame) -> DataFrame:
     """u, v of those pairs whose whole sets are similar enough; written.
 
-    `homes` has a, b and the version of a document that has such a set.
+    `homes` is a written table of a, b and the version of a document that has such a set,
+    for the classes of the pairs.
     """
-    keys = pairs.select("u.*").unionByName(pairs.select("v.*")).distinct()
-    sets = _read_through(wanted_sets(documents, join, keys, homes), "sets")
+    sets = _read_through(wanted_sets(documents, join, homes), "sets")
     keyed = sets.select(F.struct("a", "b").alias("key"), "tokens")
     both = pairs.join(keyed.select(F.col("key").alias("u"), F.col("tokens").alias("x")), "u").join(
         keyed.select(F.col("key").alias("v"), F.col("tokens").alias("y")), "v")

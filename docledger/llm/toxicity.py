@@ -117,7 +117,8 @@ def learned(documents: DataFrame, labels: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", "text").join(
         F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("place", "toxic", "text")
     rows = texts.mapInArrow(_features, "place long, toxic int, at array<int>")
-    return rows.coalesce(1).mapInArrow(_fit, "at int, weight double")
+    # One task fits; the shuffle before it keeps reading and hashing spread over all.
+    return rows.repartition(1).mapInArrow(_fit, "at int, weight double")
 
 
 def _shared_model(documents: DataFrame, model: DataFrame):

@@ -57,3 +57,11 @@ def test_tables_reach_the_recall(vectors):
     k, tables = embeddings.tables_for(vectors)
     near = embeddings._same_cell(math.sqrt(0.1)) ** k
     assert 1 - (1 - near) ** tables >= embeddings.RECALL
+
+
+def test_components_whose_squares_overflow(spark):
+    data = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e200, -1e200]), (4, [1e308, 1.0]),
+            (5, [1.0, 0.0]), (6, [1e-300, 1e-300])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embeddings.linked(frame).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (2, 1)}

@@ -51,3 +51,10 @@ def test_no_rows_and_no_words(spark):
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).collect() == []
     got = mixing.mixed(spark.createDataFrame([(1, "a", None, 0.0, "")], SCHEMA)).first()
     assert (got["size"], got["target"], got["taken"]) == (0, 0.0, 0)
+
+
+def test_rows_without_an_id_spread_over_the_parts(spark):
+    rows = [(None, f"word {'w ' * (i % 7)}{i}", "a") for i in range(60)] + [(None, None, "a"), (None, "", "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing.sized(frame).select("salt").distinct().count() == 61
+    assert mixing.mixed(frame).count() == 62

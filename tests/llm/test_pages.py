@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 from docledger.llm import pages
 
 SCHEMA = "page_id long, url string, html string, host string, part int"
@@ -113,3 +116,62 @@ def test_template_does_not_depend_on_page_length(spark, monkeypatch):
     assert texts(spark, rows) == want
     monkeypatch.setattr(pages, "GROUP_CHARS", 500)
     assert texts(spark, rows) == want
+
+
+def test_names_of_headings_inline_words_and_sections_made_from_headings(spark):
+    body = ("<article><h2 id='related-work'>Related work {i}</h2><p>To <span class='share'>share {i}</span>"
+            " is <em class='ad'>good</em>.</p><section id='search-trees'><p>On trees {i}</p></section>"
+            "<div id='comment-form-2'>Say {i}</div><div class='share'>Share {i}</div></article>")
+    for pages_of in (8, 1):
+        got = texts(spark, [(i, f"http://n.org/{i}", page(i, body.replace("{i}", str(i)))) for i in range(pages_of)])
+        for i in range(pages_of):
+            assert got[i] == f"Related work {i}\n\nTo share {i} is good.\n\nOn trees {i}"
+
+
+def test_articles_side_by_side_and_their_headers(spark):
+    two = ("<main><article><header><p>By A {i}</p><div><h1>First {i}</h1></div></header><p>long one {i}</p></article>"
+           "<article><h2>Second {i}</h2><p>short {i}</p></article></main><aside><article>Not {i}</article></aside>")
+    one = "<main><article><h1>Alone {i}</h1><p>with text {i}</p></article></main>"
+    rows = [(i, f"http://m.org/{i}", page(i, (one if i % 3 == 0 else two).replace("{i}", str(i)))) for i in range(9)]
+    for some in (rows, rows[1:2], rows[1:]):
+        got = texts(spark, some)
+        for i, *_ in some:
+            assert got[i] == (f"Alone {i}\n\nwith text {i}" if i % 3 == 0 else
+                              f"First {i}\n\nlong one {i}\n\nSecond {i}\n\nshort {i}")
+
+
+def test_matching_finds_the_most_pairs_of_small_trees():
+    r = random.Random(6)
+
+    def tree(depth):
+        inner = "".join(tree(depth - 1) for _ in range(r.randint(0, 3))) if depth else ""
+        tag = r.choice(["div", "section", "ul"])
+        return f"<{tag}>{inner}</{tag}>"
+
+    def most(a, b):
+        """All ways to pair children in order, one by one."""
+        if a.tag != b.tag:
+            return 0
+        xs, ys, best = a.nodes(), b.nodes(), 0
+        for k in range(min(len(xs), len(ys)) + 1):
+            for left in itertools.combinations(xs, k):
+                for right in itertools.combinations(ys, k):
+                    pairs = [most(x, y) for x, y in zip(left, right)]
+                    if all(pairs):
+                        best = max(best, sum(pairs))
+        return 1 + best
+
+    for _ in range(60):
+        a, b = pages.parsed(tree(3)), pages.parsed(tree(3))
+        seen = {}
+        pages._matched([a], [b], seen)
+        assert seen[a.shape, b.shape] == most(a, b)
+        for at, node in enumerate(every(b)):
+            node.at = at
+        pages.aligned(a, b, seen)
+        paired = [n.at for n in every(a) if n.at >= 0]
+        assert len(set(paired)) == len(paired) == seen[a.shape, b.shape]
+
+
+def every(node):
+    return [node, *(x for c in node.nodes() for x in every(c))]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from docledger.llm import language, toxicity
@@ -58,6 +61,60 @@ def test_toxicity_learns_only_from_labels_it_is_given(spark):
     assert toxicity.judged(frame.where("false"), marks).collect() == []
 
 
+def test_toxicity_equals_a_plain_ftrl_of_the_same_rows(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(12)] + ["vile"] * 2, k=r.randint(0, 8)))
+             for _ in range(90)]
+    rows = [(i, t, int("vile" in t) if i % 7 else i % 2) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {x["doc_id"]: x["score"] for x in toxicity.scored(
+        docs, toxicity.learned(docs, docs.select("doc_id", "toxic"))).collect()}
+    places = {x["doc_id"]: x["h"] for x in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+
+    def features(text):
+        w = text.split()
+        return {*w, *zip(w, w[1:]), *((a, None, c) for a, c in zip(w, w[2:]))}
+
+    sets = {i: features(t) for i, t, _ in rows}
+    seen = {}
+    for s in sets.values():
+        for f in s:
+            seen[f] = seen.get(f, 0) + 1
+    toxic = sum(y for *_, y in rows)
+    l1 = min(max(toxicity.L1_LEAST, toxicity.L1_SHARE * toxic), toxicity.L1_MOST)
+    least = min(toxicity.FIT_LEAST, 1 + toxic // 100)
+    z, n = {}, {}
+
+    def weight(f):
+        v, s = z.get(f, 0.0), math.sqrt(n.get(f, 0.0))
+        if f == "":
+            return -v / ((toxicity.BETA + s) / toxicity.ALPHA)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / (
+            (toxicity.BETA + s) / toxicity.ALPHA + toxicity.L2)
+
+    order = sorted(rows, key=lambda x: (places[x[0]], x[2]))
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(order)):
+            i, _, y = order[k]
+            own = ["", *(f for f in sets[i] if seen[f] >= least)]
+            w = {f: weight(f) for f in own}
+            slope = (1 / (1 + math.exp(-sum(w.values()))) - y) * (toxicity.TOXIC_WEIGHT if y else 1)
+            for f in own:
+                a = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + slope - (math.sqrt(a + slope**2) - math.sqrt(a)) / toxicity.ALPHA * w[f]
+                n[f] = a + slope**2
+    for i, _, _ in rows:
+        want = 1 / (1 + math.exp(-weight("") - sum(weight(f) for f in sets[i] if f in n)))
+        assert got[i] == pytest.approx(want, abs=2e-3)
+    assert max(got.values()) > 0.9 and min(got.values()) < 0.1
+
+
+def test_toxicity_reads_the_documents_in_many_tasks(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "'some words' AS text", "id % 2 AS toxic").repartition(8)
+    plan = toxicity.learned(docs, docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.index("SinglePartition") < plan.rindex("MapInArrow")
+
+
 @pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no test tables")
 def test_language_of_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
@@ -66,6 +123,44 @@ def test_language_of_held_out_rows(spark):
     assert right >= 0.97
 
 
+def test_language_is_the_smallest_size_of_all(spark):
+    """Every text against every dictionary of more than 200 languages, one by one."""
+    r = random.Random(8)
+    names = [f"l{i:03}" for i in range(260)]
+    words = {n: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for n in names}
+    rows = [(k * 1000 + i, " ".join(r.choices(words[n], k=30)), n) for i, n in enumerate(names) for k in (0, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {x["lang"]: bytes(x["dictionary"]) for x in language.learned(docs).collect()}
+    assert sorted(known) == names
+    assert all(len(x) <= language.ALL_BYTES // len(names) for x in known.values())
+    tests = [(i, " ".join(r.choices(words[n], k=k)), n) for i, (n, k) in enumerate(
+        (n, k) for n in r.sample(names, 12) for k in (3, 300))]
+    got = language.predicted(
+        spark.createDataFrame(tests, docs.schema), language.learned(docs)).collect()
+    for (i, text, n), found in zip(tests, sorted(got, key=lambda x: x["doc_id"])):
+        raw = b" " + text.encode() + b" "
+        short = len(raw) <= language.SHORT
+        how = zstandard.ZstdCompressionParameters.from_level(
+            language.SHORT_LEVEL if short else language.LEVEL,
+            min_match=3 if short else language.SHORTEST_MATCH, write_checksum=False,
+            write_content_size=False, write_dict_id=False)
+        sizes = {}
+        for name, content in known.items():
+            packer = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(
+                content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes[name] = sum(len(packer.compress(raw[at: at + language.BLOCK]))
+                              for at in range(0, len(raw), language.BLOCK))
+        assert (found["doc_id"], found["lang_pred"]) == (i, min(sizes, key=lambda x: (sizes[x], x)))
+        assert found["lang_pred"] == n or short
+
+
+def test_language_dictionaries_are_bounded_by_long_texts_too(spark):
+    docs = spark.createDataFrame(
+        [(1, "lang " * 200_000, "a"), (2, "andere Worte", "b")], "doc_id long, text string, lang string")
+    sizes = {x["lang"]: len(x["dictionary"]) for x in language.learned(docs).collect()}
+    assert sizes == {"a": language.DICTIONARY_BYTES, "b": 14}
+
+
 def test_language_of_odd_rows(spark):
     docs = [(i, f"the house and the garden of the king number {i}", "en", 0.0) for i in range(60)]
     docs += [(100 + i, f"das Haus und der Garten von dem König Nummer {i}", "de", 0.0) for i in range(60)]

@@ -113,12 +113,17 @@ def split_groups(
     """Prepare `df` for ordered scans within `key`.
 
     `probe` is a cheaper frame with the same key column to look for heavy keys
-    in, when `df` is the product of joins. `order` must be total within a key.
+    in, when `df` is the product of joins; it has all rows of `df`'s keys at least.
+    `order` must be total within a key.
     """
-    heavy = persisted(
-        heavy_keys(probe if probe is not None else df, key, min_rows), "heavy-keys")
-    if heavy.isEmpty():
-        return [GroupScan(df, key, tuple(order), False)]
+    plain = [GroupScan(df, key, tuple(order), False)]
+    # Fewer rows than make a heavy key: mostly known from the files' footers.
+    if probe is not None and probe.count() < min_rows:
+        return plain
+    found = heavy_keys(probe if probe is not None else df, key, min_rows)
+    if found.isEmpty():
+        return plain
+    heavy = persisted(found, "heavy-keys")
     is_heavy = F.col(key).eqNullSafe(F.col("_heavy"))
     # The ranges must not move between uses, so they are pinned in the shared
     # checkpoint folder.

@@ -154,15 +154,44 @@ def line_totals(lines: DataFrame) -> DataFrame:
     )
 
 
+def count_changes(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """By how much lines that go and lines that come change the counts of their invoices."""
+    off = line_off(F.col("quantity"), F.col("unit_price"), F.col("amount"))
+    columns = ("invoice_id", "quantity", "unit_price", "amount")
+    signed = added.select(*columns, F.lit(1).alias("sign")).unionByName(
+        removed.select(*columns, F.lit(-1).alias("sign")))
+    return signed.groupBy("invoice_id").agg(
+        F.sum("sign").alias("n_lines"),
+        F.sum(F.when(off, F.col("sign")).otherwise(0)).alias("n_bad_lines"))
+
+
+def changed_counts(counts: DataFrame, changes: DataFrame) -> DataFrame:
+    """The counts of the invoices in `changes`, after them; others need no new row.
+
+    `counts` comes from `line_totals` or from here. No line is read but those that go
+    and come.
+    """
+    old = counts.withColumnsRenamed({"n_lines": "_lines", "n_bad_lines": "_bad"})
+    return changes.join(old, "invoice_id", "left").select(
+        "invoice_id",
+        (F.col("n_lines") + F.coalesce("_lines", F.lit(0))).alias("n_lines"),
+        (F.col("n_bad_lines") + F.coalesce("_bad", F.lit(0))).alias("n_bad_lines"))
+
+
 def with_verdict(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     """Add finding counts and the two verdicts to each invoice."""
+    return with_counted_verdict(invoices, line_totals(lines))
+
+
+def with_counted_verdict(invoices: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same from kept counts of lines; an invoice without a row there has no lines."""
     missing = sum(F.col(n).isNull().cast("bigint") for n in fixed.HEADER_FIELDS)
     bad_total = F.coalesce(
         total_off(F.col("subtotal"), F.col("tax"), F.col("total")), F.lit(False)
     )
     n_lines = F.coalesce("n_lines", F.lit(0))
     return (
-        invoices.join(line_totals(lines), "invoice_id", "left")
+        invoices.join(counts, "invoice_id", "left")
         .withColumns({
             "n_errors": F.coalesce("n_bad_lines", F.lit(0)) + bad_total.cast("bigint"),
             "n_warnings": missing + (n_lines == 0).cast("bigint"),

@@ -49,6 +49,18 @@ def gate(
     return uploads.withColumn("reject_reason", reject_reason(max_bytes, extensions))
 
 
+def stored_uploads(uploads: DataFrame, headers: DataFrame) -> DataFrame:
+    """Uploads with the length and first bytes of their stored file.
+
+    `uploads` has storage_key, `headers` comes from `stored_headers`. An upload whose
+    file is not there has no size, which the gate takes for an empty file.
+    """
+    known = headers.select(
+        F.col("storage_key").alias("_key"), F.col("length").alias("size_bytes"), "header")
+    return uploads.drop("size_bytes", "header").join(
+        known, F.col("storage_key") == F.col("_key"), "left").drop("_key")
+
+
 def error_class(reason: Column) -> Column:
     """Error class of a reject reason."""
     pairs = [F.lit(x) for pair in fixed.REASON_CLASSES.items() for x in pair]

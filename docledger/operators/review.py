@@ -17,6 +17,7 @@ from docledger.functions.ids import derived_id
 from docledger.functions.text import is_blank
 from docledger.operators import findings
 from docledger.operators.extract import parse_payload
+from docledger.sources.workspace import persisted
 
 OPEN_STATUS = "REVIEW_REQUIRED"
 
@@ -87,20 +88,12 @@ def draft_state(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def command_outcomes(
-    commands: DataFrame, documents: DataFrame, invoices: DataFrame, lines: DataFrame,
-    min_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """Outcome of every command: INVALID, NOT_FOUND, CONFLICT, MISSING_DRAFT,
-    BLOCKED, SAVE_FAILED or OK, tested in that order.
+def checked_commands(commands: DataFrame) -> DataFrame:
+    """Commands with what can be said of them alone.
 
-    A kind other than EDIT, APPROVE and REJECT, or none, is INVALID. Only documents
-    that commands name are looked at, so a small batch reads few lines' groups.
+    `_invalid` and `_unfit` judge the body, `_set_<amount>` is a struct where an edit names
+    that amount, and `_set_bad_lines` says whether the lines an edit brings are wrong.
     """
-    named = commands.select("document_id").distinct()
-    documents = documents.join(named, "document_id", "left_semi")
-    invoices = invoices.join(named, "document_id", "left_semi")
-    lines = lines.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
     is_edit, is_approve, is_reject = (
         F.col("kind") == kind for kind in ("EDIT", "APPROVE", "REJECT")
     )
@@ -110,7 +103,7 @@ def command_outcomes(
             findings.line_off(x["quantity"], x["unit_price"], x["amount"]), F.lit(False)
         ),
     )
-    checked = with_patch(commands).select(
+    return with_patch(commands).select(
         *commands.columns,
         F.coalesce(
             (is_edit & F.col("schema_bad")) | (is_reject & reason_bad())
@@ -121,6 +114,26 @@ def command_outcomes(
           for n in fixed.MONEY_FIELDS],
         F.when(is_set("line_items"), bad_new_line).alias("_set_bad_lines"),
     )
+
+
+def command_outcomes(
+    commands: DataFrame, documents: DataFrame, invoices: DataFrame, lines: DataFrame,
+    min_rows: int = HEAVY_ROWS,
+) -> DataFrame:
+    """Outcome of every command: INVALID, NOT_FOUND, CONFLICT, MISSING_DRAFT,
+    BLOCKED, SAVE_FAILED or OK, tested in that order.
+
+    A kind other than EDIT, APPROVE and REJECT, or none, is INVALID. Only documents
+    that commands name are looked at, so a small batch reads few lines' groups.
+    """
+    named = commands.select("document_id").distinct()
+    documents = documents.join(named, "document_id", "left_semi")
+    invoices = invoices.join(named, "document_id", "left_semi")
+    lines = lines.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
+    is_edit, is_approve, is_reject = (
+        F.col("kind") == kind for kind in ("EDIT", "APPROVE", "REJECT")
+    )
+    checked = checked_commands(commands)
     state = (
         documents.select(
             "document_id",
@@ -254,6 +267,16 @@ def patched_lines(lines: DataFrame, invoices: DataFrame, outcomes: DataFrame) ->
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
+def line_changes(
+    lines: DataFrame, invoices: DataFrame, outcomes: DataFrame,
+) -> tuple[DataFrame, DataFrame]:
+    """(removed, added): the lines that saved edits take away and bring."""
+    replaced = replaced_lines(invoices, outcomes).select("invoice_id")
+    old = lines.join(replaced, "invoice_id", "left_semi")
+    new = patched_lines(old, invoices, outcomes)
+    return old, new
+
+
 def blocked_findings(
     outcomes: DataFrame, invoices: DataFrame, lines: DataFrame, min_rows: int = HEAVY_ROWS
 ) -> DataFrame:
@@ -283,3 +306,89 @@ def blocked_findings(
     named = before.select("invoice_id", "document_id").join(blocked, "document_id").select(
         "invoice_id", "document_id", "n_blocked", F.col("_first.command_id").alias("first_command_id"))
     return found.join(named, "invoice_id").drop("invoice_id")
+
+
+def blocked_command_findings(
+    outcomes: DataFrame, invoices: DataFrame, lines: DataFrame, min_rows: int = HEAVY_ROWS
+) -> DataFrame:
+    """command_id, document_id and the findings each blocked approval met, per command.
+
+    The draft an approval meets is the stored one, changed by the edits saved before it.
+    Approvals with no saved edit between them meet the same draft, which is judged once.
+    The values of headers are carried along a document's commands; of lines only the
+    edit that brought them is, and its lines are read when a draft needs them.
+    """
+    is_blocked = (F.col("outcome") == "BLOCKED") & (F.col("kind") == "APPROVE")
+    is_saved = (F.col("outcome") == "OK") & (F.col("kind") == "EDIT")
+    named = outcomes.where(is_blocked).select("document_id").distinct()
+    steps = with_patch(
+        outcomes.where(is_blocked | is_saved).join(named, "document_id", "left_semi")
+    ).withColumn("_saved", is_saved)
+    carried = {
+        **{f"_set_{n}": F.when(F.col("_saved") & is_set(n), F.struct(F.col(n).alias("v")))
+           for n in fixed.HEADER_FIELDS},
+        "_edit": F.when(F.col("_saved"), F.col("command_id")),
+        "_lines": F.when(F.col("_saved") & is_set("line_items"), F.col("command_id")),
+    }
+    order = [F.col("issued_at"), F.col("command_id")]
+    scans = [scan.carry(carried) for scan in split_groups(
+        steps, "document_id", order, min_rows, probe=outcomes)]
+    met = persisted(merge_groups(scans).where(~F.col("_saved")).select(
+        "command_id", "document_id",
+        derived_id("met-draft", "document_id", F.coalesce(F.col("_edit").cast("string"), F.lit("")))
+        .alias("met_id"), *carried), "met-drafts")
+    drafts = met.groupBy("met_id", "document_id", "_lines").agg(
+        *[F.any_value(f"_set_{n}").alias(f"_set_{n}") for n in fixed.HEADER_FIELDS])
+    base = invoices.join(named, "document_id", "left_semi")
+    headers = persisted(drafts.join(
+        base.select("document_id", "invoice_id", *fixed.HEADER_FIELDS), "document_id").select(
+        "met_id", "document_id", F.col("invoice_id").alias("base_id"), "_lines", *[
+            F.when(F.col(f"_set_{n}").isNotNull(), F.col(f"_set_{n}")["v"]).otherwise(F.col(n))
+            .alias(n) for n in fixed.HEADER_FIELDS]), "met-headers")
+    values = ("line_order", "description", "quantity", "unit_price", "amount")
+    stored = lines.join(
+        headers.where(F.col("_lines").isNull()).select(
+            "met_id", F.col("base_id").alias("invoice_id")), "invoice_id").select(
+        F.col("met_id").alias("invoice_id"), F.col("line_id").cast("string").alias("line_id"), *values)
+    brought = steps.where(F.col("_saved")).select(
+        F.col("command_id").alias("_lines"), "line_items").join(
+        headers.select("_lines", "met_id"), "_lines").select(
+        F.col("met_id").alias("invoice_id"),
+        F.posexplode("line_items").alias("line_order", "item")).select(
+        "invoice_id", derived_id("edited-line", "invoice_id", "line_order").alias("line_id"),
+        "line_order", *[f"item.{c}" for c in values[1:]])
+    found = findings.all_findings(
+        headers.withColumn("invoice_id", F.col("met_id")), stored.unionByName(brought), min_rows)
+    return met.select("command_id", "document_id", "met_id").join(
+        found.withColumnRenamed("invoice_id", "met_id"), "met_id").drop("met_id")
+
+
+def review_changes(
+    outcomes: DataFrame, documents: DataFrame, invoices: DataFrame, lines: DataFrame,
+) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """What a batch changes in the three stored tables: (removed, added) of each.
+
+    `removed` has organization_id and the table's key, `added` the rows that take their
+    place; for lines the key is the invoice, whose line set is replaced as a whole. Only
+    documents with a saved command are read. `invoices` and `lines` carry
+    organization_id, as they are stored by tenant.
+    """
+    saved = outcomes.where(F.col("outcome") == "OK")
+    named = saved.select("document_id").distinct()
+    decided = decisions(saved).select("document_id")
+    changed_documents = decided_documents(
+        documents.join(decided, "document_id", "left_semi"), saved)
+    drafts = invoices.join(named, "document_id", "left_semi")
+    headers = decided_invoices(patched_headers(drafts, saved), saved)
+    replaced = replaced_lines(drafts.drop("organization_id"), saved).select("invoice_id")
+    owners = drafts.select("invoice_id", "organization_id")
+    old = lines.join(replaced, "invoice_id", "left_semi")
+    fresh = patched_lines(old.drop("organization_id"), drafts.drop("organization_id"), saved).join(
+        replaced, "invoice_id", "left_semi").join(owners, "invoice_id")
+    return {
+        "documents": (
+            changed_documents.select("organization_id", "document_id"), changed_documents),
+        "invoices": (headers.select("organization_id", "invoice_id"), headers),
+        "invoice_line_items": (
+            replaced.join(owners, "invoice_id").select("organization_id", "invoice_id"), fresh),
+    }

@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger import fixed
-from docledger.operators import processing
+from docledger.functions.text import non_space_count
+from docledger.operators import gate, pages, processing
 from docledger.plans.samples import (
     LengthExtractor,
+    MarkupRanges,
     ParagraphRenderer,
     ScanReader,
     WordRecogniser,
 )
 from docledger.plans.standins import driver_table
-from docledger.plans.uploads import chars_sql
+from docledger.plans.uploads import GATED_SQL, chars_sql
 from docledger.sources.files import stored_file_stream, stored_files
+from docledger.sources.headers import stored_headers
 from docledger.sources.ledger import Ledger
+from docledger.sources.ranges import page_ranges, read_page_ranges
 from docledger.sources.workspace import new_path, persisted
 from docledger.streaming import pipeline
 
@@ -29,6 +33,11 @@ BATCHES = 4
 HOOKS = processing.Hooks(ScanReader, ParagraphRenderer, WordRecogniser, LengthExtractor)
 
 _KEY = "concat('file=', CAST(page_id AS STRING))"
+_CONTENT = ("CASE WHEN page_id % 7 = 3 THEN html WHEN page_id % 7 = 5 THEN '%PD' "
+            "ELSE concat('%PDF-', html) END")
+_NAME = ("CASE WHEN page_id % 11 = 2 THEN NULL WHEN page_id % 11 = 4 THEN 'a/b.pdf' "
+         "ELSE concat('Page ', CAST(page_id AS STRING), '.PDF') END")
+_MOST_BYTES = 6_000
 _LOST, _HAD = "page_id % 37 = 5", "page_id % 9 = 4"
 
 
@@ -68,6 +77,33 @@ def _shown(jobs: DataFrame, statuses: DataFrame, invoices: DataFrame, found: Dat
     ).join(counted, "document_id", "left")
 
 
+def file_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over real files, of which it reads five bytes each."""
+    root = new_path(spark, "file-gate")
+    rows = driver_table(spark, sf_dir, "pages").where(f"NOT ({_LOST})")
+    rows.selectExpr("page_id AS file", f"{_CONTENT} AS content").write.partitionBy("file").text(root)
+    headers = _named(stored_headers(spark, root, files_per_task=100))
+    uploads = driver_table(spark, sf_dir, "pages").selectExpr(
+        "page_id AS upload_id", "page_id % 20 AS organization_id", f"{_KEY} AS storage_key",
+        f"{_NAME} AS filename")
+    return gate.gate(gate.stored_uploads(uploads, headers), _MOST_BYTES).select(
+        "upload_id", "organization_id", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
+        "reject_reason")
+
+
+def page_reader_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of real files in ranges of eight, each range a piece of work of its own."""
+    root = new_path(spark, "page-ranges")
+    _write_files(spark, sf_dir, root)
+    keys = stored_headers(spark, root, 0).select(
+        F.regexp_extract("storage_key", "^file=([^/]*)/", 1).cast("bigint").alias("document_id"),
+        "storage_key")
+    ranges = page_ranges(keys, root, MarkupRanges, 8)
+    return read_page_ranges(ranges, root, MarkupRanges).select(
+        "document_id", "page_no", "page_error", "open_failed",
+        non_space_count(pages.native_text()).cast("bigint").alias("non_space_chars"))
+
+
 def file_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job rows of a whole batch, with each document's status and findings."""
     root = new_path(spark, "file-pipeline")
@@ -102,7 +138,12 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(*(pipeline.results(spark, f"{root}/out", name, schema) for name, schema in shown))
 
 
-QUERIES = {"file_pipeline": file_pipeline, "stream_pipeline": stream_pipeline}
+QUERIES = {
+    "file_gate": file_gate,
+    "page_reader_ranges": page_reader_ranges,
+    "file_pipeline": file_pipeline,
+    "stream_pipeline": stream_pipeline,
+}
 
 _JOINED = "chr(10) || chr(10) ORDER BY i"
 _SQL = f"""WITH files AS (
@@ -166,4 +207,22 @@ SELECT document_id, stage, CASE WHEN error_message IS NULL THEN 'SUCCESS' ELSE '
     ELSE 'PROCESSING_ERROR' END AS error_category, error_message, document_status, n_findings
 FROM steps"""
 
-ORACLES = {"file_pipeline": _SQL, "stream_pipeline": _SQL}
+ORACLES = {
+    "file_gate": f"""WITH uploads AS (
+  SELECT page_id AS upload_id, page_id % 20 AS organization_id, {_NAME} AS filename,
+    CASE WHEN {_LOST} THEN 0 ELSE strlen({_CONTENT}) + 1 END AS size_bytes,
+    encode({_CONTENT}) AS header FROM pages
+), {GATED_SQL.replace(str(fixed.MAX_UPLOAD_BYTES), str(_MOST_BYTES))}
+SELECT upload_id, organization_id, size_bytes, reject_reason FROM gated""",
+    "page_reader_ranges": f"""WITH parts AS (
+  SELECT page_id, unnest(string_split(html, '<p>')) AS part,
+    generate_subscripts(string_split(html, '<p>'), 1) AS n
+  FROM pages WHERE contains(html, '<html') AND NOT ({_LOST}))
+SELECT page_id AS document_id, CAST(n - 1 AS INTEGER) AS page_no, false AS page_error,
+  false AS open_failed,
+  {chars_sql("regexp_replace(part, '<[^>]*>', ' ', 'g')")} AS non_space_chars FROM parts
+UNION ALL
+SELECT page_id, NULL, false, true, 0 FROM pages WHERE NOT contains(html, '<html') AND NOT ({_LOST})""",
+    "file_pipeline": _SQL,
+    "stream_pipeline": _SQL,
+}

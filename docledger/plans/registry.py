@@ -12,6 +12,7 @@ from docledger.plans import (
     findings,
     history,
     integrity,
+    merges,
     pipeline,
     review,
     streams,
@@ -20,7 +21,7 @@ from docledger.plans import (
 )
 
 _SECTIONS = (uploads, texts, extraction, findings, review, exports, history, integrity, streams,
-             pipeline)
+             pipeline, merges)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for section in _SECTIONS for name, query in section.QUERIES.items()

@@ -102,6 +102,29 @@ def patch_findings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.all_findings(headers.join(edited, "document_id", "left_semi"), lines)
 
 
+def patch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all drafts after two batches of edits, from counts that are kept.
+
+    Lines are counted once, before the edits; after that only the lines that an edit
+    takes away or brings are looked at.
+    """
+    f = _frames(spark, sf_dir)
+    counts = persisted(findings.line_totals(f["lines"]), "counts")
+    headers, lines, documents = f["drafts"], f["lines"], f["documents"]
+    first, last = f["commands"].agg(F.min("issued_at"), F.max("issued_at")).first()
+    late = F.col("issued_at") > F.lit(first and first + (last - first) / 2).cast("timestamp")
+    for batch in (f["commands"].where(~late), f["commands"].where(late)):
+        outcomes = persisted(review.command_outcomes(batch, documents, headers, lines), "outcomes")
+        removed, added = (persisted(x, "lines") for x in review.line_changes(lines, headers, outcomes))
+        new = findings.changed_counts(counts, findings.count_changes(removed, added))
+        counts = persisted(counts.join(new, "invoice_id", "left_anti").unionByName(new), "counts")
+        lines = persisted(review.patched_lines(lines, headers, outcomes), "patched")
+        headers = persisted(review.patched_headers(headers, outcomes), "patched")
+        documents = persisted(review.decided_documents(documents, outcomes), "decided")
+    return findings.with_counted_verdict(headers, counts).select(
+        "invoice_id", "n_errors", "n_warnings", "is_valid", "requires_review")
+
+
 def decided_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes, f = _outcomes(spark, sf_dir)
     return shown(review.decided_invoices(f["drafts"], outcomes).select(
@@ -126,6 +149,13 @@ def approve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approve_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of each blocked approval, of the draft as it met it."""
+    outcomes, f = _outcomes(spark, sf_dir, keep=True)
+    return review.blocked_command_findings(outcomes, f["drafts"], f["lines"])
+
+
+def approve_blocked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the first blocked approval of each document."""
     outcomes, f = _outcomes(spark, sf_dir, keep=True)
     return review.blocked_findings(outcomes, f["drafts"], f["lines"])
 
@@ -273,12 +303,14 @@ QUERIES = {
     "patch_scalars": patch_scalars,
     "patch_lines": patch_lines,
     "patch_findings": patch_findings,
+    "patch_verdicts": patch_verdicts,
     "patch_findings_rows": patch_findings_rows,
     "review_view_lines": review_view_lines,
     "review_view_findings": review_view_findings,
     "decided_invoices": decided_invoices,
     "approve_batch": approve_batch,
     "approve_blocked": approve_blocked,
+    "approve_blocked_documents": approve_blocked_documents,
     "reject_batch": reject_batch,
 }
 
@@ -311,6 +343,10 @@ SELECT line_id, invoice_id, line_order, description,
     "patch_findings": f"""WITH {outcomes_sql()}, {_LAST_SET}, {_NEW_LINES},
 edited AS (SELECT * FROM patched WHERE document_id IN (SELECT document_id FROM last_sets)),
 {VERDICT_SQL.replace("FROM invoices i", "FROM edited i").replace("FROM lines", "FROM patched_lines")}
+SELECT invoice_id, n_errors, n_warnings, n_errors = 0 AS is_valid,
+  n_errors > 0 OR n_warnings > 0 AS requires_review FROM verdicts""",
+    "patch_verdicts": f"""WITH {outcomes_sql()}, {_LAST_SET}, {_NEW_LINES},
+{VERDICT_SQL.replace("FROM invoices i", "FROM patched i").replace("FROM lines", "FROM patched_lines")}
 SELECT invoice_id, n_errors, n_warnings, n_errors = 0 AS is_valid,
   n_errors > 0 OR n_warnings > 0 AS requires_review FROM verdicts""",
     "patch_findings_rows": f"""WITH {outcomes_sql()}, {_LAST_SET}, {_NEW_LINES},
@@ -338,6 +374,24 @@ FROM drafts i LEFT JOIN decisions d ON d.document_id = i.document_id""",
     "approve_batch": f"""WITH {outcomes_sql("'APPROVE'")}, {_DECISIONS}
 SELECT document_id, status, {text_sql('approved_at')}, approved_by_user_id FROM decisions""",
     "approve_blocked": f"""WITH {outcomes_sql()},
+tried AS (SELECT command_id AS met_id, document_id, issued_at FROM outcomes
+  WHERE outcome = 'BLOCKED' AND kind = 'APPROVE'),
+earlier AS (SELECT o.* REPLACE (t.met_id AS document_id)
+  FROM outcomes o JOIN tried t ON t.document_id = o.document_id
+  WHERE (o.issued_at, o.command_id) < (t.issued_at, t.met_id)),
+met AS (SELECT i.* REPLACE (t.met_id AS invoice_id, t.met_id AS document_id)
+  FROM drafts i JOIN tried t ON t.document_id = i.document_id),
+met_lines AS (SELECT l.* REPLACE (t.met_id AS invoice_id) FROM lines l
+  JOIN drafts i ON i.invoice_id = l.invoice_id JOIN tried t ON t.document_id = i.document_id),
+{_LAST_SET.replace("FROM outcomes", "FROM earlier").replace("FROM drafts", "FROM met")},
+{_NEW_LINES.replace("FROM outcomes", "FROM earlier").replace("JOIN drafts", "JOIN met")
+ .replace("FROM lines", "FROM met_lines")},
+invoices AS (SELECT * FROM patched),
+{NUMBERED_SQL.replace("FROM lines", "FROM patched_lines")},
+found AS ({_ALL_FINDINGS.replace("FROM lines", "FROM patched_lines")})
+SELECT f.* EXCLUDE (invoice_id), t.met_id AS command_id, t.document_id
+FROM found f JOIN tried t ON t.met_id = f.invoice_id""",
+    "approve_blocked_documents": f"""WITH {outcomes_sql()},
 blocked AS (SELECT document_id, count(*) AS n_blocked,
   arg_min(command_id, (issued_at, command_id)) AS first_command_id,
   min((issued_at, command_id)) AS first_at

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from typing import BinaryIO
 
 from pyspark import cloudpickle
 
@@ -22,6 +23,20 @@ class MarkupReader:
         return [re.sub(r"<[^>]*>", " ", part) for part in html.split("<p>")]
 
 
+class MarkupRanges:
+    """The same pages from an open file, some at a time."""
+
+    def count(self, file: BinaryIO) -> int:
+        html = file.read()
+        if b"<html" not in html:
+            raise ValueError("not a document")
+        return html.count(b"<p>") + 1
+
+    def read(self, file: BinaryIO, first: int, stop: int) -> list[str | None]:
+        parts = file.read().decode("utf-8").split("<p>", stop)
+        return [re.sub(r"<[^>]*>", " ", part) for part in parts[first:stop]]
+
+
 class ScanReader(MarkupReader):
     """The same, but files of some lengths have no native text, as scans have none."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger import fixed
+from docledger.operators import review
 from docledger.plans.extraction import TEXT_FAILURE_SQL
 from docledger.plans.review import DECISIONS_SQL
 from docledger.plans.samples import LengthExtractor
@@ -26,6 +27,7 @@ from docledger.plans.uploads import id_sql
 from docledger.sources.workspace import new_path
 from docledger.streaming.chain import read_findings, start_chain
 from docledger.streaming.decisions import start_decisions
+from docledger.streaming.keyed import start_keyed_decisions
 from docledger.streaming.uploads import start_gate
 
 BATCHES = 4
@@ -55,13 +57,12 @@ def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_findings(spark, root)
 
 
-def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = new_path(spark, "stream-decisions")
+def _commands(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """The commands as a stream of BATCHES files, in order of time: edits and approvals of
+    a document come in different batches."""
     owners = frame(spark, sf_dir, "documents").selectExpr(
         "document_id", "organization_id AS owner_id"
     )
-    # One file per trigger, in order of time: edits and approvals of a document come
-    # in different batches.
     raw = driver_table(spark, sf_dir, "events")
     first, last = raw.agg(F.min("ts"), F.max("ts")).first()
     cuts = [first + (last - first) * i / BATCHES for i in range(1, BATCHES)] if first else []
@@ -70,14 +71,18 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = raw if low is None else raw.where(F.col("ts") > low)
         rows = rows if high is None else rows.where(F.col("ts") <= high)
         rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    commands = (
+    return (
         spark.readStream.schema(DRIVER_TABLES["events"]).option("maxFilesPerTrigger", 1)
         .parquet(f"{root}/in").selectExpr(*spark_list(COMMANDS))
         .join(owners, "document_id", "left")
         .selectExpr(*COMMANDS, f"{COMMAND_TENANT} AS organization_id")
     )
+
+
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_path(spark, "stream-decisions")
     start_decisions(
-        commands, root, f"{root}/checkpoint", frame(spark, sf_dir, "documents"),
+        _commands(spark, sf_dir, root), root, f"{root}/checkpoint", frame(spark, sf_dir, "documents"),
         frame(spark, sf_dir, "drafts"), frame(spark, sf_dir, "lines"),
     ).awaitTermination()
     return shown(spark.read.schema(
@@ -86,10 +91,24 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).parquet(f"{root}/decisions").drop("batch_id"))
 
 
+def stream_keyed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions with the state of each document in the state store."""
+    root = new_path(spark, "stream-keyed")
+    start_keyed_decisions(
+        _commands(spark, sf_dir, root), f"{root}/outcomes", f"{root}/checkpoint",
+        frame(spark, sf_dir, "documents"), frame(spark, sf_dir, "drafts"),
+        frame(spark, sf_dir, "lines"),
+    ).awaitTermination()
+    return shown(review.decisions(spark.read.schema(
+        "command_id bigint, document_id bigint, user_id bigint, kind string, issued_at timestamp, "
+        "reason string, outcome string").parquet(f"{root}/outcomes")))
+
+
 QUERIES = {
     "stream_gate": stream_gate,
     "stream_chain": stream_chain,
     "stream_decisions": stream_decisions,
+    "stream_keyed_decisions": stream_keyed_decisions,
 }
 
 _UNFILLED = ("vendor_address", "customer_name", "invoice_number", "invoice_date", "due_date",
@@ -113,4 +132,5 @@ SELECT invoice_id, 'ERROR', 0, 'total', 'TOTAL_MISMATCH', 'subtotal (' || n || '
   WHERE n % 2 = 1""",
     "stream_gate": UPLOAD_ORACLES["upload_gate"],
     "stream_decisions": DECISIONS_SQL,
+    "stream_keyed_decisions": DECISIONS_SQL,
 }

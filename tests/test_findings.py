@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -160,3 +161,26 @@ def test_validation_stage_always_goes_to_review(spark):
     assert rows["d1"]["verdict_status"] == "REVIEW_REQUIRED"
     assert (rows["d2"]["verdict_status"], rows["d2"]["error_category"]) == (
         "FAILED", "PROCESSING_ERROR")
+
+
+def test_kept_counts_equal_counting_again_after_any_edits(spark):
+    r = random.Random(9)
+    def some(key, i):
+        return line(f"{key}-{i}", key, i, quantity="1", price="1.00", amount=r.choice(["1.00", "5.00", None]))
+
+    keys = [f"i{i}" for i in range(6)]
+    now = {k: [some(k, i) for i in range(r.randint(0, 4))] for k in keys}
+    counts = findings.line_totals(lines(spark, *[x for v in now.values() for x in v]))
+    for _ in range(3):
+        replaced = {k: [some(k, i) for i in range(r.randint(0, 4))] for k in r.sample(keys, 3)}
+        removed = lines(spark, *[x for k in replaced for x in now[k]])
+        added = lines(spark, *[x for v in replaced.values() for x in v])
+        new = findings.changed_counts(counts, findings.count_changes(removed, added))
+        assert {x["invoice_id"] for x in new.collect()} <= set(replaced)
+        counts = counts.join(new, "invoice_id", "left_anti").unionByName(new)
+        counts = spark.createDataFrame(counts.collect(), counts.schema)
+        now.update(replaced)
+    heads = invoices(spark, *[invoice(k) for k in keys])
+    again = findings.with_verdict(heads, lines(spark, *[x for v in now.values() for x in v]))
+    kept = findings.with_counted_verdict(heads, counts)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, again.collect()))

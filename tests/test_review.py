@@ -143,6 +143,36 @@ def test_blocked_findings_are_those_the_approval_met(spark):
         ("FIELD_MISSING", "due_date"), ("TOTAL_MISMATCH", "total")]
 
 
+@pytest.mark.parametrize("min_rows", [1, 1_000])
+def test_every_blocked_approval_has_the_findings_it_met(spark, min_rows):
+    rows = [
+        cmd("c1", "EDIT", 0, {"total": "999.00", "due_date": None}), cmd("c2", "APPROVE", 1),
+        cmd("c3", "APPROVE", 2), cmd("c4", "EDIT", 3, {"total": "115.00", "line_items": [
+            {"amount": 1}, {"quantity": 1, "unit_price": 1, "amount": 9}]}),
+        cmd("c5", "APPROVE", 4), cmd("c6", "EDIT", 5, {"line_items": [], "tax": 0}),
+        cmd("c7", "APPROVE", 6), cmd("c8", "EDIT", 7, {"tax": "15.00"}), cmd("c9", "APPROVE", 8),
+        cmd("e1", "APPROVE", 0, document_id="d2"), cmd("e2", "REJECT", 1, document_id="d2", reason="x")]
+    docs = [document(), document("d2"), document("d3")]
+    heads = [invoice(), invoice("i2", vendor_name=None), invoice("i3", total=Decimal("1.00"))]
+    items = [line("l1"), line("l2", "i2", amount="7.00"), line("l3", "i2", 1, amount="8.00")]
+    got = outcomes(spark, rows, docs, heads, items)
+    assert {k for k, v in codes(got).items() if v == "BLOCKED"} == {"c2", "c3", "c5", "c7", "e1"}
+    found = {}
+    for r in review.blocked_command_findings(
+            got, invoices(spark, *heads), lines(spark, *items), min_rows).collect():
+        found.setdefault((r["command_id"], r["document_id"]), []).append((r["code"], r["field"]))
+    met = [("FIELD_MISSING", "due_date"), ("TOTAL_MISMATCH", "total")]
+    assert {k: sorted(v) for k, v in found.items()} == {
+        ("c2", "d1"): met, ("c3", "d1"): met,
+        ("c5", "d1"): [("FIELD_MISSING", "due_date"),
+                       ("LINE_ITEM_AMOUNT_MISMATCH", "line_items[1].amount")],
+        ("c7", "d1"): [("FIELD_MISSING", "due_date"), ("NO_LINE_ITEMS", "line_items"),
+                       ("TOTAL_MISMATCH", "total")],
+        ("e1", "d2"): [("FIELD_MISSING", "vendor_name"),
+                       ("LINE_ITEM_AMOUNT_MISMATCH", "line_items[0].amount"),
+                       ("LINE_ITEM_AMOUNT_MISMATCH", "line_items[1].amount")]}
+
+
 def test_approval_reaches_the_export(spark):
     got = outcomes(spark, [cmd("c1", "APPROVE", user_id="boss")])
     docs = review.decided_documents(documents(spark, document()), got)

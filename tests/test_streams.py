@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import json
+import random
 import sys
 from datetime import timedelta
+from decimal import Decimal
 
 import pytest
 from builders import T0, build, commands, document, documents, invoice, invoices, line, lines
@@ -11,7 +13,7 @@ from pyspark import cloudpickle
 from docledger import schemas
 from docledger.operators import review
 from docledger.operators.gate import gate
-from docledger.streaming import chain, decisions
+from docledger.streaming import chain, decisions, keyed
 from docledger.streaming.uploads import start_gate
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -131,6 +133,46 @@ def test_stream_decisions_remember_edits_of_earlier_batches(spark, tmp_path):
                    "c6": "OK", "c7": "OK", "c8": "CONFLICT"}
 
 
+def test_keyed_decisions_equal_one_batch_and_survive_a_restart(spark, tmp_path):
+    r = random.Random(4)
+    patches = ['{"total": "999.00"}', '{"total": "115.00"}', '{"line_items": []}', '{"tax": null}',
+               '{"line_items": [{"quantity": 1, "unit_price": 1, "amount": 9}]}', '{"currency": "TOO-LONG-ONE"}',
+               '{"subtotal": "abc"}', "{}", '{"subtotal": "100.00", "tax": 15}']
+    made = []
+    for i in range(90):
+        kind = r.choice(["EDIT", "EDIT", "EDIT", "APPROVE", "REJECT", "OTHER"])
+        made.append({
+            "command_id": f"c{i:03}", "document_id": r.choice(["d1", "d2", "d3", "d4", "d5", "d6", "nobody", None]),
+            "kind": kind, "issued_at": T0 + timedelta(minutes=i // 2), "organization_id": r.choice(["a"] * 9 + ["b"]),
+            "patch": r.choice(patches) if kind == "EDIT" else None,
+            "reason": r.choice(["wrong", ""]) if kind == "REJECT" else None, "user_id": f"u{i % 3}"})
+    made = [c for i, c in enumerate(made) if c["kind"] != "REJECT" or i > 60]
+    docs = documents(spark, *[document(f"d{i}") for i in range(1, 5)], document("d5", status="FAILED"), document("d6"))
+    heads = invoices(spark, *[invoice(f"i{i}", total=Decimal(t)) for i, t in enumerate(
+        ["115.00", "1.00", "115.00", "115.00", "115.00"], 1)])
+    items = lines(spark, line("l1", "i1"), line("l2", "i2"), line("l3", "i3", amount="7.00"))
+    schema = schemas.COMMANDS
+
+    def feed(rows):
+        commands(spark, *rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        keyed.start_keyed_decisions(
+            stream, str(tmp_path / "out"), str(tmp_path / "cp"), docs, heads, items).awaitTermination()
+
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    thirds = [made[i * len(made) // 3:(i + 1) * len(made) // 3] for i in range(3)]
+    for rows in thirds:  # each a run of its own, from the checkpoint
+        feed(rows)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+    got = spark.read.parquet(str(tmp_path / "out"))
+    batch = review.command_outcomes(commands(spark, *made), docs, heads, items)
+    assert {x["command_id"]: x["outcome"] for x in got.collect()} == {
+        x["command_id"]: x["outcome"] for x in batch.collect()}
+    assert sorted(map(str, review.decisions(got).collect())) == sorted(map(str, review.decisions(batch).collect()))
+    assert {x["outcome"] for x in got.collect()} == {
+        "INVALID", "NOT_FOUND", "CONFLICT", "MISSING_DRAFT", "BLOCKED", "SAVE_FAILED", "OK"}
+
+
 def test_workspace_needs_a_shared_folder_off_local_mode(spark, monkeypatch):
     from docledger.sources import workspace
 

@@ -5,6 +5,10 @@ their difference is Gaussian with that width. Projections are cut into cells of
 CELL; `k` cells form a bucket key, and several tables of keys give a pair several
 chances. `k` follows from the number of vectors, so that unrelated ones rarely share a
 bucket, and the number of tables from the chance that a pair at the threshold does.
+
+Buckets of few vectors give pairs, checked one by one. A bucket of many, as copies with
+small changes make it, is cut into blocks, and two blocks at a time are compared by one
+product of matrices: only sums per vector and a spanning forest come out, never pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ CELL = 1.5
 #: Chance to meet in a table at least once, for a pair exactly at the threshold.
 RECALL = 0.98
 SEED = 71
+#: A bucket with more different vectors than CROWD is compared in blocks of BLOCK.
+CROWD, BLOCK = 64, 512
+_NODE = "struct<first_id: long, code: long>"
 
 
 def _same_cell(distance: float) -> float:
@@ -84,6 +91,76 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["u", "v", "cosine"])
 
 
+def _nodes(column: pa.Array) -> np.ndarray:
+    """Rows of (first_id, code)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.stack([x.to_numpy(zero_copy_only=False) for x in column.flatten()], 1)
+
+
+def _shared(crowds: list[np.ndarray], key: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For left and right rows, whether they also meet in a crowd of a smaller key."""
+    sizes = [len(c) for c in crowds]
+    keys = np.concatenate(crowds)
+    rows = np.repeat(np.arange(len(crowds)), sizes)
+    rows, keys = rows[keys < key], keys[keys < key]
+    names, at, often = np.unique(keys, return_inverse=True, return_counts=True)
+    several = np.cumsum(often > 1) - 1
+    kept = often[at] > 1
+    member = np.zeros((len(crowds), int((often > 1).sum())), np.float32)
+    member[rows[kept], several[at[kept]]] = 1
+    return member[left] @ member[right].T > 0
+
+
+def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """For each row the least row that links reach."""
+    label = np.arange(size)
+    while True:
+        before = label.copy()
+        for a, b, links in ((left, right, near), (right, left, near.T)):
+            reach = np.where(links, label[b][None, :], size).min(1, initial=size)
+            label[a] = np.minimum(label[a], reach)
+        if (label == before).all():
+            return label
+
+
+def _compared(cosine: float):
+    """Two blocks of a crowd: links of each vector there, and edges that connect them."""
+    def compare(group: pa.Table) -> pa.Table:
+        key = group.column("key")[0].as_py()
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        nodes = _nodes(group.column("node"))
+        order = np.lexsort([nodes[:, 1], nodes[:, 0]])
+        group, nodes = group.take(pa.array(order)), nodes[order]
+        vectors = [_numbers(x) for x in group.column("vector")]
+        copies, chunk = (group.column(c).to_numpy() for c in ("copies", "chunk"))
+        crowds = [np.array(x, np.int64) for x in group.column("crowds").to_pylist()]
+        lengths = np.array([len(x) for x in vectors])
+        others, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        for n in np.unique(lengths):  # a key holds one length, but for colliding hashes
+            left = np.flatnonzero((lengths == n) & (chunk == i))
+            right = np.flatnonzero((lengths == n) & (chunk == j))
+            if not len(left) or not len(right):
+                continue
+            unit = [np.array([vectors[k] for k in rows]) for rows in (left, right)]
+            unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in unit]
+            near = unit[0] @ unit[1].T >= cosine
+            if i == j:
+                np.fill_diagonal(near, False)
+            label = np.minimum(label, _forest(near, left, right, len(nodes)))
+            own = near & ~_shared(crowds, key, left, right)
+            others[left] += own @ copies[right]
+            if i != j:
+                others[right] += own.T @ copies[left]
+        told = np.flatnonzero((others > 0) | (label < np.arange(len(nodes))))
+        to = nodes[label[told]]
+        node = group.column("node").combine_chunks().take(pa.array(told))
+        return pa.table({
+            "node": node, "root": pa.StructArray.from_arrays(
+                [pa.array(to[:, 0]), pa.array(to[:, 1])], ["first_id", "code"]),
+            "others": pa.array(others[told])})
+    return compare
+
+
 def linked(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row.
 
@@ -106,26 +183,47 @@ def linked(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     ).select(F.struct("first_id", F.xxhash64("vector").alias("code")).alias("node"),
              "vector", "copies"), "vectors")
     k, tables = tables_for(classes.count(), cosine)
-    node = "node struct<first_id: long, code: long>"
-    keyed = classes.select("node", "vector").mapInArrow(
-        _keys(k, tables), f"{node}, keys array<long>").select(
-            "node", F.explode("keys").alias("key"))
-    keyed = persisted(keyed, "keys")
-    left = keyed.select(F.col("node").alias("u"), "key")
-    right = keyed.select(F.col("node").alias("v"), F.col("key").alias("right_key"))
+    keyed = persisted(classes.select("node", "vector").mapInArrow(
+        _keys(k, tables), f"node {_NODE}, keys array<long>").select(
+            "node", F.explode("keys").alias("key")), "keys")
+    crowds = persisted(keyed.groupBy(F.col("key").alias("crowd")).agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("size")).where(
+        F.col("size") > CROWD).select("crowd", "blocks"), "crowds")
+    crowded = persisted(keyed.join(crowds, F.col("key") == F.col("crowd")).select(
+        "node", "key", "blocks"), "crowded")
+    own = crowded.groupBy(F.col("node").alias("of")).agg(F.collect_list("key").alias("crowds"))
+    vectors = persisted(classes.join(own, F.col("node") == F.col("of"), "left").select(
+        "node", "vector", "copies", F.coalesce("crowds", F.array().cast("array<long>")).alias("crowds")),
+        "crowd-vectors")
+
+    few = keyed.join(crowds, F.col("key") == F.col("crowd"), "left_anti")
+    left = few.select(F.col("node").alias("u"), "key")
+    right = few.select(F.col("node").alias("v"), F.col("key").alias("right_key"))
     pairs = left.join(right, (F.col("key") == F.col("right_key")) & (F.col("u") < F.col("v")))
-    vector = classes.select("node", "vector")
     checked = pairs.select("u", "v").distinct().join(
-        vector.select(F.col("node").alias("u"), F.col("vector").alias("x")), "u").join(
-        vector.select(F.col("node").alias("v"), F.col("vector").alias("y")), "v")
-    node = "struct<first_id: long, code: long>"
-    links = persisted(checked.select("u", "v", "x", "y").mapInArrow(
-        _cosines, f"u {node}, v {node}, cosine double").where(F.col("cosine") >= cosine), "links")
+        vectors.select(F.col("node").alias("u"), F.col("vector").alias("x"), F.col("crowds").alias("cx")), "u"
+    ).join(vectors.select(F.col("node").alias("v"), F.col("vector").alias("y"), F.col("crowds").alias("cy")), "v")
+    # A pair that meets in a crowd is counted there.
+    links = persisted(checked.where(~F.arrays_overlap("cx", "cy")).select("u", "v", "x", "y").mapInArrow(
+        _cosines, f"u {_NODE}, v {_NODE}, cosine double").where(F.col("cosine") >= cosine), "links")
+
+    chunk = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = crowded.withColumn("chunk", chunk).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select(
+        "node", "key", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    blocks = placed.join(vectors.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select(
+        "node", "key", "chunk", "i", "j", "vector", "copies", "crowds")
+    met = persisted(blocks.groupBy("key", "i", "j").applyInArrow(
+        _compared(cosine), f"node {_NODE}, root {_NODE}, others long"), "met")
+
     both = links.select("u", "v").unionByName(
         links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     partners = both.join(
         classes.select(F.col("node").alias("v"), "copies"), "v",
-    ).groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("others"))
+    ).select(F.col("u").alias("node"), F.col("copies").alias("others")).unionByName(
+        met.select("node", "others")).groupBy("node").agg(F.sum("others").alias("others"))
+    links = links.select("u", "v").unionByName(
+        met.select(F.col("node").alias("u"), F.col("root").alias("v")).distinct())
     roots = components(links)
     named = classes.join(partners, "node", "left").join(roots, "node", "left").select(
         F.col("vector").alias("class_vector"),

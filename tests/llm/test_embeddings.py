@@ -38,6 +38,21 @@ def test_links_and_groups_against_all_pairs(spark):
         assert x["component_id"] <= x["vec_id"] and x["kept"] == (x["component_id"] == x["vec_id"])
 
 
+@pytest.mark.parametrize("crowd, block", [(1, 3), (4, 7), (8, 512)])
+def test_crowds_in_blocks_count_as_pairs_do(spark, monkeypatch, crowd, block):
+    random = np.random.default_rng(7)
+    base = random.standard_normal((3, 16))
+    rows = [b + random.standard_normal(16) * w for b in base for w in (0.01, 0.15, 0.3) for _ in range(12)]
+    data = [(i * 5 % 211, x.tolist(), 0, 0) for i, x in enumerate([*rows, rows[0], rows[0], *(2 * r for r in rows[:3])])]
+    frame = spark.createDataFrame(data, SCHEMA)
+    monkeypatch.setattr(embeddings, "CROWD", 10**9)
+    want = sorted(map(tuple, embeddings.linked(frame).collect()))
+    monkeypatch.setattr(embeddings, "CROWD", crowd)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    assert sorted(map(tuple, embeddings.linked(frame).collect())) == want
+    assert max(x[1] for x in want) > 20
+
+
 def test_odd_vectors_link_with_nothing(spark):
     data = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, math.nan]),
             (6, [math.inf, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm import setjoin
@@ -71,6 +71,21 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     is added, in place of one that is there. A document may be left with an empty
     text; a null text stays null.
     """
+    joined, text, gone = _with_removed(documents)
+    return joined.select(*[
+        text.alias("text") if c == "text" else documents[c]
+        for c in documents.columns if c != "removed_lines"], gone.alias("removed_lines"))
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The same documents and columns, with matched lines taken out of `text`."""
+    joined, text, _ = _with_removed(documents)
+    return joined.select(*[
+        text.alias("text") if c == "text" else documents[c] for c in documents.columns])
+
+
+def _with_removed(documents: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(documents with the lines to remove, the text without them, those lines)."""
     lists = removed_lines(documents).groupBy("doc_id", "version").agg(
         F.sort_array(F.collect_set("line")).alias("lines"))
     joined = documents.join(
@@ -79,7 +94,4 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     gone = F.coalesce(lists["lines"], F.array().cast("array<long>"))
     kept = F.array_join(F.filter(
         F.split(documents["text"], "\n"), lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")
-    text = F.when(F.size(gone) > 0, kept).otherwise(documents["text"])
-    return joined.select(*[
-        text.alias("text") if c == "text" else documents[c]
-        for c in documents.columns if c != "removed_lines"], gone.alias("removed_lines"))
+    return joined, F.when(F.size(gone) > 0, kept).otherwise(documents["text"]), gone

@@ -167,8 +167,10 @@ def below_threshold(documents: DataFrame, model: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(shared.value[0])
         for batch in batches:
-            yield batch.filter(pa.array(
-                _scores(batch.column("text"), *shared.value, known) < THRESHOLD))
+            for at in range(0, len(batch), words.ROWS):  # few texts are copied at a time
+                part = batch.slice(at, words.ROWS)
+                yield part.filter(pa.array(
+                    _scores(part.column("text"), *shared.value, known) < THRESHOLD))
 
     return documents.mapInArrow(keep, documents.schema)
 

@@ -70,6 +70,25 @@ def test_stages_with_no_rows_and_odd_rows(spark):
         assert frame.count() == start.count()
 
 
+def test_stages_with_columns_named_like_their_own(spark):
+    names = ["version", "other_id", "key", "removed_lines", "removed_id", "removed_version", "row", "size",
+             "score", "n_hit", "label_id", "toxic", "place", "part", "rate", "a", "b"]
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(1, words[0], *names), (2, words[0] + " more", *names), (2, words[1], *names), (3, words[2], *names),
+            (4, "a line\na line", *names), (4, words[2], *names)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", 1, *rest) for i, t, *rest in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, "
+        + ", ".join(f"{n} string" for n in names))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.persisted(stage(spark, docs, SF_DIR), "test")
+        assert docs.columns == columns
+    assert all(list(x[5:]) == names for x in docs.collect() if x["doc_id"] == 1)
+    mix = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+    assert mix.count() == docs.count() and "copies" in mix.columns
+
+
 def test_rows_with_repeated_or_no_ids_have_decisions_of_their_own(spark):
     words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefgh"]
     bad = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("length(text) > 99").first()["text"]

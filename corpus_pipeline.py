@@ -27,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that an earlier one has; n_chars follows."""
-    text = line_dedup.deduplicated(docs).select(docs.columns)
+    text = line_dedup.without_repeats(docs)
     if "n_chars" in docs.columns:
         text = text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return text

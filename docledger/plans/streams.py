@@ -34,11 +34,11 @@ BATCHES = 4
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return (
-        spark.readStream.schema(DRIVER_TABLES[table])
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(sf_dir)
-    )
+    """The table as a stream; it may be one file or a folder of files.
+
+    A stream's path must be a folder unless it is a pattern, so the name is written as one.
+    """
+    return spark.readStream.schema(DRIVER_TABLES[table]).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark import cloudpickle
 from docledger import schemas
 from docledger.operators import review
 from docledger.operators.gate import gate
+from docledger.plans import streams, uploads
+from docledger.plans.standins import DRIVER_TABLES
 from docledger.streaming import chain, decisions, keyed
 from docledger.streaming.uploads import start_gate
 
@@ -37,6 +39,26 @@ def test_stream_gate_equals_batch(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, batch))
 
 
+def test_streams_read_a_table_that_is_one_file_or_a_folder(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", "web", 6) for i in range(1, 30)]
+    table = spark.createDataFrame(rows, DRIVER_TABLES["documents"])
+    table.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "file").mkdir()
+    (part,) = (tmp_path / "part").glob("part-*.parquet")
+    part.rename(tmp_path / "file" / "documents.parquet")
+    for kind in ("file", "folder"):
+        root = str(tmp_path / kind)
+        got = streams.stream_gate(spark, root).collect()
+        assert sorted(map(str, got)) == sorted(map(str, uploads.upload_gate(spark, root).collect()))
+        assert len(got) == len(rows)
+        assert streams.stream_chain(spark, root).count() > 0
+
+
+def test_a_chain_without_any_batch_has_no_findings(spark, tmp_path):
+    assert chain.read_findings(spark, str(tmp_path / "nothing")).count() == 0
+
+
 class Counting:
     """Leaves one file per call, so that calls can be counted across workers."""
 

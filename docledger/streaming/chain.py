@@ -81,8 +81,6 @@ def start_chain(
 def read_findings(spark: SparkSession, root: str) -> DataFrame:
     schema = (
         "invoice_id string, severity string, ord bigint, field string, code string, "
-        "message string, batch_id bigint"
+        "message string"
     )
-    return spark.read.schema(schema).parquet(f"{root}/findings").drop("batch_id")
-
-
+    return _so_far(spark, root, "findings", schema).drop("batch_id")

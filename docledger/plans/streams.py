@@ -31,6 +31,7 @@ from docledger.streaming.keyed import start_keyed_decisions
 from docledger.streaming.uploads import start_gate
 
 BATCHES = 4
+ROWS_PER_FILE, MOST_FILES = 100_000, 64
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,8 +59,9 @@ def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _commands(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
-    """The commands as a stream of BATCHES files, in order of time: edits and approvals of
-    a document come in different batches."""
+    """The commands as a stream of BATCHES batches, in order of time: edits and approvals of
+    a document come in different batches. A large batch is several files, each of many rows,
+    and all batches have the same number of files."""
     owners = frame(spark, sf_dir, "documents").selectExpr(
         "document_id", "organization_id AS owner_id"
     )
@@ -67,12 +69,16 @@ def _commands(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     first, last = raw.agg(F.min("ts"), F.max("ts")).first()
     cuts = [first + (last - first) * i / BATCHES for i in range(1, BATCHES)] if first else []
     bounds = [F.lit(c).cast("timestamp_ntz") for c in cuts]
+    windows = []
     for low, high in zip([None, *bounds], [*bounds, None]):
-        rows = raw if low is None else raw.where(F.col("ts") > low)
-        rows = rows if high is None else rows.where(F.col("ts") <= high)
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        since = F.lit(True) if low is None else F.col("ts") > low
+        windows.append(since if high is None else since & (F.col("ts") <= high))
+    least = min(raw.agg(*[F.count_if(w) for w in windows]).first())
+    files = max(1, min(MOST_FILES, least // ROWS_PER_FILE))
+    for window in windows:
+        raw.where(window).repartition(files).write.mode("append").parquet(f"{root}/in")
     return (
-        spark.readStream.schema(DRIVER_TABLES["events"]).option("maxFilesPerTrigger", 1)
+        spark.readStream.schema(DRIVER_TABLES["events"]).option("maxFilesPerTrigger", files)
         .parquet(f"{root}/in").selectExpr(*spark_list(COMMANDS))
         .join(owners, "document_id", "left")
         .selectExpr(*COMMANDS, f"{COMMAND_TENANT} AS organization_id")

@@ -1,9 +1,10 @@
 """Continuous review decisions with the state of each document in the state store.
 
 The state of a document is what its next command depends on: status, tenant, the amounts
-as edited so far and whether its lines are wrong. It starts from the stored tables and is
-carried from batch to batch by Spark, so a batch costs what its own commands cost, however
-many came before. `decisions.py` is the other way: state in tables, no keyed task.
+as edited so far and whether its lines are wrong. A document without one starts from the
+stored tables, which are joined to the commands; its state is carried from batch to batch by
+Spark as soon as a command changes it. Commands that the stored tables alone refuse never
+reach a task's fold. `decisions.py` is the other way: state in tables, no keyed task.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from contextlib import contextmanager
 from decimal import Decimal
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from docledger import fixed
 from docledger.operators import review
+from docledger.sources.workspace import persisted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,19 +32,25 @@ _STATE = (
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Plain values, so that Python workers need not have the package installed.
+_OPEN, _MONEY, _TOLERANCE = review.OPEN_STATUS, tuple(fixed.MONEY_FIELDS), Decimal(fixed.TOLERANCE)
+_COLUMNS = tuple(c.split()[0] for c in _STATE.split(", "))
+
+
 class _Fold(StatefulProcessor):
-    """The commands of one document in order; its state is a row of _STATE."""
+    """The commands of one document in order; its state is a row of _STATE. The rows bring
+    the stored state along, for a document that has no other."""
 
     def init(self, handle) -> None:
         self._state = handle.getValueState("review", _STATE)
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._state.update(tuple(initialState[c.split()[0]] for c in _STATE.split(", ")))
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state = list(self._state.get()) if self._state.exists() else None
-        before = None if state is None else tuple(state)
+        state = before = None
         for row in sorted(rows, key=lambda r: (r.issued_at, r.command_id)):
+            if state is None:
+                kept = self._state.get()
+                state = list(kept) if kept is not None else [row[f"base_{c}"] for c in _COLUMNS]
+                before = tuple(state)
             outcome = _outcome(row, state)
             if outcome == "OK":
                 _apply(row, state)
@@ -55,26 +63,30 @@ class _Fold(StatefulProcessor):
         pass
 
 
-def _outcome(row: Row, state: list | None) -> str:
-    if row.invalid:
-        return "INVALID"
-    if state is None or state[1] is None or state[1] != row.organization_id:
-        return "NOT_FOUND"
-    if state[0] != review.OPEN_STATUS:
+def _settled() -> Column:
+    """The outcome of commands that no other command can change; NULL for the others."""
+    same_tenant = F.coalesce(F.col("base_owner") == F.col("organization_id"), F.lit(False))
+    is_open = F.coalesce(F.col("base_status") == _OPEN, F.lit(False))
+    return (
+        F.when(F.col("invalid"), "INVALID").when(~same_tenant, "NOT_FOUND")
+        .when(~is_open, "CONFLICT").when(~F.col("base_drafted"), "MISSING_DRAFT")
+    )
+
+
+def _outcome(row: Row, state: list) -> str:
+    if state[0] != _OPEN:
         return "CONFLICT"
-    if not state[2]:
-        return "MISSING_DRAFT"
     if row.kind == "APPROVE":
         subtotal, tax, total = state[3:6]
         known = subtotal is not None and tax is not None and total is not None
-        if state[6] or (known and abs(subtotal + tax - total) > Decimal(fixed.TOLERANCE)):
+        if state[6] or (known and abs(subtotal + tax - total) > _TOLERANCE):
             return "BLOCKED"
     return "SAVE_FAILED" if row.unfit else "OK"
 
 
 def _apply(row: Row, state: list) -> None:
     if row.kind == "EDIT":
-        for i, name in enumerate(fixed.MONEY_FIELDS):
+        for i, name in enumerate(_MONEY):
             if row[f"set_{name}"] is not None:
                 state[3 + i] = row[f"set_{name}"]["v"]
         if row.set_bad_lines is not None:
@@ -110,8 +122,8 @@ def _rocks(spark: SparkSession):
 
 
 def keyed_outcomes(commands: DataFrame, states: DataFrame) -> DataFrame:
-    """Outcome of every command of a stream; `states` comes from `first_states` and is read
-    once, by the first batch.
+    """Outcome of every command of a stream; `states` comes from `first_states` and should
+    be a kept table, as each batch is joined to it.
 
     Commands act in order of (issued_at, command_id) within a batch and of batches among
     each other. One task holds a document's commands of one batch. A command without a
@@ -123,13 +135,14 @@ def keyed_outcomes(commands: DataFrame, states: DataFrame) -> DataFrame:
     checked = review.checked_commands(commands).select(
         *columns, F.col("organization_id").cast("string").alias("organization_id"),
         F.col("_invalid").alias("invalid"), F.col("_unfit").alias("unfit"),
-        *[F.col(f"_set_{n}").alias(f"set_{n}") for n in fixed.MONEY_FIELDS],
+        *[F.col(f"_set_{n}").alias(f"set_{n}") for n in _MONEY],
         F.col("_set_bad_lines").alias("set_bad_lines"))
-    folded = checked.where(F.col("document_id").isNotNull()).groupBy("document_id").transformWithState(
-        _Fold(), ddl, "Append", "None", states.groupBy("document_id"))
-    nobody = checked.where(F.col("document_id").isNull()).select(
-        *columns, F.when(F.col("invalid"), "INVALID").otherwise("NOT_FOUND").alias("outcome"))
-    return folded.unionByName(nobody)
+    met = checked.join(
+        states.withColumnsRenamed({c: f"base_{c}" for c in _COLUMNS}), "document_id", "left")
+    folded = met.where(_settled().isNull()).groupBy("document_id").transformWithState(
+        _Fold(), ddl, "Append", "None")
+    settled = met.where(_settled().isNotNull()).select(*columns, _settled().alias("outcome"))
+    return folded.unionByName(settled)
 
 
 def start_keyed_decisions(
@@ -139,9 +152,10 @@ def start_keyed_decisions(
     """Append the outcomes of a stream of commands to a table at `path`, each once.
 
     `review.decisions` of that table are the decisions. `every` (such as '1 minute')
-    keeps the query running; without it the query takes what is there and ends.
+    keeps the query running; without it the query takes what is there and ends. The stored
+    tables are read once a start; what commands did to a document counts before them.
     """
-    states = first_states(documents, invoices, lines)
+    states = persisted(first_states(documents, invoices, lines), "first-states")
     trigger = {"processingTime": every} if every else {"availableNow": True}
     with _rocks(commands.sparkSession):
         return (

@@ -195,6 +195,21 @@ def test_keyed_decisions_equal_one_batch_and_survive_a_restart(spark, tmp_path):
         "INVALID", "NOT_FOUND", "CONFLICT", "MISSING_DRAFT", "BLOCKED", "SAVE_FAILED", "OK"}
 
 
+def test_keyed_state_holds_only_documents_that_commands_changed(spark, tmp_path):
+    docs = documents(spark, *[document(f"d{i}") for i in range(1, 41)], document("d99", status="FAILED"))
+    heads = invoices(spark, *[invoice(f"i{i}") for i in range(1, 41)])
+    rows = [{"command_id": "c1", "document_id": "d1", "kind": "REJECT", "reason": "r", "issued_at": T0},
+            {"command_id": "c2", "document_id": "d99", "kind": "APPROVE", "issued_at": T0},
+            {"command_id": "c3", "document_id": "nobody", "kind": "APPROVE", "issued_at": T0}]
+    stream = _feed(spark, [commands(spark, *rows)], str(tmp_path / "in"), schemas.COMMANDS)
+    query = keyed.start_keyed_decisions(
+        stream, str(tmp_path / "out"), str(tmp_path / "cp"), docs, heads, lines(spark, line("l1", "i1")))
+    query.awaitTermination()
+    got = {r["command_id"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"c1": "OK", "c2": "CONFLICT", "c3": "NOT_FOUND"}
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 1
+
+
 def test_workspace_needs_a_shared_folder_off_local_mode(spark, monkeypatch):
     from docledger.sources import workspace
 

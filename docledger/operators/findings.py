@@ -105,16 +105,14 @@ def line_mismatches(
     lines: DataFrame, min_rows: int = HEAVY_ROWS, probe: DataFrame | None = None
 ) -> DataFrame:
     quantity, unit_price, amount = F.col("quantity"), F.col("unit_price"), F.col("amount")
-    # Numbers travel only with the mismatching lines; the others are shuffled
-    # as bare keys because their rank still counts.
+    # Numbers travel, as text, only with the mismatching lines; the others are shuffled
+    # and sorted as bare keys, once, because their rank still counts.
     text = F.concat(
         F.lit("quantity ("), quantity.cast("string"), F.lit(") × unit_price ("),
         unit_price.cast("string"), F.lit(") = "), (quantity * unit_price).cast("string"),
         F.lit(", which does not match amount ("), amount.cast("string"), F.lit(")."),
     )
-    # Only invoices with a mismatch are ranked.
-    off = lines.where(line_off(quantity, unit_price, amount)).select("invoice_id").distinct()
-    slim = lines.join(off, "invoice_id", "left_semi").select(
+    slim = lines.select(
         "invoice_id", "line_order", "line_id",
         F.when(line_off(quantity, unit_price, amount), text).alias("_text"),
     )
@@ -138,11 +136,14 @@ def all_findings(
 
     Lines of other invoices are left out.
     """
-    lines = lines.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
+    # The lines' ranks are in order of the invoices, so that the join behind them neither
+    # shuffles nor sorts again; before them it would sort all lines once more.
+    off = line_mismatches(lines.where(F.col("invoice_id").isNotNull()), min_rows,
+                          lines if probe is None else probe)
     return (
         header_findings(invoices)
         .unionByName(no_line_findings(invoices, lines))
-        .unionByName(line_mismatches(lines, min_rows, probe))
+        .unionByName(off.join(invoices.select("invoice_id"), "invoice_id", "left_semi"))
     )
 
 

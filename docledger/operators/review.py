@@ -298,7 +298,12 @@ def blocked_findings(
     earlier = saved_edits(outcomes).join(
         blocked.select("document_id", "_first"), "document_id"
     ).where(F.struct("issued_at", "command_id") < F.col("_first")).drop("_first")
-    before = invoices.join(blocked.select("document_id"), "document_id", "left_semi")
+    blocked = persisted(blocked, "blocked")
+    # Each of these is read by several findings; kept, none of them is made twice and no
+    # task holds the sorts of all of them at once.
+    earlier = persisted(earlier, "earlier-edits")
+    before = persisted(
+        invoices.join(blocked.select("document_id"), "document_id", "left_semi"), "blocked-drafts")
     own_lines = lines.join(before.select("invoice_id"), "invoice_id", "left_semi")
     drafts = patched_headers(before, earlier)
     found = findings.all_findings(

@@ -9,6 +9,7 @@ import pytest
 from builders import T0, commands, document, documents, invoice, invoices, line, lines
 
 from docledger.operators import export, review
+from docledger.plans import review as plans
 
 
 def cmd(key, kind, minutes=0, patch=None, **values):
@@ -254,3 +255,26 @@ def test_hot_document_matches_one_at_a_time_replay(spark):
     assert codes(outcomes(spark, rows, **frames)) == expected
     assert codes(outcomes(spark, rows, min_rows=50, **frames)) == expected
     assert {"OK", "BLOCKED", "CONFLICT", "SAVE_FAILED"} <= set(expected.values())
+
+
+@pytest.mark.parametrize("name", ["approve_blocked_documents", "approve_blocked", "patch_findings_rows"])
+def test_findings_after_edits_are_made_from_kept_drafts(spark, name):
+    """One stage that patches drafts and lines once per kind of finding holds dozens of sorts."""
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("Join") <= 6 and "patch" not in plan.toString()
+
+
+def test_verdicts_after_edits_keep_no_rows_but_those_of_named_drafts(spark, monkeypatch):
+    kept, whole = [], plans.persisted
+
+    def counting(df, label):
+        made = whole(df, label)
+        kept.append((label, made.count()))
+        return made
+
+    monkeypatch.setattr(plans, "persisted", counting)
+    sf_dir = "/root/testdata/sf0.001"
+    n = plans.patch_verdicts(spark, sf_dir).count()
+    stored = plans.frame(spark, sf_dir, "lines").count()
+    assert n == plans.frame(spark, sf_dir, "drafts").count()
+    assert all(count < stored / 2 for label, count in kept)

@@ -305,9 +305,9 @@ def blocked_findings(
     before = persisted(
         invoices.join(blocked.select("document_id"), "document_id", "left_semi"), "blocked-drafts")
     own_lines = lines.join(before.select("invoice_id"), "invoice_id", "left_semi")
-    drafts = patched_headers(before, earlier)
-    found = findings.all_findings(
-        drafts, patched_lines(own_lines, before, earlier), min_rows, probe=lines)
+    drafts = persisted(patched_headers(before, earlier), "met-headers")
+    items = persisted(patched_lines(own_lines, before, earlier), "met-lines")
+    found = findings.all_findings(drafts, items, min_rows)
     named = before.select("invoice_id", "document_id").join(blocked, "document_id").select(
         "invoice_id", "document_id", "n_blocked", F.col("_first.command_id").alias("first_command_id"))
     return found.join(named, "invoice_id").drop("invoice_id")
@@ -363,8 +363,9 @@ def blocked_command_findings(
         "invoice_id", derived_id("edited-line", "invoice_id", "line_order").alias("line_id"),
         "line_order", *[f"item.{c}" for c in values[1:]])
     found = findings.all_findings(
-        headers.withColumn("invoice_id", F.col("met_id")), stored.unionByName(brought), min_rows)
+        headers.withColumn("invoice_id", F.col("met_id")), items, min_rows)
     return met.select("command_id", "document_id", "met_id").join(
+    items = persisted(stored.unionByName(brought), "met-lines")
         found.withColumnRenamed("invoice_id", "met_id"), "met_id").drop("met_id")
 
 

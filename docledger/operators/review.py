@@ -128,8 +128,11 @@ def command_outcomes(
     """
     named = commands.select("document_id").distinct()
     documents = documents.join(named, "document_id", "left_semi")
-    invoices = invoices.join(named, "document_id", "left_semi")
-    lines = lines.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
+    # No command on a document under another status asks for its draft.
+    undecided = documents.where(F.coalesce(F.col("status") == OPEN_STATUS, F.lit(True)))
+    invoices = invoices.join(undecided, "document_id", "left_semi")
+    lines = lines.select("invoice_id", "quantity", "unit_price", "amount").join(
+        invoices.select("invoice_id"), "invoice_id", "left_semi")
     is_edit, is_approve, is_reject = (
         F.col("kind") == kind for kind in ("EDIT", "APPROVE", "REJECT")
     )
@@ -295,10 +298,10 @@ def blocked_findings(
             F.min(F.struct("issued_at", "command_id")).alias("_first"),
         )
     )
+    blocked = persisted(blocked, "blocked")
     earlier = saved_edits(outcomes).join(
         blocked.select("document_id", "_first"), "document_id"
     ).where(F.struct("issued_at", "command_id") < F.col("_first")).drop("_first")
-    blocked = persisted(blocked, "blocked")
     # Each of these is read by several findings; kept, none of them is made twice and no
     # task holds the sorts of all of them at once.
     earlier = persisted(earlier, "earlier-edits")
@@ -362,10 +365,10 @@ def blocked_command_findings(
         F.posexplode("line_items").alias("line_order", "item")).select(
         "invoice_id", derived_id("edited-line", "invoice_id", "line_order").alias("line_id"),
         "line_order", *[f"item.{c}" for c in values[1:]])
+    items = persisted(stored.unionByName(brought), "met-lines")
     found = findings.all_findings(
         headers.withColumn("invoice_id", F.col("met_id")), items, min_rows)
     return met.select("command_id", "document_id", "met_id").join(
-    items = persisted(stored.unionByName(brought), "met-lines")
         found.withColumnRenamed("invoice_id", "met_id"), "met_id").drop("met_id")
 
 

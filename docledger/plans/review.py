@@ -99,7 +99,11 @@ def patch_findings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = review.patched_headers(f["drafts"], outcomes)
     lines = review.patched_lines(f["lines"], f["drafts"], outcomes)
     edited = review.saved_edits(outcomes).select("document_id").distinct()
-    return findings.all_findings(headers.join(edited, "document_id", "left_semi"), lines)
+    drafts = persisted(f["drafts"].join(edited, "document_id", "left_semi"), "edited-drafts")
+    own = f["lines"].join(drafts.select("invoice_id"), "invoice_id", "left_semi")
+    headers = persisted(review.patched_headers(drafts, outcomes), "patched")
+    lines = persisted(review.patched_lines(own, drafts, outcomes), "patched")
+    return findings.all_findings(headers, lines)
 
 
 def patch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

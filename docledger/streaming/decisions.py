@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docledger.operators import review
+from docledger.sources.workspace import persisted
 
 
 def _batch_path(root: str, table: str, batch_id: int) -> str:
@@ -39,8 +40,13 @@ def process_batch(
     own rows.
     """
     spark = commands.sparkSession
-    named = commands.select("document_id").distinct()
-    documents = documents.join(named, "document_id", "left_semi")
+    # What a batch names is kept, so that its small size is known and the tables are not
+    # shuffled to find a few of their rows.
+    named = persisted(commands.select("document_id").distinct(), "named")
+    documents = persisted(documents.join(named, "document_id", "left_semi"), "named-documents")
+    invoices = persisted(invoices.join(named, "document_id", "left_semi"), "named-drafts")
+    own = persisted(invoices.select("invoice_id"), "named-invoices")
+    lines = persisted(lines.join(own, "invoice_id", "left_semi"), "named-lines")
     if batch_id > 0:
         key = documents.schema["document_id"].dataType.simpleString()
         decided = _earlier(
@@ -52,8 +58,6 @@ def process_batch(
         edits = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in commands.schema.fields)
         edits = _earlier(
             commands, root, "edits", f"{edits}, outcome string", batch_id).drop("batch_id")
-        invoices = invoices.join(named, "document_id", "left_semi")
-        lines = lines.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
         lines = review.patched_lines(lines, invoices, edits)
         invoices = review.patched_headers(invoices, edits)
     outcomes = review.command_outcomes(commands, documents, invoices, lines)

@@ -99,7 +99,9 @@ def read_page_ranges(
                             for i, t in enumerate(texts)]
                 yield pd.DataFrame(rows, columns=names).astype({"page_no": "Int32"})
 
-    by = (F.col("storage_key"), F.col("first"))
-    dealt = ranges.repartition(tasks, *by) if tasks else ranges.repartition(*by)
+    # A range is a few bytes and a lot of work: without a number, adaptive execution would
+    # put all of them into one task.
+    tasks = tasks or int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranges.repartition(tasks, "storage_key", "first")
     return dealt.mapInPandas(
         read, f"document_id {key}, page_no int, text string, page_error boolean, open_failed boolean")

@@ -26,6 +26,7 @@ from docledger.sources.files import stored_file_stream, stored_files
 from docledger.sources.headers import stored_headers
 from docledger.sources.ledger import Ledger
 from docledger.sources.ranges import page_ranges, read_page_ranges
+from docledger.sources.sinks import write_files
 from docledger.sources.workspace import new_path, persisted
 from docledger.streaming import pipeline
 
@@ -50,11 +51,12 @@ def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return driver_table(spark, sf_dir, "pages").where(_HAD).selectExpr("page_id AS document_id")
 
 
-def _write_files(spark: SparkSession, sf_dir: str, root: str) -> int:
-    """One file per page under a folder of its name; how many there are."""
+def _write_files(spark: SparkSession, sf_dir: str, root: str, content: str = "html") -> int:
+    """One file per page, a line, under a folder of its name; how many there are."""
     rows = driver_table(spark, sf_dir, "pages").where(f"NOT ({_LOST})")
-    rows.selectExpr("page_id AS file", "html").write.partitionBy("file").text(root)
-    return rows.count()
+    return write_files(rows.selectExpr(
+        f"concat({_KEY}, '/page.txt') AS storage_key",
+        f"CAST(concat(coalesce({content}, ''), '\\n') AS BINARY) AS content"), root)
 
 
 def _named(files: DataFrame) -> DataFrame:
@@ -80,8 +82,7 @@ def _shown(jobs: DataFrame, statuses: DataFrame, invoices: DataFrame, found: Dat
 def file_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate over real files, of which it reads five bytes each."""
     root = new_path(spark, "file-gate")
-    rows = driver_table(spark, sf_dir, "pages").where(f"NOT ({_LOST})")
-    rows.selectExpr("page_id AS file", f"{_CONTENT} AS content").write.partitionBy("file").text(root)
+    _write_files(spark, sf_dir, root, _CONTENT)
     headers = _named(stored_headers(spark, root, files_per_task=100))
     uploads = driver_table(spark, sf_dir, "pages").selectExpr(
         "page_id AS upload_id", "page_id % 20 AS organization_id", f"{_KEY} AS storage_key",

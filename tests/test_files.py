@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from docledger import fixed
 from docledger.operators import gate
+from docledger.plans.samples import MarkupRanges
+from docledger.sources import sinks
 from docledger.sources.headers import stored_headers
 from docledger.sources.ranges import page_ranges, read_page_ranges
 
@@ -103,3 +105,16 @@ def test_one_file_is_the_work_of_many_tasks(spark, tmp_path):
                                       (3, None, True, False)]
     assert by[5] == by[6] == [(None, None, False, True)]
     assert len({r["task"] for r in rows if r["document_id"] == 1}) == 8
+
+
+def test_ranges_are_dealt_over_the_tasks_of_the_session(spark, tmp_path):
+    keys = [f"d{i}/f" for i in range(40)]
+    files = spark.createDataFrame([(k, b"<html><p>a<p>b\n") for k in keys], "storage_key string, content binary")
+    root = f"file:{tmp_path}/files"
+    assert sinks.write_files(files, root) == 40
+    assert (tmp_path / "files" / "d7" / "f").read_bytes() == b"<html><p>a<p>b\n"
+    assert sinks.write_files(files.limit(0), root) == 0
+    named = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "document_id long, storage_key string")
+    ranges = page_ranges(named, root, MarkupRanges, 2)
+    read = read_page_ranges(ranges, root, MarkupRanges).withColumn("task", F.spark_partition_id()).collect()
+    assert len(read) == 120 and len({r["task"] for r in read}) > 1

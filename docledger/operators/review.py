@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docledger import fixed
 from docledger.functions.groups import HEAVY_ROWS, merge_groups, split_groups
 from docledger.functions.ids import derived_id
+from docledger.functions.keybits import with_keys
 from docledger.functions.text import is_blank
 from docledger.operators import findings
 from docledger.operators.extract import parse_payload
@@ -76,14 +77,17 @@ def is_set(name: str) -> Column:
 
 def draft_state(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     """What the approval arithmetic needs to know about each draft."""
+    # Lines that are right do not count, so they need not travel.
+    bad = lines.where(findings.line_off(
+        F.col("quantity"), F.col("unit_price"), F.col("amount"))).select("invoice_id").distinct()
     return (
         invoices.select("invoice_id", "document_id", "subtotal", "tax", "total")
-        .join(findings.line_totals(lines), "invoice_id", "left")
+        .join(bad.withColumn("_bad", F.lit(True)), "invoice_id", "left")
         .select(
             "document_id",
             F.lit(True).alias("_draft"),
             *[F.col(n).alias(f"_base_{n}") for n in fixed.MONEY_FIELDS],
-            (F.coalesce("n_bad_lines", F.lit(0)) > 0).alias("_base_bad_lines"),
+            F.coalesce("_bad", F.lit(False)).alias("_base_bad_lines"),
         )
     )
 
@@ -255,17 +259,22 @@ def replaced_lines(invoices: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def patched_lines(lines: DataFrame, invoices: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Lines after the saved edits; a replaced set is renumbered from 0."""
-    replaced = replaced_lines(invoices, outcomes)
-    kept = lines.join(replaced.select("invoice_id"), "invoice_id", "left_anti")
-    fresh = replaced.select(
+def brought_lines(replaced: DataFrame) -> DataFrame:
+    """The lines that edits bring, from (invoice_id, line_items), numbered from 0."""
+    return replaced.select(
         "invoice_id", F.posexplode("line_items").alias("line_order", "item")
     ).select(
         derived_id("edited-line", "invoice_id", "line_order").alias("line_id"),
         "invoice_id", "line_order", "item.description", "item.quantity",
         "item.unit_price", "item.amount",
     )
+
+
+def patched_lines(lines: DataFrame, invoices: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Lines after the saved edits; a replaced set is renumbered from 0."""
+    replaced = replaced_lines(invoices, outcomes)
+    kept = lines.join(replaced.select("invoice_id"), "invoice_id", "left_anti")
+    fresh = brought_lines(replaced)
     kept = kept.withColumn("line_id", F.col("line_id").cast("string"))
     return kept.select(*fresh.columns).unionByName(fresh)
 
@@ -373,31 +382,29 @@ def blocked_command_findings(
 
 
 def review_changes(
-    outcomes: DataFrame, documents: DataFrame, invoices: DataFrame, lines: DataFrame,
-) -> dict[str, tuple[DataFrame, DataFrame]]:
+    outcomes: DataFrame, documents: DataFrame, invoices: DataFrame,
+) -> dict[str, tuple[DataFrame | None, DataFrame]]:
     """What a batch changes in the three stored tables: (removed, added) of each.
 
     `removed` has organization_id and the table's key, `added` the rows that take their
-    place; for lines the key is the invoice, whose line set is replaced as a whole. Only
-    documents with a saved command are read. `invoices` and `lines` carry
-    organization_id, as they are stored by tenant.
+    place; `removed` is None where these have the same keys. For lines the key is the
+    invoice, whose line set is replaced as a whole, so stored lines are not read. Only
+    documents with a saved command are joined. `invoices` carry organization_id, as they
+    are stored by tenant, and `outcomes` are kept somewhere.
     """
     saved = outcomes.where(F.col("outcome") == "OK")
     named = saved.select("document_id").distinct()
     decided = decisions(saved).select("document_id")
-    changed_documents = decided_documents(
-        documents.join(decided, "document_id", "left_semi"), saved)
-    drafts = invoices.join(named, "document_id", "left_semi")
+    changed_documents = decided_documents(with_keys(documents, "document_id", decided), saved)
+    drafts = with_keys(invoices, "document_id", named)
     headers = decided_invoices(patched_headers(drafts, saved), saved)
-    replaced = replaced_lines(drafts.drop("organization_id"), saved).select("invoice_id")
-    owners = drafts.select("invoice_id", "organization_id")
-    old = lines.join(replaced, "invoice_id", "left_semi")
-    fresh = patched_lines(old.drop("organization_id"), drafts.drop("organization_id"), saved).join(
-        replaced, "invoice_id", "left_semi").join(owners, "invoice_id")
+    replaced = replaced_lines(drafts, saved)
+    owned = drafts.select("invoice_id", "organization_id")
     return {
-        "documents": (
-            changed_documents.select("organization_id", "document_id"), changed_documents),
-        "invoices": (headers.select("organization_id", "invoice_id"), headers),
+        "documents": (None, changed_documents),
+        "invoices": (None, headers),
         "invoice_line_items": (
-            replaced.join(owners, "invoice_id").select("organization_id", "invoice_id"), fresh),
+            replaced.select("invoice_id").join(owned, "invoice_id").select(
+                "organization_id", "invoice_id"),
+            brought_lines(replaced).join(owned, "invoice_id")),
     }

@@ -292,10 +292,11 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _orders(spark, sf_dir).selectExpr(*spark_list(DOCUMENTS))
     if name == "invoices":
         return _orders(spark, sf_dir).selectExpr(*spark_list(INVOICES))
-    if name == "drafts":
+    if name in ("drafts", "owned_drafts"):
         # Orders of low priority have not been extracted yet
         drafted = _orders(spark, sf_dir).where("o_orderpriority <> '5-LOW'")
-        return drafted.selectExpr(*spark_list(INVOICES))
+        owner = {"organization_id": DOCUMENTS["organization_id"]} if name != "drafts" else {}
+        return drafted.selectExpr(*spark_list(INVOICES | owner))
     if name == "commands":
         raw = _scan(spark, sf_dir, "events").selectExpr(*spark_list(COMMANDS))
         owners = frame(spark, sf_dir, "documents").selectExpr(

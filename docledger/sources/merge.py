@@ -1,7 +1,9 @@
 """Changes to stored tables that touch only the tenants they name.
 
 A table is laid out by organization_id. A merge reads and rewrites the folders of the
-tenants its rows belong to; all others keep their files. The new folders are written
+tenants its rows belong to; all others keep their files. Rows that surely stay are copied
+as they lie, without a shuffle; only the others and the new ones are compared and laid out,
+until a table has so many small files that a merge lays out all rows again. The new folders are written
 aside, completely, and a marker says so; then they take the places of the old ones. What
 a crash leaves behind is either without the marker, and is dropped, or with it, and is
 finished by the next merge or by `finish_merges`: a tenant has its old rows or its new
@@ -15,11 +17,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docledger.functions.keybits import split_by_keys
 from docledger.sources.workspace import persisted
 
 TENANT = "organization_id"
 #: Up to so many tenants are named to the scan; more are found by a join.
 NAMED_TENANTS = 1_000
+#: A table with more files, for each tenant and for its size together, is laid out again.
+TENANT_FILES, FILE_BYTES = 8, 32 << 20
 _READY = "_ready"
 
 
@@ -38,6 +43,12 @@ class _Folders:
             return []
         return sorted(x.getPath().getName() for x in self._system.listStatus(self._path(path)))
 
+    def scattered(self, path: str) -> bool:
+        """Whether a table has many more files than its tenants and size call for."""
+        held = self._system.getContentSummary(self._path(path))
+        return held.getFileCount() > (
+            TENANT_FILES * held.getDirectoryCount() + held.getLength() // FILE_BYTES)
+
     def make(self, path: str) -> None:
         self._system.mkdirs(self._path(path))
 
@@ -79,13 +90,17 @@ def merge_rows(
     stored = read_by_tenant(spark, root, name, schema)
     touched = removed.select(TENANT).unionByName(added.select(TENANT)).distinct()
     current = _of_tenants(stored, touched)
+    same, near = split_by_keys(current, key, removed)
     gone = removed.select(F.col(key).alias("_gone")).distinct()
-    kept = current.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    merged = kept.unionByName(added, allowMissingColumns=True).select(*stored.columns)
+    kept = near.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    changed = kept.unionByName(added, allowMissingColumns=True).select(*stored.columns)
 
     folders, mark = _Folders(spark, base), uuid.uuid4().hex
     new = f"{side}/{mark}/new"
-    _laid_out(merged).parquet(new)
+    if folders.scattered(base):
+        _laid_out(same.unionByName(changed)).parquet(new)
+    else:
+        same.unionByName(_ranged(changed)).write.partitionBy(TENANT).parquet(new)
     # A tenant that is left without rows has an empty folder among the new ones.
     written = set(folders.names(new))
     for folder in sorted(_folder_names(spark, touched, folders, side, mark) - written):
@@ -101,7 +116,8 @@ REVIEW_TABLES = {
 
 
 def apply_review(
-    root: str, schemas: dict[str, str], changes: dict[str, tuple[DataFrame, DataFrame]],
+    root: str, schemas: dict[str, str],
+    changes: dict[str, tuple[DataFrame | None, DataFrame]],
 ) -> None:
     """Merge what a batch of commands changes; see `review.review_changes`.
 
@@ -109,11 +125,11 @@ def apply_review(
     crash in between is mended by applying the same outcomes again, which only needs the
     outcomes to be kept.
     """
-    kept = {name: tuple(persisted(df, f"{name}-changes") for df in changes[name])
-            for name in REVIEW_TABLES}
+    kept = {name: tuple(df if df is None else persisted(df, f"{name}-changes")
+                        for df in changes[name]) for name in REVIEW_TABLES}
     for name, key in REVIEW_TABLES.items():
         removed, added = kept[name]
-        merge_rows(root, name, schemas[name], key, removed, added)
+        merge_rows(root, name, schemas[name], key, added if removed is None else removed, added)
 
 
 def finish_merges(spark: SparkSession, root: str, name: str) -> int:
@@ -141,10 +157,14 @@ def _swap(folders: _Folders, base: str, side: str) -> None:
     folders.drop(side)
 
 
-def _laid_out(df: DataFrame):
+def _ranged(df: DataFrame) -> DataFrame:
     # Ranges keep a tenant's rows together, and split a large tenant by its first column.
     first = next(c for c in df.columns if c != TENANT)
-    return df.repartitionByRange(TENANT, first).write.partitionBy(TENANT)
+    return df.repartitionByRange(TENANT, first)
+
+
+def _laid_out(df: DataFrame):
+    return _ranged(df).write.partitionBy(TENANT)
 
 
 def _of_tenants(stored: DataFrame, touched: DataFrame) -> DataFrame:

@@ -112,3 +112,36 @@ def test_a_crash_between_the_moves_is_finished_later(spark, table, monkeypatch,
     assert rows(spark, table) == in_order(want)
     change(spark, table, removed, added)
     assert rows(spark, table) == in_order(want)
+
+
+def ranged_rows(monkeypatch, frame):
+    """How many rows each later layout by ranges shuffles."""
+    counts, real = [], frame.repartitionByRange
+
+    def spy(self, *columns):
+        counts.append(self.count())
+        return real(self, *columns)
+
+    monkeypatch.setattr(frame, "repartitionByRange", spy)
+    return counts
+
+
+def test_rows_that_stay_are_not_shuffled(spark, tmp_path, monkeypatch):
+    stored = spark.range(2_000).selectExpr(
+        "concat('d', id) AS document_id", "'NEW' AS status", "CAST(id AS int) AS size",
+        "concat('t', id % 3) AS organization_id")
+    merge.write_by_tenant(stored, str(tmp_path), "documents")
+    counts = ranged_rows(monkeypatch, type(stored))
+    change(spark, str(tmp_path), [("d1", "t1"), ("d2", "t2")], [("d1", "DONE", "t1")])
+    got = rows(spark, str(tmp_path))
+    assert len(got) == 1_999 and ("d1", "DONE", None, "t1") in got
+    assert ("d0", "NEW", 0, "t0") in got and not any(r[0] == "d2" for r in got)
+    assert len(counts) == 1 and counts[0] < 100
+
+
+def test_many_merges_do_not_leave_ever_more_files(spark, table, monkeypatch):
+    monkeypatch.setattr(merge, "TENANT_FILES", 1)
+    for n in range(6):
+        change(spark, table, [], [(f"new{n}", "NEW", "a")])
+    assert len(files(table)["organization_id=a"]) <= 6
+    assert len(rows(spark, table)) == len(ROWS) + 6

@@ -278,3 +278,27 @@ def test_verdicts_after_edits_keep_no_rows_but_those_of_named_drafts(spark, monk
     stored = plans.frame(spark, sf_dir, "lines").count()
     assert n == plans.frame(spark, sf_dir, "drafts").count()
     assert all(count < stored / 2 for label, count in kept)
+
+
+def test_changes_of_a_batch_are_made_without_the_stored_lines(spark):
+    heads = [invoice(k) for k in ("i1", "i2", "i3")]
+    docs = documents(spark, *[document(f"d{n}") for n in (1, 2, 3)])
+    stored = invoices(spark, *heads).join(
+        docs.select("document_id", "organization_id"), "document_id")
+    lined = {"line_items": [{"description": "x", "quantity": 2, "unit_price": 5, "amount": 10}]}
+    got = review.command_outcomes(commands(
+        spark, cmd("c1", "EDIT", 0, lined), cmd("c2", "APPROVE", 1),
+        cmd("c3", "EDIT", 0, {"vendor_name": "New"}, document_id="d2"),
+        cmd("c4", "EDIT", 0, {"vendor_name": 1}, document_id="d3"),
+    ), docs, stored, lines(spark, line("l1"), line("l2", "i2"))).persist()
+    changes = review.review_changes(got, docs, stored)
+    removed, added = changes["documents"]
+    assert removed is None
+    assert [(r.document_id, r.status) for r in added.collect()] == [("d1", "APPROVED")]
+    removed, added = changes["invoices"]
+    assert removed is None and {(r.invoice_id, r.vendor_name, r.organization_id)
+                                for r in added.collect()} == {("i1", "Acme", "a"), ("i2", "New", "a")}
+    removed, added = changes["invoice_line_items"]
+    assert [tuple(r) for r in removed.collect()] == [("a", "i1")]
+    assert [(r.invoice_id, r.line_order, r.amount, r.organization_id) for r in added.collect()] == [
+        ("i1", 0, Decimal("10.00"), "a")]

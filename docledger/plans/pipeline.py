@@ -122,7 +122,8 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream of the files in several micro-batches."""
     root = new_path(spark, "stream-pipeline")
     count = _write_files(spark, sf_dir, f"{root}/files")
-    files = _named(stored_file_stream(spark, f"{root}/files", max(1, -(-count // BATCHES))))
+    files = _named(stored_file_stream(
+        spark, f"{root}/files", max(1, -(-count // BATCHES)), f"{root}/lists"))
     documents, existing = _documents(spark, sf_dir), _existing(spark, sf_dir)
     run = _run("stream-pipeline")
     pipeline.start_pipeline(

@@ -162,9 +162,13 @@ def _with_content(names: DataFrame, base: str) -> DataFrame:
 def stored_files(spark: SparkSession, root: str) -> DataFrame:
     """Files of any size under `root` as (storage_key, length, content).
 
-    How large a file may be is the gate's rule, not this reader's. Columns not
-    selected later (content) are not read. A path outside `root` fails the job.
+    How large a file may be is the gate's rule, not this reader's. The files are those that
+    are there now. A file that is gone when it is read fails the job. Where only names and
+    lengths are wanted, `listed_files` reads no content.
     """
+    base = _for_tasks(spark, root)
+    if base is not None:
+        return _with_content(listed_files(spark, root), base)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -54,14 +54,21 @@ def aged(folder, names):
         os.utime(path, (time.time() - 1000 + i,) * 2)
 
 
-def test_the_files_that_spark_would_find(spark, root, tmp_path):
+def test_the_files_that_spark_would_find(spark, root, tmp_path, monkeypatch):
     assert rows(stored_files(spark, str(root))) == want(FOUND)
+    assert rows(stored_files(spark, f"file:{root}/")) == want(FOUND)
     got = batches(spark, root, f"{tmp_path}/checkpoint", f"{tmp_path}/lists", 3)
     assert sorted(x for batch in got for x in batch) == want(FOUND) and [len(x) for x in got] == [3, 3, 2]
+    # A store that tasks do not open goes through Spark's own reader.
+    monkeypatch.setattr(stored, "TASK_STORES", ())
+    assert rows(stored_files(spark, str(root))) == want(FOUND)
 
 
 def test_the_driver_holds_neither_files_nor_a_task_a_file(spark, tmp_path):
     aged(tmp_path / "files", [f"d{i}/f" for i in range(150)])
+    files = stored_files(spark, f"{tmp_path}/files")
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(files.inputFiles()) < 20
     got = batches(spark, tmp_path / "files", f"{tmp_path}/checkpoint", f"{tmp_path}/lists", 50)
     assert [len(x) for x in got] == [50, 50, 50]
     kept = "".join(p.read_text() for p in (tmp_path / "checkpoint" / "sources" / "0").iterdir()
@@ -121,3 +128,8 @@ def test_a_stream_that_keeps_running_gets_files_that_come_later(spark, tmp_path)
         query.stop()
     thread.join(60)
     assert sorted(got) == want(["a/1", "a/2", "b/3"]) and not thread.is_alive()
+
+
+def test_a_root_that_is_not_there_fails(spark, tmp_path):
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        stored_files(spark, f"{tmp_path}/none")
